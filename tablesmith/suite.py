@@ -248,3 +248,42 @@ def r04_tail(spark, sf):
 SELECT * FROM g WHERE {' OR '.join(f'{c} IS NULL' for c, _ in ORDERS_GAPS_COLS)}""")
 def r05_rows_with_missing(spark, sf):
     return P.rows_with_missing(orders_with_gaps(spark, sf))
+
+
+# ----------------------------------------------------------------- P10 / P11 / P13
+from .operators import correlation as C  # noqa: E402
+
+CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_net"]
+
+
+def _corr_sql(source_sql: str, cols: list[str], spearman: bool) -> str:
+    if spearman:
+        ranked = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}"
+                           for c in cols)
+        src = f"(SELECT {ranked} FROM ({source_sql}))"
+    else:
+        src = f"({source_sql})"
+    pairs = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            lo, hi = (a, b) if i <= j else (b, a)
+            pairs.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {i} AS idx_1, {j} AS idx_2, "
+                         f"round(corr({lo}, {hi}), 3) AS r FROM s")
+    return f"WITH s AS (SELECT * FROM {src})\nSELECT feature_1, feature_2, CAST(idx_1 AS INTEGER) AS idx_1, " \
+           f"CAST(idx_2 AS INTEGER) AS idx_2, r FROM ({_union(pairs)})"
+
+
+@register("p10_pearson", _corr_sql(LINEITEM_WITH_NET_SQL, CORR_COLS, False))
+def p10_pearson(spark, sf):
+    return C.pearson(lineitem_with_net(spark, sf), CORR_COLS)
+
+
+@register("p11_spearman", _corr_sql(LINEITEM_WITH_NET_SQL, CORR_COLS, True))
+def p11_spearman(spark, sf):
+    return C.spearman(lineitem_with_net(spark, sf), CORR_COLS)
+
+
+@register("p13_high_corr_pairs", f"""SELECT feature_1, feature_2, r FROM ({_corr_sql(LINEITEM_WITH_NET_SQL, CORR_COLS, False)})
+WHERE idx_1 < idx_2 AND abs(r) >= 0.7""")
+def p13_high_corr_pairs(spark, sf):
+    return C.high_correlation_pairs(C.pearson(lineitem_with_net(spark, sf), CORR_COLS), 0.7)
