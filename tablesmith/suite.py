@@ -287,3 +287,170 @@ def p11_spearman(spark, sf):
 WHERE idx_1 < idx_2 AND abs(r) >= 0.7""")
 def p13_high_corr_pairs(spark, sf):
     return C.high_correlation_pairs(C.pearson(lineitem_with_net(spark, sf), CORR_COLS), 0.7)
+
+
+# ----------------------------------------------------------------- Q1-Q9
+from pyspark.sql import functions as F  # noqa: E402
+
+from .operators import quality as Q  # noqa: E402
+
+
+def flat_issues(issues: DataFrame) -> DataFrame:
+    """Issue rows with scalar columns only (the oracle compares these)."""
+    return issues.select("issue_type", "severity", F.array_join("affected_columns", ", ").alias("columns"),
+                         "description")
+
+
+def _sql_issue_missing(src: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS feature, {i} AS ord, count(*) FILTER (WHERE {c} IS NULL) AS m, count(*) AS n FROM {src}"
+             for i, c in enumerate(cols)]
+    return f"""SELECT 'Missing Values' AS issue_type,
+  CASE WHEN m * 100.0 / n > 50 THEN 'High' WHEN m * 100.0 / n > 20 THEN 'Medium' ELSE 'Low' END AS severity,
+  feature AS columns, printf('Column ''%s'' has %s missing values (%.1f%%).', feature, format('{{:,}}', m), m * 100.0 / n) AS description,
+  1 AS rule_ord, ord AS col_ord
+FROM ({_union(parts)}) WHERE m > 0"""
+
+
+def _sql_issue_outliers(src: str, cols: list[str], all_cols: list[str]) -> str:
+    parts = [f"""SELECT '{c}' AS feature, {all_cols.index(c)} AS ord, n,
+    (SELECT count(*) FROM {src} WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS o
+  FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count({c}) AS n FROM {src})"""
+             for c in cols]
+    return f"""SELECT 'Outliers' AS issue_type,
+  CASE WHEN o * 100.0 / n > 10 THEN 'High' WHEN o * 100.0 / n > 5 THEN 'Medium' ELSE 'Low' END AS severity,
+  feature AS columns, printf('Column ''%s'' has %s outliers (%.1f%%) by the IQR rule.', feature, format('{{:,}}', o), o * 100.0 / n) AS description,
+  2 AS rule_ord, ord AS col_ord
+FROM ({_union(parts)}) WHERE o > 0"""
+
+
+def _flat(sql: str) -> str:
+    return f"SELECT issue_type, severity, columns, description FROM ({sql})"
+
+
+@register("q01_missing_issues", f"WITH g AS ({ORDERS_WITH_GAPS_SQL})\n" +
+          _flat(_sql_issue_missing("g", [c for c, _ in ORDERS_GAPS_COLS])))
+def q01_missing_issues(spark, sf):
+    return flat_issues(Q.missing_issues(orders_with_gaps(spark, sf)))
+
+
+@register("q02_outlier_issues", _flat(_sql_issue_outliers("events", EVENTS_NUM, EVENTS_NUM)))
+def q02_outlier_issues(spark, sf):
+    return flat_issues(Q.outlier_issues(read_table(spark, sf, "events"), "iqr"))
+
+
+def _sql_imbalance(src: str, target: str) -> str:
+    return f"""SELECT 'Class Imbalance' AS issue_type, CASE WHEN hi * 1.0 / lo > 10 THEN 'High' ELSE 'Medium' END AS severity,
+  '{target}' AS columns, printf('Target ''{target}'' is imbalanced: ratio %.1f:1 (threshold 3:1).', hi * 1.0 / lo) AS description
+FROM (SELECT count(*) AS k, max(n) AS hi, min(n) AS lo FROM (SELECT {target}, count(*) AS n FROM {src}
+      WHERE {target} IS NOT NULL GROUP BY {target}))
+WHERE k >= 2 AND hi * 1.0 / lo > 3"""
+
+
+@register("q03_class_imbalance", _sql_imbalance("labels", "quality"))
+def q03_class_imbalance(spark, sf):
+    return flat_issues(Q.class_imbalance_issues(read_table(spark, sf, "labels"), "quality"))
+
+
+def _sql_cardinality(src: str, cols: list[str], all_cols: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS feature, {all_cols.index(c)} AS ord, count(DISTINCT {c}) AS d, count(*) AS n FROM {src}"
+             for c in cols]
+    return f"""SELECT 'High Cardinality' AS issue_type, 'Medium' AS severity, feature AS columns,
+  printf('Column ''%s'' has %s distinct values (threshold 50).', feature, format('{{:,}}', d)) AS description,
+  4 AS rule_ord, ord AS col_ord
+FROM ({_union(parts)}) WHERE d > 50"""
+
+
+PART_COLS = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
+
+
+@register("q04_high_cardinality", _flat(_sql_cardinality("part", ["p_name", "p_brand", "p_type"], PART_COLS)))
+def q04_high_cardinality(spark, sf):
+    return flat_issues(Q.high_cardinality_issues(read_table(spark, sf, "part")))
+
+
+SUPPLIER_CONST_SQL = "SELECT *, 'fixed' AS s_const, CAST(NULL AS DOUBLE) AS s_empty FROM supplier"
+SUPPLIER_CONST_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "s_const", "s_empty"]
+
+
+def supplier_with_constants(spark, sf):
+    return read_table(spark, sf, "supplier").withColumn("s_const", F.lit("fixed")) \
+        .withColumn("s_empty", F.lit(None).cast("double"))
+
+
+def _sql_constant(src: str, cols: list[str]) -> str:
+    parts = [f"SELECT '{c}' AS feature, {i} AS ord, count(DISTINCT {c}) AS d, CAST(min({c}) AS VARCHAR) AS v FROM {src}"
+             for i, c in enumerate(cols)]
+    return f"""SELECT 'Constant Feature' AS issue_type, 'High' AS severity, feature AS columns,
+  CASE WHEN d = 0 THEN printf('Column ''%s'' is empty (all values missing).', feature)
+       ELSE printf('Column ''%s'' is constant (only value: ''%s'').', feature, v) END AS description,
+  3 AS rule_ord, ord AS col_ord
+FROM ({_union(parts)}) WHERE d <= 1"""
+
+
+@register("q05_constant_features", f"WITH s AS ({SUPPLIER_CONST_SQL})\n" + _flat(_sql_constant("s", SUPPLIER_CONST_COLS)))
+def q05_constant_features(spark, sf):
+    return flat_issues(Q.constant_issues(supplier_with_constants(spark, sf)))
+
+
+LI_NET_NUM = LINEITEM_NUM + ["l_net"]
+
+
+def _sql_multicollinearity(src: str, cols: list[str]) -> str:
+    pairs = [f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {src}"
+             for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
+    return f"""WITH p AS (SELECT * FROM ({_union(pairs)}) WHERE abs(r) >= 0.95),
+t AS (SELECT printf('''%s'' and ''%s'' (r=%s)', a, b, CAST(round(r, 3) AS VARCHAR)) AS txt, abs(r) AS ar, i, j FROM p),
+c AS (SELECT i AS k, a AS name FROM p UNION SELECT j, b FROM p)
+SELECT 'Multicollinearity' AS issue_type, 'Medium' AS severity,
+  (SELECT string_agg(name, ', ' ORDER BY k) FROM c) AS columns,
+  printf('%d highly correlated pair(s) with |r| >= 0.95: %s%s', (SELECT count(*) FROM p),
+         (SELECT string_agg(txt, ', ' ORDER BY ar DESC, i, j) FROM (SELECT * FROM t ORDER BY ar DESC, i, j LIMIT 3)),
+         CASE WHEN (SELECT count(*) FROM p) > 3 THEN '...' ELSE '' END) AS description,
+  5 AS rule_ord, 0 AS col_ord
+WHERE (SELECT count(*) FROM p) > 0"""
+
+
+@register("q06_multicollinearity", f"WITH li AS ({LINEITEM_WITH_NET_SQL}), x AS ({_sql_multicollinearity('li', LI_NET_NUM)})\n"
+          "SELECT issue_type, severity, columns, description FROM x")
+def q06_multicollinearity(spark, sf):
+    return flat_issues(Q.multicollinearity_issues(lineitem_with_net(spark, sf)))
+
+
+_GAP_NAMES = [c for c, _ in ORDERS_GAPS_COLS]
+_GAP_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
+_Q7_SQL = f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}),
+a AS ({_sql_issue_missing('g', _GAP_NAMES)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
+SELECT issue_type, severity, columns, description FROM a"""
+
+
+@register("q07_run_all", _Q7_SQL)
+def q07_run_all(spark, sf):
+    return flat_issues(Q.run_all(orders_with_gaps(spark, sf), target="o_orderpriority"))
+
+
+@register("q08_issue_summary", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}),
+a AS ({_sql_issue_missing('g', _GAP_NAMES)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
+SELECT CAST(count(*) AS BIGINT) AS total_issues,
+  CAST(count(*) FILTER (WHERE severity = 'Critical') AS BIGINT) AS critical_count,
+  CAST(count(*) FILTER (WHERE severity = 'High') AS BIGINT) AS high_count,
+  CAST(count(*) FILTER (WHERE severity = 'Medium') AS BIGINT) AS medium_count,
+  CAST(count(*) FILTER (WHERE severity = 'Low') AS BIGINT) AS low_count,
+  (SELECT string_agg(t || '=' || CAST(n AS VARCHAR), ', ' ORDER BY t) FROM
+     (SELECT issue_type AS t, count(*) AS n FROM a GROUP BY 1)) AS by_type,
+  (SELECT string_agg(DISTINCT columns, ', ' ORDER BY columns) FROM a) AS affected_columns
+FROM a""")
+def q08_issue_summary(spark, sf):
+    s = Q.issue_summary(Q.run_all(orders_with_gaps(spark, sf), target="o_orderpriority"))
+    return s.select("total_issues", "critical_count", "high_count", "medium_count", "low_count",
+                    F.array_join(F.transform(F.map_entries("by_type"),
+                                             lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))),
+                                 ", ").alias("by_type"),
+                    F.array_join("affected_columns", ", ").alias("affected_columns"))
+
+
+CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+
+
+@register("q09_onehot_warning", _flat(_sql_cardinality("customer", ["c_name", "c_mktsegment"], CUSTOMER_COLS)))
+def q09_onehot_warning(spark, sf):
+    return flat_issues(Q.onehot_warnings(read_table(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_acctbal"]))
