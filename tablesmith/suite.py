@@ -454,3 +454,138 @@ CUSTOMER_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegmen
 @register("q09_onehot_warning", _flat(_sql_cardinality("customer", ["c_name", "c_mktsegment"], CUSTOMER_COLS)))
 def q09_onehot_warning(spark, sf):
     return flat_issues(Q.onehot_warnings(read_table(spark, sf, "customer"), ["c_name", "c_mktsegment", "c_acctbal"]))
+
+
+# ----------------------------------------------------------------- F1-F9
+from .operators import fixes as FX  # noqa: E402
+
+_G = f"WITH g AS ({ORDERS_WITH_GAPS_SQL})\n"
+
+
+def _gap_select(**override) -> str:
+    return ", ".join(override.get(c, c) for c, _ in ORDERS_GAPS_COLS if override.get(c, c) is not None)
+
+
+@register("f01_fill_mean", _G + f"SELECT {_gap_select(o_totalprice='round(coalesce(o_totalprice, (SELECT avg(o_totalprice) FROM g)), 4) AS o_totalprice')} FROM g")
+def f01_fill_mean(spark, sf):
+    return FX.fill_mean(orders_with_gaps(spark, sf), "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@register("f02_fill_median", _G + f"SELECT {_gap_select(o_totalprice='round(coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM g)), 4) AS o_totalprice')} FROM g")
+def f02_fill_median(spark, sf):
+    return FX.fill_median(orders_with_gaps(spark, sf), "o_totalprice").withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+_MODE_PRIO = "(SELECT o_orderpriority FROM g WHERE o_orderpriority IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"
+
+
+@register("f03_fill_mode", _G + f"SELECT {_gap_select(o_orderpriority=f'coalesce(o_orderpriority, {_MODE_PRIO}) AS o_orderpriority')} FROM g")
+def f03_fill_mode(spark, sf):
+    return FX.fill_mode(orders_with_gaps(spark, sf), "o_orderpriority")
+
+
+@register("f04_drop_missing_rows", _G + "SELECT * FROM g WHERE o_orderstatus IS NOT NULL")
+def f04_drop_missing_rows(spark, sf):
+    return FX.drop_missing_rows(orders_with_gaps(spark, sf), "o_orderstatus")
+
+
+@register("f05_drop_column", _G + f"SELECT {_gap_select(o_orderstatus=None)} FROM g")
+def f05_drop_column(spark, sf):
+    return FX.drop_column(orders_with_gaps(spark, sf), "o_orderstatus")
+
+
+_EV_B = ("WITH b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM "
+         "(SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events))\n")
+
+
+@register("f06_remove_outliers", _EV_B + "SELECT events.* FROM events, b WHERE value >= lo AND value <= hi")
+def f06_remove_outliers(spark, sf):
+    return FX.remove_outliers(read_table(spark, sf, "events"), "value")
+
+
+@register("f07_cap_outliers", _EV_B + "SELECT event_id, ts, user_id, event_type, round(least(greatest(value, lo), hi), 4) AS value, props FROM events, b")
+def f07_cap_outliers(spark, sf):
+    return FX.cap_outliers(read_table(spark, sf, "events"), "value").withColumn("value", F.round("value", 4))
+
+
+@register("f08_keep", "SELECT * FROM events")
+def f08_keep(spark, sf):
+    return FX.keep(read_table(spark, sf, "events"), "value")
+
+
+FIX_PLAN = [("missing", "o_totalprice", "median"), ("missing", "o_orderpriority", "mode"),
+            ("missing", "o_orderstatus", "drop_column"), ("outlier", "o_totalprice", "cap"),
+            ("outlier", "o_orderstatus", "remove")]
+
+
+@register("f09_fix_plan", _G + f""", s1 AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderdate, o_orderpriority,
+    coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM g)) AS o_totalprice FROM g),
+s2 AS (SELECT * REPLACE (coalesce(o_orderpriority, (SELECT o_orderpriority FROM s1 WHERE o_orderpriority IS NOT NULL
+    GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority) FROM s1),
+s3 AS (SELECT * EXCLUDE (o_orderstatus) FROM s2),
+b AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM
+    (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM s3))
+SELECT o_orderkey, o_custkey, o_orderdate, o_orderpriority, round(least(greatest(o_totalprice, lo), hi), 4) AS o_totalprice
+FROM s3, b""")
+def f09_fix_plan(spark, sf):
+    res = FX.apply_plan(orders_with_gaps(spark, sf), FIX_PLAN, count=False)
+    return res.table.withColumn("o_totalprice", F.round("o_totalprice", 4))
+
+
+@register("f09_fix_log")
+def f09_fix_log(spark, sf):
+    return FX.apply_plan(orders_with_gaps(spark, sf), FIX_PLAN, count=False).log
+
+
+# ----------------------------------------------------------------- V1-V9
+from .operators import validate as V  # noqa: E402
+
+
+@register("v01_table_ready", "SELECT 'table' AS check, count(*) > 0 AS ok, CASE WHEN count(*) = 0 THEN 'the table has no rows' ELSE '' END AS message FROM lineitem")
+def v01_table_ready(spark, sf):
+    return V.table_ready(read_table(spark, sf, "lineitem"))
+
+
+@register("v02_target_ready", """SELECT 'target' AS check, (count(*) - count(quality) = 0 AND count(DISTINCT quality) >= 2) AS ok,
+  CASE WHEN count(*) - count(quality) > 0 THEN printf('target ''quality'' has %d missing values', count(*) - count(quality))
+       WHEN count(DISTINCT quality) < 2 THEN printf('target ''quality'' has only %d distinct value(s); at least 2 classes are needed', count(DISTINCT quality))
+       ELSE '' END AS message FROM labels""")
+def v02_target_ready(spark, sf):
+    return V.target_ready(read_table(spark, sf, "labels"), "quality")
+
+
+@register("v03_features_ready", "SELECT 'features' AS check, true AS ok, '' AS message")
+def v03_features_ready(spark, sf):
+    return V.features_ready(read_table(spark, sf, "labels"), ["toxic"], "quality")
+
+
+@register("v04_split_ratio", "SELECT 'split' AS check, false AS ok, 'train ratio 95% is outside 60%-90%' AS message")
+def v04_split_ratio(spark, sf):
+    return V.split_ratio_ok(spark, train_ratio=0.95)
+
+
+@register("v05_stratify_ok", """SELECT 'stratify' AS check, min(n) >= 6 AS ok,
+  CASE WHEN min(n) < 6 THEN printf('smallest class has %d rows; a stratified split needs 6', min(n)) ELSE '' END AS message
+FROM (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic)""")
+def v05_stratify_ok(spark, sf):
+    return V.stratify_ok(read_table(spark, sf, "labels"), "toxic", 0.2)
+
+
+@register("v06_content_ok", """SELECT 'content' AS check, count(*) >= 10 AS ok,
+  CASE WHEN count(*) < 10 THEN printf('only %d rows; need at least 10', count(*)) ELSE '' END AS message FROM region""")
+def v06_content_ok(spark, sf):
+    return V.content_ok(read_table(spark, sf, "region"))
+
+
+@register("v07_numeric_in_range", """SELECT *, CASE WHEN value IS NULL THEN 'not a number' WHEN value < 0.0 THEN 'below minimum 0.0'
+  WHEN value > 300.0 THEN 'above maximum 300.0' END AS reason FROM events WHERE value IS NULL OR value < 0.0 OR value > 300.0""")
+def v07_numeric_in_range(spark, sf):
+    return V.numeric_in_range(read_table(spark, sf, "events"), "value", 0.0, 300.0)
+
+
+@register("v08_prediction_rows", _G + """SELECT *, concat_ws(', ', CASE WHEN o_totalprice IS NULL THEN 'o_totalprice' END,
+  CASE WHEN o_orderpriority IS NULL OR trim(o_orderpriority) = '' THEN 'o_orderpriority' END) AS empty_features
+FROM g WHERE o_totalprice IS NULL OR o_orderpriority IS NULL OR trim(o_orderpriority) = ''""")
+def v08_prediction_rows(spark, sf):
+    bad = V.prediction_rows_ok(orders_with_gaps(spark, sf), ["o_totalprice", "o_orderpriority"])
+    return bad.withColumn("empty_features", F.array_join("empty_features", ", "))
