@@ -589,3 +589,137 @@ FROM g WHERE o_totalprice IS NULL OR o_orderpriority IS NULL OR trim(o_orderprio
 def v08_prediction_rows(spark, sf):
     bad = V.prediction_rows_ok(orders_with_gaps(spark, sf), ["o_totalprice", "o_orderpriority"])
     return bad.withColumn("empty_features", F.array_join("empty_features", ", "))
+
+
+# ----------------------------------------------------------------- T1-T15
+from .operators import prepare as T  # noqa: E402
+
+
+def _split_sql(table: str, target: str | None, key: list[str], seed: int = 42, test_size: float = 0.2,
+               cols: list[str] | None = None) -> str:
+    """SQL of the exact (optionally stratified) md5-ordered split."""
+    y = target if target else "0"
+    h = "md5(concat_ws('|', '{0}', {1}))".format(seed, ", ".join(f"CAST({k} AS VARCHAR)" for k in key))
+    sel = ", ".join(f"p.{c}" for c in (cols or key + ([target] if target else [])))
+    return f"""c AS (SELECT {y} AS y, count(*) AS n_c FROM {table} GROUP BY 1),
+t AS (SELECT CAST(ceil(CAST({test_size} AS DOUBLE) * sum(n_c)) AS BIGINT) AS n_test, sum(n_c) AS n FROM c),
+q AS (SELECT y, (n_c * n_test) // n AS fl, (n_c * n_test) % n AS rem FROM c, t),
+r AS (SELECT y, fl + CASE WHEN row_number() OVER (ORDER BY rem DESC, y) <= (SELECT n_test FROM t) - (SELECT sum(fl) FROM q)
+        THEN 1 ELSE 0 END AS quota FROM q),
+p AS (SELECT *, {y} AS _y, row_number() OVER (PARTITION BY {y} ORDER BY {h}, {', '.join(key)}) AS pos FROM {table}),
+sp AS (SELECT {sel}, CASE WHEN pos <= quota THEN 'test' ELSE 'train' END AS split FROM p JOIN r ON p._y = r.y)"""
+
+
+LI_KEY = ["l_orderkey", "l_linenumber"]
+
+
+@register("t10_label_encode", """SELECT l_orderkey, l_linenumber, l_returnflag,
+  CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label FROM lineitem""")
+def t10_label_encode(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    lm = T.LabelMap.fit(li, "l_returnflag")
+    return li.select(*LI_KEY, "l_returnflag", lm.encode("l_returnflag").alias("label"))
+
+
+@register("t11_stratified_split", "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY) + "\nSELECT * FROM sp")
+def t11_stratified_split(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag")
+    return T.train_test_split(li, "l_returnflag", 0.2, 42, True, LI_KEY)
+
+
+@register("t11_random_split", "WITH " + _split_sql("orders", None, ["o_orderkey"], 7, 0.25) + "\nSELECT * FROM sp")
+def t11_random_split(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey")
+    return T.train_test_split(o, None, 0.25, 7, False, ["o_orderkey"])
+
+
+@register("t15_class_balance", "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY) + """
+SELECT CAST(l_returnflag AS VARCHAR) AS class, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS train_count,
+  CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS test_count,
+  round(count(*) FILTER (WHERE split = 'train') * 100.0 / sum(count(*) FILTER (WHERE split = 'train')) OVER (), 2) AS train_pct,
+  round(count(*) FILTER (WHERE split = 'test') * 100.0 / sum(count(*) FILTER (WHERE split = 'test')) OVER (), 2) AS test_pct
+FROM sp GROUP BY l_returnflag""")
+def t15_class_balance(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag")
+    return T.class_balance(T.train_test_split(li, "l_returnflag", 0.2, 42, True, LI_KEY), "l_returnflag")
+
+
+_GAPS_SPLIT = f"WITH g AS ({ORDERS_WITH_GAPS_SQL}), " + _split_sql(
+    "g", None, ["o_orderkey"], cols=[c for c, _ in ORDERS_GAPS_COLS])
+
+
+def _gaps_split(spark, sf):
+    return T.train_test_split(orders_with_gaps(spark, sf), None, 0.2, 42, False, ["o_orderkey"])
+
+
+@register("t01_numeric_impute", _GAPS_SPLIT + """
+SELECT o_orderkey, split, round(coalesce(o_totalprice,
+  (SELECT quantile_cont(o_totalprice, 0.5) FROM sp WHERE split = 'train')), 4) AS o_totalprice FROM sp""")
+def t01_numeric_impute(spark, sf):
+    sp = _gaps_split(spark, sf)
+    m = T.NumericImputer(inputCols=["o_totalprice"], strategy="median").fit(sp.where(F.col("split") == "train"))
+    return m.transform(sp).select("o_orderkey", "split", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@register("t02_categorical_impute", _GAPS_SPLIT + """
+SELECT o_orderkey, split, coalesce(o_orderstatus, (SELECT o_orderstatus FROM sp WHERE split = 'train' AND o_orderstatus IS NOT NULL
+  GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus FROM sp""")
+def t02_categorical_impute(spark, sf):
+    sp = _gaps_split(spark, sf)
+    m = T.CategoricalImputer(inputCols=["o_orderstatus"]).fit(sp.where(F.col("split") == "train"))
+    return m.transform(sp).select("o_orderkey", "split", "o_orderstatus")
+
+
+_LI_SPLIT = "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY,
+                                 cols=LI_KEY + ["l_returnflag", "l_quantity", "l_extendedprice", "l_discount"])
+
+
+@register("t03_standard_scale", _LI_SPLIT + """,
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se
+      FROM sp WHERE split = 'train')
+SELECT l_orderkey, l_linenumber, split, round((l_quantity - mq) / sq, 6) AS l_quantity,
+  round((l_extendedprice - me) / se, 6) AS l_extendedprice FROM sp, s""")
+def t03_standard_scale(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag", "l_quantity", "l_extendedprice")
+    sp = T.train_test_split(li, "l_returnflag", 0.2, 42, True, LI_KEY)
+    cols = ["l_quantity", "l_extendedprice"]
+    m = T.Scaler(inputCols=cols, method="standard").fit(sp.where(F.col("split") == "train"))
+    return m.transform(sp).select(*LI_KEY, "split", *[F.round(c, 6).alias(c) for c in cols])
+
+
+@register("t04_minmax_scale", _LI_SPLIT + """,
+s AS (SELECT min(l_discount) AS lo, max(l_discount) - min(l_discount) AS rg FROM sp WHERE split = 'train')
+SELECT l_orderkey, l_linenumber, split, round((l_discount - lo) / CASE WHEN rg = 0 THEN 1 ELSE rg END, 6) AS l_discount FROM sp, s""")
+def t04_minmax_scale(spark, sf):
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag", "l_discount")
+    sp = T.train_test_split(li, "l_returnflag", 0.2, 42, True, LI_KEY)
+    m = T.Scaler(inputCols=["l_discount"], method="minmax").fit(sp.where(F.col("split") == "train"))
+    return m.transform(sp).select(*LI_KEY, "split", F.round("l_discount", 6).alias("l_discount"))
+
+
+_PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+
+def _encoded_orders(spark, sf, encoding):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    cfg = T.PrepConfig(target="o_orderstatus", features=("o_orderpriority",), encoding=encoding, key=("o_orderkey",))
+    prep = T.prepare(o, cfg, keep=["o_orderkey"])
+    both = prep.train.withColumn("split", F.lit("train")).unionByName(prep.test.withColumn("split", F.lit("test")))
+    from pyspark.ml.functions import vector_to_array
+    txt = F.array_join(F.transform(vector_to_array("features"), lambda x: x.cast("int").cast("string")), ",")
+    return both.select("o_orderkey", "split", txt.alias("encoded"))
+
+
+_ORD_SPLIT = "WITH " + _split_sql("orders", "o_orderstatus", ["o_orderkey"], cols=["o_orderkey", "o_orderpriority"])
+
+
+@register("t06_onehot", _ORD_SPLIT + "\nSELECT o_orderkey, split, concat_ws(',', " + ", ".join(
+    f"CASE WHEN o_orderpriority = '{p}' THEN '1' ELSE '0' END" for p in _PRIOS) + ") AS encoded FROM sp")
+def t06_onehot(spark, sf):
+    return _encoded_orders(spark, sf, "onehot")
+
+
+@register("t07_ordinal", _ORD_SPLIT + "\nSELECT o_orderkey, split, CASE " + " ".join(
+    f"WHEN o_orderpriority = '{p}' THEN '{i}'" for i, p in enumerate(_PRIOS)) + " ELSE '-1' END AS encoded FROM sp")
+def t07_ordinal(spark, sf):
+    return _encoded_orders(spark, sf, "ordinal")

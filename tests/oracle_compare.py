@@ -83,12 +83,12 @@ def compare(spark, con, name, fn, sql, sf_dir):
         order = sorted(s_cols)
         si = [s_cols.index(c) for c in order]
         di = [d_cols.index(c) for c in order]
-        key = lambda r: tuple((x is None, str(x)) for x in r)
-        a = sorted((tuple(_norm(r[i]) for i in si) for r in s_rows), key=key)
-        b = sorted((tuple(_norm(r[i]) for i in di) for r in d_rows), key=key)
-        bad = [(x, y) for x, y in zip(a, b) if x != y]
-        if bad:
-            problems.append(f"{len(bad)} differing rows, e.g. spark={bad[0][0]} duck={bad[0][1]}")
+        from collections import Counter
+        a = Counter(tuple(_norm(r[i]) for i in si) for r in s_rows)
+        b = Counter(tuple(_norm(r[i]) for i in di) for r in d_rows)
+        only_s, only_d = list((a - b).elements()), list((b - a).elements())
+        if only_s or only_d:
+            problems.append(f"{len(only_s)} rows differ, e.g. spark={only_s[:2]} duck={only_d[:2]}")
     return problems, t1 - t0, len(s_rows)
 
 
