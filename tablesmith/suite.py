@@ -723,3 +723,162 @@ def t06_onehot(spark, sf):
     f"WHEN o_orderpriority = '{p}' THEN '{i}'" for i, p in enumerate(_PRIOS)) + " ELSE '-1' END AS encoded FROM sp")
 def t07_ordinal(spark, sf):
     return _encoded_orders(spark, sf, "ordinal")
+
+
+# ----------------------------------------------------------------- E1-E13
+from .operators import evaluate as E  # noqa: E402
+
+RULE_PRED_SQL = """SELECT l_orderkey, l_linenumber, l_returnflag AS label,
+  CASE WHEN l_discount < 0.03 THEN 'A' WHEN l_discount < 0.07 THEN 'N' WHEN l_discount < 0.1 THEN 'R' ELSE 'X' END AS prediction
+FROM lineitem"""
+
+
+def rule_predictions(spark, sf):
+    """A rule 'model' over lineitem: discount bands predict the return flag
+    (the 'X' band never occurs in the truth, so the class union is exercised)."""
+    li = read_table(spark, sf, "lineitem")
+    d = F.col("l_discount")
+    pred = F.when(d < 0.03, "A").when(d < 0.07, "N").when(d < 0.1, "R").otherwise("X")
+    return li.select("l_orderkey", "l_linenumber", F.col("l_returnflag").alias("label"), pred.alias("prediction"))
+
+
+_E_PC = f"""WITH r AS ({RULE_PRED_SQL}),
+cls AS (SELECT label AS c FROM r UNION SELECT prediction FROM r),
+pc AS (SELECT c, coalesce((SELECT count(*) FROM r WHERE label = c AND prediction = c), 0) AS tp,
+          coalesce((SELECT count(*) FROM r WHERE label = c), 0) AS support,
+          coalesce((SELECT count(*) FROM r WHERE prediction = c), 0) AS predicted FROM cls),
+m AS (SELECT c, tp, support, CASE WHEN predicted = 0 THEN 0.0 ELSE tp * 1.0 / predicted END AS p,
+          CASE WHEN support = 0 THEN 0.0 ELSE tp * 1.0 / support END AS rc FROM pc),
+f AS (SELECT *, CASE WHEN p + rc = 0 THEN 0.0 ELSE 2 * p * rc / (p + rc) END AS f1 FROM m)"""
+
+
+@register("e04_per_class", _E_PC + """
+SELECT c AS class, CAST(p AS DOUBLE) AS precision, CAST(rc AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1,
+  CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp FROM f""")
+def e04_per_class(spark, sf):
+    return E.per_class(rule_predictions(spark, sf)).select(
+        "class", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support", "tp")
+
+
+@register("e01_metrics", _E_PC + """
+SELECT round(sum(tp) * 1.0 / sum(support), 4) AS accuracy, round(sum(p * support) / sum(support), 4) AS precision,
+  round(sum(rc * support) / sum(support), 4) AS recall, round(sum(f1 * support) / sum(support), 4) AS f1 FROM f""")
+def e01_metrics(spark, sf):
+    return E.metrics(rule_predictions(spark, sf))
+
+
+@register("e02_confusion", f"""WITH r AS ({RULE_PRED_SQL}),
+cls AS (SELECT label AS c FROM r UNION SELECT prediction FROM r),
+cnt AS (SELECT label, prediction, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT a.c AS true_class, b.c AS predicted_class, CAST(coalesce(n, 0) AS BIGINT) AS count,
+  round(coalesce(coalesce(n, 0) * 1.0 / nullif(sum(coalesce(n, 0)) OVER (PARTITION BY a.c), 0), 0.0), 4) AS row_share
+FROM cls a CROSS JOIN cls b LEFT JOIN cnt ON cnt.label = a.c AND cnt.prediction = b.c""")
+def e02_confusion(spark, sf):
+    return E.confusion(rule_predictions(spark, sf))
+
+
+@register("e03_report", _E_PC + """
+SELECT c AS row, round(p, 4) AS precision, round(rc, 4) AS recall, round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) * 1.0 / sum(support), 4), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(p), 4), round(avg(rc), 4), round(avg(f1), 4), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 4), round(sum(rc * support) / sum(support), 4),
+  round(sum(f1 * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM f""")
+def e03_report(spark, sf):
+    return E.report(rule_predictions(spark, sf))
+
+
+EV_SCORE_SQL = "SELECT CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END AS label, value AS score FROM events"
+
+
+def event_scores(spark, sf):
+    ev = read_table(spark, sf, "events")
+    return ev.select(F.when(F.col("event_type") == "purchase", 1).otherwise(0).alias("label"),
+                     F.col("value").alias("score"))
+
+
+@register("e05_roc_auc", f"""WITH s AS ({EV_SCORE_SQL}),
+r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk FROM s)
+SELECT round((sum(rk) FILTER (WHERE label = 1) - count(*) FILTER (WHERE label = 1) * (count(*) FILTER (WHERE label = 1) + 1) / 2.0)
+  / (count(*) FILTER (WHERE label = 1) * count(*) FILTER (WHERE label = 0)), 4) AS roc_auc FROM r""")
+def e05_roc_auc(spark, sf):
+    return E.roc_auc(event_scores(spark, sf), "label", "score", 1)
+
+
+@register("e06_roc_curve", f"""WITH s AS ({EV_SCORE_SQL}),
+c AS (SELECT score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg FROM s GROUP BY 1),
+t AS (SELECT sum(pos) AS P, sum(neg) AS N FROM c)
+SELECT CAST(score AS DOUBLE) AS threshold, round(sum(neg) OVER (ORDER BY score DESC) * 1.0 / N, 6) AS fpr,
+  round(sum(pos) OVER (ORDER BY score DESC) * 1.0 / P, 6) AS tpr FROM c, t
+UNION ALL SELECT CAST('inf' AS DOUBLE), 0.0, 0.0""")
+def e06_roc_curve(spark, sf):
+    return E.roc_curve(event_scores(spark, sf), "label", "score", 1)
+
+
+@register("e07_multiclass_auc", """WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
+    [l_discount, l_tax, l_quantity / 50.0] AS p FROM lineitem),
+l AS (SELECT y, i - 1 AS cls, p[i] AS sc FROM s, range(1, 4) t(i)),
+r AS (SELECT cls, y, rank() OVER (PARTITION BY cls ORDER BY sc) + (count(*) OVER (PARTITION BY cls, sc) - 1) / 2.0 AS rk FROM l)
+SELECT CAST(cls AS INTEGER) AS class_index, round((sum(rk) FILTER (WHERE y = cls) - count(*) FILTER (WHERE y = cls) * (count(*) FILTER (WHERE y = cls) + 1) / 2.0)
+  / (count(*) FILTER (WHERE y = cls) * count(*) FILTER (WHERE y <> cls)), 4) AS roc_auc FROM r GROUP BY cls""")
+def e07_multiclass_auc(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    df = li.select(y.alias("label"), F.array("l_discount", "l_tax", F.col("l_quantity") / 50.0).alias("probability"))
+    return E.multiclass_roc_auc(df, "label", "probability")
+
+
+def _two_rules(spark, sf):
+    base = rule_predictions(spark, sf)
+    alt = base.withColumn("prediction", F.when(F.col("prediction") == "X", "R").otherwise(F.col("prediction")))
+    return {"discount bands": base, "discount bands, no X": alt}
+
+
+_E8 = _E_PC.replace("WITH r AS", "WITH r0 AS").replace(f"({RULE_PRED_SQL}),", f"({RULE_PRED_SQL}),\nr AS (SELECT * FROM r0),", 1)
+
+
+def _e8_sql(variant: str, name: str, ordn: int) -> str:
+    pred = "prediction" if variant == "base" else "CASE WHEN prediction = 'X' THEN 'R' ELSE prediction END"
+    body = _E_PC.replace(f"WITH r AS ({RULE_PRED_SQL})",
+                         f"WITH r AS (SELECT l_orderkey, l_linenumber, label, {pred} AS prediction FROM ({RULE_PRED_SQL}))")
+    return body + f"""
+SELECT '{name}' AS model, {ordn} AS model_ord, round(sum(tp) * 1.0 / sum(support), 4) AS accuracy,
+  round(sum(p * support) / sum(support), 4) AS precision, round(sum(rc * support) / sum(support), 4) AS recall,
+  round(sum(f1 * support) / sum(support), 4) AS f1, CAST(NULL AS DOUBLE) AS roc_auc, 0.0 AS training_time FROM f"""
+
+
+_E8_SQL = "SELECT model, CAST(model_ord AS INTEGER) AS model_ord, accuracy, precision, recall, f1, roc_auc, " \
+          "CAST(training_time AS DOUBLE) AS training_time FROM (" + \
+          "(" + _e8_sql("base", "discount bands", 0) + ") UNION ALL (" + _e8_sql("alt", "discount bands, no X", 1) + "))"
+
+
+@register("e08_evaluate_all", _E8_SQL)
+def e08_evaluate_all(spark, sf):
+    return E.evaluate_all(_two_rules(spark, sf))
+
+
+@register("e09_comparison", _E8_SQL)
+def e09_comparison(spark, sf):
+    return E.comparison(E.evaluate_all(_two_rules(spark, sf)))
+
+
+@register("e10_best_model", f"SELECT * FROM ({_E8_SQL}) ORDER BY f1 DESC, model_ord LIMIT 1")
+def e10_best_model(spark, sf):
+    return E.best_model(E.evaluate_all(_two_rules(spark, sf)), "f1")
+
+
+@register("e11_display_metrics", f"""SELECT model, printf('%.2f%%', accuracy * 100) AS accuracy, printf('%.2f%%', precision * 100) AS precision,
+  printf('%.2f%%', recall * 100) AS recall, printf('%.2f%%', f1 * 100) AS f1, CAST(NULL AS VARCHAR) AS roc_auc,
+  printf('%.2fs', training_time) AS training_time FROM ({_E8_SQL})""")
+def e11_display_metrics(spark, sf):
+    return E.display_metrics(E.evaluate_all(_two_rules(spark, sf)))
+
+
+@register("e13_metrics_long", f"""SELECT model, metric, value FROM ({_E8_SQL})
+UNPIVOT (value FOR metric IN (accuracy, precision, recall, f1))""")
+def e13_metrics_long(spark, sf):
+    return E.metrics_long(E.evaluate_all(_two_rules(spark, sf)))
+
+
+@register("e12_highlight")
+def e12_highlight(spark, sf):
+    return E.highlight(E.evaluate_all(_two_rules(spark, sf)))
