@@ -234,14 +234,15 @@ def p20_overview_counts(spark, sf):
 
 
 # ----------------------------------------------------------------- R4 / R5
-@register("r04_head", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber LIMIT 10")
+@register("r04_head", "SELECT * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 10")
 def r04_head(spark, sf):
-    return P.preview(read_table(spark, sf, "lineitem"), 10, ["l_orderkey", "l_linenumber"])
+    return P.preview(read_table(spark, sf, "lineitem"), 10, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"])
 
 
-@register("r04_tail", "SELECT * FROM lineitem ORDER BY l_orderkey DESC, l_linenumber DESC LIMIT 10")
+@register("r04_tail", "SELECT * FROM lineitem ORDER BY l_orderkey DESC, l_linenumber DESC, l_partkey DESC, l_suppkey DESC LIMIT 10")
 def r04_tail(spark, sf):
-    return P.preview(read_table(spark, sf, "lineitem"), 10, ["l_orderkey", "l_linenumber"], tail=True)
+    return P.preview(read_table(spark, sf, "lineitem"), 10, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                     tail=True)
 
 
 @register("r05_rows_with_missing", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL})
@@ -610,10 +611,11 @@ p AS (SELECT *, {y} AS _y, row_number() OVER (PARTITION BY {y} ORDER BY {h}, {',
 sp AS (SELECT {sel}, CASE WHEN pos <= quota THEN 'test' ELSE 'train' END AS split FROM p JOIN r ON p._y = r.y)"""
 
 
-LI_KEY = ["l_orderkey", "l_linenumber"]
+# (l_orderkey, l_linenumber) repeats in the test data; with part and supplier it is unique
+LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-@register("t10_label_encode", """SELECT l_orderkey, l_linenumber, l_returnflag,
+@register("t10_label_encode", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag,
   CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label FROM lineitem""")
 def t10_label_encode(spark, sf):
     li = read_table(spark, sf, "lineitem")
@@ -677,7 +679,7 @@ _LI_SPLIT = "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY,
 @register("t03_standard_scale", _LI_SPLIT + """,
 s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se
       FROM sp WHERE split = 'train')
-SELECT l_orderkey, l_linenumber, split, round((l_quantity - mq) / sq, 6) AS l_quantity,
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, split, round((l_quantity - mq) / sq, 6) AS l_quantity,
   round((l_extendedprice - me) / se, 6) AS l_extendedprice FROM sp, s""")
 def t03_standard_scale(spark, sf):
     li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag", "l_quantity", "l_extendedprice")
@@ -689,7 +691,7 @@ def t03_standard_scale(spark, sf):
 
 @register("t04_minmax_scale", _LI_SPLIT + """,
 s AS (SELECT min(l_discount) AS lo, max(l_discount) - min(l_discount) AS rg FROM sp WHERE split = 'train')
-SELECT l_orderkey, l_linenumber, split, round((l_discount - lo) / CASE WHEN rg = 0 THEN 1 ELSE rg END, 6) AS l_discount FROM sp, s""")
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, split, round((l_discount - lo) / CASE WHEN rg = 0 THEN 1 ELSE rg END, 6) AS l_discount FROM sp, s""")
 def t04_minmax_scale(spark, sf):
     li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag", "l_discount")
     sp = T.train_test_split(li, "l_returnflag", 0.2, 42, True, LI_KEY)
@@ -882,3 +884,125 @@ def e13_metrics_long(spark, sf):
 @register("e12_highlight")
 def e12_highlight(spark, sf):
     return E.highlight(E.evaluate_all(_two_rules(spark, sf)))
+
+
+# ----------------------------------------------------------------- M0-M12
+from pyspark.ml.functions import array_to_vector, vector_to_array  # noqa: E402
+
+from .operators.models import catalogue as M  # noqa: E402
+from .operators.models.knn import KNN  # noqa: E402
+from .operators.models.naive_bayes import GaussianNB  # noqa: E402
+
+NB_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def lineitem_prepared(spark, sf, scaling="none", features=tuple(NB_FEATURES)):
+    li = read_table(spark, sf, "lineitem")
+    cfg = T.PrepConfig(target="l_returnflag", features=tuple(features), scaling=scaling, key=tuple(LI_KEY))
+    return T.prepare(li, cfg, keep=LI_KEY)
+
+
+_NB_SPLIT = "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY, cols=LI_KEY + ["l_returnflag"] + NB_FEATURES)
+_f = NB_FEATURES
+_NB_SQL = _NB_SPLIT + f""",
+tr AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM sp),
+st AS (SELECT y, count(*) AS n_c, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _f)}
+       FROM tr WHERE split = 'train' GROUP BY y),
+g AS (SELECT count(*) AS n, 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _f)}) AS eps FROM tr WHERE split = 'train'),
+j AS (SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, st.y,
+        ln(st.n_c * 1.0 / g.n) - 0.5 * ({' + '.join(f'ln(2 * pi() * (v_{c} + eps))' for c in _f)})
+        - 0.5 * ({' + '.join(f'(t.{c} - m_{c}) * (t.{c} - m_{c}) / (v_{c} + eps)' for c in _f)}) AS jll
+      FROM tr t, st, g WHERE t.split = 'test')
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(arg_max(y, jll) AS DOUBLE) AS prediction,
+  round(1.0 / sum(exp(jll - jm)), 4) AS p_max
+FROM (SELECT *, max(jll) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jm FROM j)
+GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey"""
+
+
+@register("m04_naive_bayes", _NB_SQL)
+def m04_naive_bayes(spark, sf):
+    prep = lineitem_prepared(spark, sf)
+    model = GaussianNB(varSmoothing=1e-9).fit(prep.train)
+    out = model.transform(prep.test)
+    return out.select(*LI_KEY, "prediction", F.round(F.array_max(vector_to_array("probability")), 4).alias("p_max"))
+
+
+_EMB_SPLIT = "WITH " + _split_sql("embeddings", None, ["vec_id"], cols=["vec_id", "embedding", "label"])
+_KNN_SQL = _EMB_SPLIT + """,
+tr AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS DOUBLE) AS y FROM sp WHERE split = 'train'),
+te AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM sp WHERE split = 'test'),
+d AS (SELECT te.vec_id AS q, tr.vec_id AS t, tr.y,
+        sqrt(list_sum(list_transform(list_zip(te.e, tr.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist FROM te, tr),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY dist, t) AS rk FROM d) WHERE rk <= 5),
+v AS (SELECT q, y, count(*) AS w FROM k GROUP BY q, y)
+SELECT q AS vec_id, (SELECT first(y ORDER BY w DESC, y) FROM v WHERE v.q = n.q) AS prediction, neighbours
+FROM (SELECT q, string_agg(CAST(t AS VARCHAR), ',' ORDER BY rk) AS neighbours FROM k GROUP BY q) n"""
+
+
+def embeddings_split(spark, sf):
+    emb = read_table(spark, sf, "embeddings")
+    data = emb.select("vec_id", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"),
+                      F.col("label").cast("double").alias("label"))
+    return T.train_test_split(data, None, 0.2, 42, False, ["vec_id"])
+
+
+@register("m02_knn", _KNN_SQL)
+def m02_knn(spark, sf):
+    sp = embeddings_split(spark, sf)
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    model = KNN(k=5, idCol="vec_id").fit(train)
+    nb = model.neighbours(test, "vec_id")
+    txt = nb.groupBy(F.col("qid").alias("vec_id")).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tid"))),
+                                 lambda s: s["tid"].cast("string")), ",").alias("neighbours"))
+    pred = model.transform(test).select("vec_id", "prediction")
+    return pred.join(txt, "vec_id")
+
+
+@register("m00_balanced_weights", _NB_SPLIT + """
+SELECT l_returnflag AS class, round(count(*) OVER () * 1.0 / (3 * count(*) OVER (PARTITION BY l_returnflag)), 9) AS weight,
+  l_orderkey, l_linenumber, l_partkey, l_suppkey FROM sp WHERE split = 'train'""")
+def m00_balanced_weights(spark, sf):
+    sp = T.train_test_split(read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag"), "l_returnflag",
+                            0.2, 42, True, LI_KEY).where(F.col("split") == "train")
+    w = M.balanced_weights(sp, "l_returnflag")
+    return w.select(F.col("l_returnflag").alias("class"), F.round("weight", 9).alias("weight"), *LI_KEY)
+
+
+def _trained_predictions(name):
+    def run(spark, sf):
+        prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
+        tr = M.train_one(name, prep.train)
+        return M.predict(tr, prep.test).select(*LI_KEY, "label", "prediction")
+    return run
+
+
+for _key, _name in [("m01_logistic_regression", "Logistic Regression"), ("m03_decision_tree", "Decision Tree"),
+                    ("m05_random_forest", "Random Forest"), ("m06_svm", "Support Vector Machine"),
+                    ("m07_rule_based", "Rule-Based")]:
+    register(_key)(_trained_predictions(_name))
+
+
+@register("m08_catalogue")
+def m08_catalogue(spark, sf):
+    return M.catalogue_frame(spark)
+
+
+@register("m10_train_all")
+def m10_train_all(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
+    ok, errs = M.train_all(prep.train, ["Naive Bayes", "Rule-Based", "Logistic Regression"])
+    scored = {n: M.predict(t, prep.test) for n, t in ok.items()}
+    return E.comparison(E.evaluate_all(scored, times={n: t.seconds for n, t in ok.items()})).drop("training_time")
+
+
+@register("m11_feature_importance")
+def m11_feature_importance(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
+    return M.feature_importance(M.train_one("Decision Tree", prep.train), prep.feature_names)
+
+
+@register("m12_decision_rules")
+def m12_decision_rules(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
+    return M.decision_rules(M.train_one("Rule-Based", prep.train), prep.feature_names, 3)
