@@ -1006,3 +1006,77 @@ def m11_feature_importance(spark, sf):
 def m12_decision_rules(spark, sf):
     prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
     return M.decision_rules(M.train_one("Rule-Based", prep.train), prep.feature_names, 3)
+
+
+# ----------------------------------------------------------------- I1-I5
+from .operators import score as S  # noqa: E402
+
+_NB_ALL = _NB_SQL[:_NB_SQL.index("\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(arg_max")] \
+    .replace("FROM tr t, st, g WHERE t.split = 'test')", "FROM tr t, st, g)")
+_NB_PROBS = _NB_ALL + """,
+jm AS (SELECT *, exp(jll - max(jll) OVER w) AS e, arg_max(y, jll) OVER w AS best
+       FROM j WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
+pr AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, best,
+       e / sum(e) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM jm),
+sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         CASE max(best) WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS predicted_class, max(p) AS confidence,
+         max(p) FILTER (WHERE y = 0) AS p_A, max(p) FILTER (WHERE y = 1) AS p_N, max(p) FILTER (WHERE y = 2) AS p_R
+       FROM pr GROUP BY 1, 2, 3, 4)"""
+
+
+def _nb_scored(spark, sf):
+    prep = lineitem_prepared(spark, sf)
+    model = GaussianNB().fit(prep.train)
+    return S.score(prep, model, read_table(spark, sf, "lineitem"), keep=LI_KEY)
+
+
+@register("i01_batch_scoring", _NB_PROBS + "\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, predicted_class FROM sc")
+def i01_batch_scoring(spark, sf):
+    return _nb_scored(spark, sf).select(*LI_KEY, "predicted_class")
+
+
+@register("i02_confidence", _NB_PROBS + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(confidence, 4) AS confidence, round(p_A, 4) AS p_A,
+  round(p_N, 4) AS p_N, round(p_R, 4) AS p_R FROM sc""")
+def i02_confidence(spark, sf):
+    s = _nb_scored(spark, sf)
+    return s.select(*LI_KEY, *[F.round(c, 4).alias(c) for c in ("confidence", "p_A", "p_N", "p_R")])
+
+
+@register("i03_prediction_summary", _NB_PROBS + """
+SELECT predicted_class, CAST(count(*) AS BIGINT) AS count, round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct,
+  round(sum(sum(confidence)) OVER () / sum(count(*)) OVER (), 4) AS avg_confidence,
+  round(min(min(confidence)) OVER (), 4) AS min_confidence, round(max(max(confidence)) OVER (), 4) AS max_confidence
+FROM sc GROUP BY predicted_class""")
+def i03_prediction_summary(spark, sf):
+    return S.prediction_summary(_nb_scored(spark, sf))
+
+
+@register("i04_feature_ranges", "SELECT feature, min, max, round(mean, 6) AS mean, input_min, input_max FROM (" + _union([
+    f"SELECT '{c}' AS feature, min({c}) AS min, max({c}) AS max, avg({c}) AS mean, min({c}) - 0.5 * (max({c}) - min({c})) AS input_min, "
+    f"max({c}) + 0.5 * (max({c}) - min({c})) AS input_max FROM lineitem" for c in NB_FEATURES]) + ")")
+def i04_feature_ranges(spark, sf):
+    return S.feature_ranges(read_table(spark, sf, "lineitem"), NB_FEATURES).withColumn("mean", F.round("mean", 6))
+
+
+@register("i04_feature_categories", _union([
+    f"SELECT '{c}' AS feature, {c} AS value, count(*) AS count FROM lineitem GROUP BY {c}"
+    for c in ["l_returnflag", "l_linestatus"]]))
+def i04_feature_categories(spark, sf):
+    return S.feature_categories(read_table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_tax"])
+
+
+@register("i05_stream_scoring")
+def i05_stream_scoring(spark, sf):
+    """The lineitem file read as a stream (availableNow) and scored by naive Bayes."""
+    import uuid
+    from .session import ensure_checkpoint_dir
+    from .streaming.score_stream import source, start_scoring
+    prep = lineitem_prepared(spark, sf)
+    model = GaussianNB().fit(prep.train)
+    li = read_table(spark, sf, "lineitem")
+    stream = source(spark, f"{sf.rstrip('/')}/lineitem*.parquet", li.schema)
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    q = start_scoring(prep, model, stream, f"{base}/out", f"{base}/ckpt", keep=LI_KEY)
+    q.awaitTermination()
+    return spark.read.parquet(f"{base}/out")
