@@ -45,6 +45,24 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
             .orderBy("class"))
 
 
+def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
+    """Weighted F1 from one job: the (true, predicted) count table has at most
+    k x k rows, so it is read back and reduced on the driver."""
+    pairs = [(r["t"], r["p"], r["n"]) for r in _pairs(df, label, prediction).collect()]
+    classes = {t for t, _, _ in pairs} | {p for _, p, _ in pairs}
+    n = sum(c for _, _, c in pairs)
+    total = 0.0
+    for c in classes:
+        tp = sum(x for t, p, x in pairs if t == c and p == c)
+        sup = sum(x for t, _, x in pairs if t == c)
+        pred = sum(x for _, p, x in pairs if p == c)
+        prec = tp / pred if pred else 0.0
+        rec = tp / sup if sup else 0.0
+        f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
+        total += f1 * sup
+    return total / n if n else 0.0
+
+
 def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
     """Accuracy and support-weighted precision / recall / F1 (4 dp)."""
     pc = per_class(df, label, prediction)

@@ -555,16 +555,6 @@ def v02_target_ready(spark, sf):
     return V.target_ready(read_table(spark, sf, "labels"), "quality")
 
 
-@register("v03_features_ready", "SELECT 'features' AS check, true AS ok, '' AS message")
-def v03_features_ready(spark, sf):
-    return V.features_ready(read_table(spark, sf, "labels"), ["toxic"], "quality")
-
-
-@register("v04_split_ratio", "SELECT 'split' AS check, false AS ok, 'train ratio 95% is outside 60%-90%' AS message")
-def v04_split_ratio(spark, sf):
-    return V.split_ratio_ok(spark, train_ratio=0.95)
-
-
 @register("v05_stratify_ok", """SELECT 'stratify' AS check, min(n) >= 6 AS ok,
   CASE WHEN min(n) < 6 THEN printf('smallest class has %d rows; a stratified split needs 6', min(n)) ELSE '' END AS message
 FROM (SELECT toxic, count(*) AS n FROM labels GROUP BY toxic)""")
@@ -983,11 +973,6 @@ for _key, _name in [("m01_logistic_regression", "Logistic Regression"), ("m03_de
     register(_key)(_trained_predictions(_name))
 
 
-@register("m08_catalogue")
-def m08_catalogue(spark, sf):
-    return M.catalogue_frame(spark)
-
-
 @register("m10_train_all")
 def m10_train_all(spark, sf):
     prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
@@ -1080,3 +1065,21 @@ def i05_stream_scoring(spark, sf):
     q = start_scoring(prep, model, stream, f"{base}/out", f"{base}/ckpt", keep=LI_KEY)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")
+
+
+# ----------------------------------------------------------------- H1-H5
+from .operators import tuning as H  # noqa: E402
+
+
+@register("h02_grid_search")
+def h02_grid_search(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard")
+    res = H.grid_search("Naive Bayes", prep.train, key=LI_KEY, parallelism=4)
+    return H.tuning_table(res.scores)
+
+
+@register("h03_random_search")
+def h03_random_search(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard")
+    res = H.random_search("Rule-Based", prep.train, n_iter=3, key=LI_KEY, parallelism=4, with_train_scores=False)
+    return H.tuning_table(res.scores)
