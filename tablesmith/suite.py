@@ -1083,3 +1083,79 @@ def h03_random_search(spark, sf):
     prep = lineitem_prepared(spark, sf, "standard")
     res = H.random_search("Rule-Based", prep.train, n_iter=3, key=LI_KEY, parallelism=4, with_train_scores=False)
     return H.tuning_table(res.scores)
+
+
+# ----------------------------------------------------------------- S1-S10
+from .sources import bundle as B  # noqa: E402
+from .sources import csv as CSV  # noqa: E402
+from .sources import sinks as SK  # noqa: E402
+
+
+def _scratch(spark, name):
+    import uuid
+    from .session import ensure_checkpoint_dir
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _customer_csv(spark, sf):
+    path = _scratch(spark, "customer-csv")
+    read_table(spark, sf, "customer").write.option("header", True).csv(path)
+    return path
+
+
+@register("s01_csv_scan", """SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment
+FROM customer""")
+def s01_csv_scan(spark, sf):
+    return CSV.load_csv(spark, _customer_csv(spark, sf)).table
+
+
+@register("s04_load_metadata", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns FROM customer")
+def s04_load_metadata(spark, sf):
+    return CSV.load_csv(spark, _customer_csv(spark, sf)).metadata.select("rows", "columns")
+
+
+@register("s02_encoding_audit")
+def s02_encoding_audit(spark, sf):
+    return CSV.encoding_audit(spark, _customer_csv(spark, sf)).drop("path")
+
+
+@register("s05_structure_check")
+def s05_structure_check(spark, sf):
+    ok, msg = CSV.check_structure(spark, _customer_csv(spark, sf))
+    return spark.createDataFrame([(ok, msg)], "ok boolean, message string")
+
+
+@register("s06_parquet_scan", "SELECT l_orderkey, l_quantity, l_shipdate FROM lineitem WHERE l_quantity > 45")
+def s06_parquet_scan(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    return li.where(F.col("l_quantity") > 45).select("l_orderkey", "l_quantity", "l_shipdate")
+
+
+@register("s07_prediction_sink", _NB_PROBS + "\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, predicted_class FROM sc")
+def s07_prediction_sink(spark, sf):
+    path = _scratch(spark, "predictions")
+    SK.write_predictions(_nb_scored(spark, sf).select(*LI_KEY, "predicted_class"), path, "csv")
+    return spark.read.schema("l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, "
+                             "predicted_class string").option("header", True).csv(path)
+
+
+@register("s08_bundle_roundtrip", _NB_PROBS + "\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, predicted_class FROM sc")
+def s08_bundle_roundtrip(spark, sf):
+    prep = lineitem_prepared(spark, sf)
+    trained = M.train_one("Naive Bayes", prep.train)
+    path = _scratch(spark, "bundle")
+    B.save_bundle(path, prep, trained, {"f1": 0.0})
+    prep2, trained2, _ = B.load_bundle(spark, path)
+    return S.score(prep2, trained2.model, read_table(spark, sf, "lineitem"), keep=LI_KEY) \
+        .select(*LI_KEY, "predicted_class")
+
+
+@register("s10_decision_log")
+def s10_decision_log(spark, sf):
+    path = _scratch(spark, "log")
+    n = read_table(spark, sf, "orders").count()
+    SK.log_decision(spark, path, "upload", "orders table read", {"rows": n})
+    res = FX.apply_plan(orders_with_gaps(spark, sf), FIX_PLAN, count=True)
+    for r in res.log.collect():  # one entry per applied fix: plan length, not data size
+        SK.log_decision(spark, path, "fix_applied", r["text"], {"column": r["column"], "method": r["method"]})
+    return SK.read_log(spark, path)
