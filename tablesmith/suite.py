@@ -1159,3 +1159,46 @@ def s10_decision_log(spark, sf):
     for r in res.log.collect():  # one entry per applied fix: plan length, not data size
         SK.log_decision(spark, path, "fix_applied", r["text"], {"column": r["column"], "method": r["method"]})
     return SK.read_log(spark, path)
+
+
+# ----------------------------------------------------------------- P14 / S9
+from .plans import report as RP  # noqa: E402
+from .plans.full_profile import full_profile  # noqa: E402
+
+
+@register("p14_full_profile_outliers", _p8)
+def p14_full_profile_outliers(spark, sf):
+    return full_profile(read_table(spark, sf, "events")).outliers_iqr
+
+
+@register("p14_full_profile_distribution", _p6)
+def p14_full_profile_distribution(spark, sf):
+    return full_profile(read_table(spark, sf, "events")).numeric_distribution
+
+
+@register("p14_full_profile_correlation", _corr_sql("SELECT * FROM events", EVENTS_NUM, False))
+def p14_full_profile_correlation(spark, sf):
+    return full_profile(read_table(spark, sf, "events")).correlation
+
+
+@register("p14_full_profile_missing", f"WITH g AS ({ORDERS_WITH_GAPS_SQL})\n{_p1}")
+def p14_full_profile_missing(spark, sf):
+    return full_profile(orders_with_gaps(spark, sf)).missing
+
+
+@register("s09_report_eda_section", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}), m AS ({_p1})
+SELECT 'EDA summary' AS section, 0 AS ord, 'Missing values (cells)' AS key, CAST(sum(missing_count) AS VARCHAR) AS value FROM m""")
+def s09_report_eda_section(spark, sf):
+    g = orders_with_gaps(spark, sf)
+    prof = full_profile(g)
+    sec = RP.eda_section(prof.missing, prof.outliers_iqr, C.high_correlation_pairs(prof.correlation, 0.7))
+    return sec.where(F.col("ord") == 0)
+
+
+@register("s09_report_markdown")
+def s09_report_markdown(spark, sf):
+    from .plans.workflow import run
+    li = read_table(spark, sf, "lineitem")
+    cfg = T.PrepConfig(target="l_returnflag", features=tuple(NB_FEATURES + ["l_linestatus"]), key=tuple(LI_KEY))
+    res = run(li, cfg, models=["Naive Bayes", "Rule-Based"])
+    return RP.to_markdown(res.report)
