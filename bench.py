@@ -58,7 +58,7 @@ def main() -> None:
         for d in (p.missing, p.outliers_iqr, p.outliers_zscore, p.correlation, p.numeric_distribution,
                   p.categorical_distribution):
             d.collect()
-        Q.run_all(df, target=target).collect()
+        Q.run_all(df, target=target, profile=p).collect()
         p.unpersist()
     timed("eda_events", lambda: eda(ev, "event_type"))
     timed("eda_lineitem", lambda: eda(li, "l_returnflag"))

@@ -1,9 +1,9 @@
 """Correlation matrix in long form (P10 Pearson, P11 Spearman) and
 high-correlation pairs (P13).
 
-Pearson is one aggregate pass: for each column pair, ``covar_samp`` and the two
-``stddev_samp`` over rows where both values are present (pairwise-complete,
-as pandas). Spearman replaces each value by its average rank (ties share the
+Pearson is one aggregate pass of plain sums of centred values (column sums,
+squares and cross products; for a pair with missing values the sums run over
+the rows where both are present - pairwise-complete, as pandas). Spearman replaces each value by its average rank (ties share the
 mean of their positions), computed from the value-count table with bounded
 running totals, then applies Pearson to the ranks; for a pair where a column
 has missing values, ranks are recomputed over that pair's complete rows.
@@ -11,47 +11,96 @@ has missing values, ranks are recomputed over that pair's complete rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, is_missing, numeric_columns
-from ..functions.stats import safe_div
 from .ranking import DEFAULT_MAX_TASK_ROWS, running_totals
 
 SCHEMA = "feature_1 string, feature_2 string, idx_1 int, idx_2 int, r double"
 
 
-def _pearson_pairs(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]]) -> dict:
-    aggs = []
+def _pearson_pairs(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]],
+                   means: list | None = None, gaps: list | None = None) -> dict:
+    """r for each (a, b) from one pass of plain sums over values centred by the
+    column means (sums stay in whole-stage codegen and the centring keeps them
+    stable). Pairs of gap-free columns share the column sums; a pair with
+    missing values uses sums over its complete rows only (pairwise-complete)."""
+    if not pairs:
+        return {}
+    if means is None or gaps is None:
+        pre = df.agg(*[F.avg(as_double(df, c)).alias(f"m{i}") for i, c in enumerate(cols)],
+                     *[F.max(is_missing(df, c).cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+        means = [pre[f"m{i}"] for i in range(len(cols))]
+        gaps = [bool(pre[f"g{i}"]) for i in range(len(cols))]
+    x = [as_double(df, c) - F.lit(means[i] or 0.0) for i, c in enumerate(cols)]
+    used = sorted({i for p in pairs for i in p})
+    aggs = [F.count(F.lit(1)).alias("n")]
+    for i in used:
+        if not gaps[i]:
+            aggs += [F.sum(x[i]).alias(f"s{i}"), F.sum(x[i] * x[i]).alias(f"q{i}")]
     for a, b in pairs:
-        x, y = as_double(df, cols[a]), as_double(df, cols[b])
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs.append(safe_div(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys)).alias(f"r_{a}_{b}"))
-    row = df.agg(*aggs).first() if aggs else None
-    return {(a, b): row[f"r_{a}_{b}"] for a, b in pairs}
-
-
-def _matrix(spark, cols: list[str], r: dict) -> DataFrame:
+        if a == b and gaps[a]:
+            aggs += [F.count(x[a]).alias(f"n{a}_{b}"), F.sum(x[a]).alias(f"sa{a}_{b}"),
+                     F.sum(x[a] * x[a]).alias(f"qa{a}_{b}")]
+        elif a != b and not gaps[a] and not gaps[b]:
+            aggs.append(F.sum(x[a] * x[b]).alias(f"p{a}_{b}"))
+        elif a != b:
+            both = x[a].isNotNull() & x[b].isNotNull()
+            xa, xb = F.when(both, x[a]), F.when(both, x[b])
+            aggs += [F.count(F.when(both, 1)).alias(f"n{a}_{b}"), F.sum(xa).alias(f"sa{a}_{b}"),
+                     F.sum(xb).alias(f"sb{a}_{b}"), F.sum(xa * xa).alias(f"qa{a}_{b}"),
+                     F.sum(xb * xb).alias(f"qb{a}_{b}"), F.sum(xa * xb).alias(f"p{a}_{b}")]
+    row = df.agg(*aggs).first()
+
+    def corr(n, sa, sb, qa, qb, pab):
+        if not n or n < 2 or sa is None or sb is None:
+            return None
+        va, vb = qa - sa * sa / n, qb - sb * sb / n
+        if va <= 0 or vb <= 0:
+            return None
+        return (pab - sa * sb / n) / math.sqrt(va * vb)
+
+    out = {}
+    for a, b in pairs:
+        if a == b:
+            if gaps[a]:
+                out[(a, b)] = 1.0 if corr(row[f"n{a}_{b}"], row[f"sa{a}_{b}"], row[f"sa{a}_{b}"],
+                                          row[f"qa{a}_{b}"], row[f"qa{a}_{b}"], row[f"qa{a}_{b}"]) else None
+            else:
+                v = corr(row["n"], row[f"s{a}"], row[f"s{a}"], row[f"q{a}"], row[f"q{a}"], row[f"q{a}"])
+                out[(a, b)] = 1.0 if v is not None else None
+        elif not gaps[a] and not gaps[b]:
+            out[(a, b)] = corr(row["n"], row[f"s{a}"], row[f"s{b}"], row[f"q{a}"], row[f"q{b}"], row[f"p{a}_{b}"])
+        else:
+            out[(a, b)] = corr(row[f"n{a}_{b}"], row[f"sa{a}_{b}"], row[f"sb{a}_{b}"], row[f"qa{a}_{b}"],
+                               row[f"qb{a}_{b}"], row[f"p{a}_{b}"])
+    return out
+
+
+def _matrix(spark, cols: list[str], r: dict, digits: int | None = 3) -> DataFrame:
     rows = []
     for i, ci in enumerate(cols):
         for j, cj in enumerate(cols):
             v = r.get((min(i, j), max(i, j)))
             rows.append((ci, cj, i, j, None if v is None else float(v)))
-    return spark.createDataFrame(rows, SCHEMA).withColumn("r", F.round("r", 3))
+    out = spark.createDataFrame(rows, SCHEMA)
+    return out if digits is None else out.withColumn("r", F.round("r", digits))
 
 
 def _all_pairs(n: int) -> list[tuple[int, int]]:
     return [(i, j) for i in range(n) for j in range(i, n)]
 
 
-def pearson(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """P10: long matrix (feature_1, feature_2, idx_1, idx_2, r 3 dp); fewer than
-    two numeric columns gives an empty table."""
+def pearson(df: DataFrame, columns: list[str] | None = None, digits: int | None = 3) -> DataFrame:
+    """P10: long matrix (feature_1, feature_2, idx_1, idx_2, r 3 dp; ``digits=None``
+    keeps r unrounded); fewer than two numeric columns gives an empty table."""
     cols = columns if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    return _matrix(df.sparkSession, cols, _pearson_pairs(df, cols, _all_pairs(len(cols))))
+    return _matrix(df.sparkSession, cols, _pearson_pairs(df, cols, _all_pairs(len(cols))), digits)
 
 
 def average_ranks(df: DataFrame, column: str, max_task_rows: int = DEFAULT_MAX_TASK_ROWS) -> DataFrame:

@@ -12,8 +12,8 @@ found by narrowing an interval:
 2. the driver reads that bounded histogram (targets x buckets rows) and keeps
    the one bucket holding rank k;
 3. once an interval holds at most ``max_task_rows`` rows (or a single value),
-   the rows inside it are ranked with ``row_number`` partitioned by target:
-   a bounded sort per task.
+   its values are collected and sorted inside one task (``groupBy(interval)``
+   + ``sort_array(collect_list)``): a bounded sort per task.
 
 Small inputs skip straight to step 3, so at test scale this is one job.
 Quantiles use linear interpolation between the two order statistics around
@@ -25,7 +25,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,18 +143,32 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
         settle()
 
     if state:
+        # every remaining interval holds at most max_task_rows values: sort each
+        # one inside a single task and read the wanted positions
         groups = groups_of(list(state))
-        j = in_groups(groups)
-        ranked = j.withColumn("rn", F.row_number().over(Window.partitionBy("gid").orderBy("v")) - 1)
+        whole = all(lo is None and hi is None for (_, lo, hi), _ in groups)
+        if whole:  # first round: an interval is a whole column, no join needed
+            gid_of = {c: gid for gid, ((c, _, _), _) in enumerate(groups)}
+            gid_col = None
+            for c, gid in gid_of.items():
+                gid_col = (F.when(F.col("feature") == c, gid) if gid_col is None
+                           else gid_col.when(F.col("feature") == c, gid))
+            j = values.where(F.col("feature").isin(list(gid_of))).withColumn("gid", gid_col)
+        else:
+            j = in_groups(groups)
+        ranked = j.groupBy("gid").agg(F.sort_array(F.collect_list("v")).alias("sorted"))
         offsets = []
         for gid, (_, keys) in enumerate(groups):
-            for key in keys:
-                offsets.append((gid, key[1] - state[key]["below"], key[0], key[1]))
-        off = spark.createDataFrame(offsets, "o_gid int, o_rn int, o_feature string, o_k int")
-        picked = (ranked.join(F.broadcast(off), (ranked.gid == off.o_gid) & (ranked.rn == off.o_rn))
-                  .select("o_feature", "o_k", "v").collect())
+            offsets.append((gid, [key[1] - state[key]["below"] for key in keys], [key[1] for key in keys],
+                            keys[0][0]))
+        off = spark.createDataFrame(offsets, "o_gid int, o_pos array<int>, o_k array<int>, o_feature string")
+        picked = (ranked.join(F.broadcast(off), ranked.gid == off.o_gid)
+                  .select("o_feature", "o_k", F.transform("o_pos", lambda o: F.element_at("sorted", o + 1))
+                          .alias("vals"))
+                  .collect())
         for r in picked:
-            result[(r["o_feature"], r["o_k"])] = r["v"]
+            for k, v in zip(r["o_k"], r["vals"]):
+                result[(r["o_feature"], k)] = v
     return result
 
 

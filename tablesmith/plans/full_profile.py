@@ -1,12 +1,12 @@
 """The full profile in a fixed number of passes over the table.
 
 Pass 1  one aggregate: row count, missing count per column, count / mean /
-        std / min / max / skewness / kurtosis per numeric column and the
-        pairwise-complete Pearson terms for every numeric pair.
+        std / min / max / skewness / kurtosis per numeric column.
 Pass 2  exact quartiles of all numeric columns at once (bounded selector).
 Pass 3  one aggregate: IQR low / high counts and z-score counts per column,
         with the bounds and moments from passes 1-2 as literals.
 Pass 4  the value-count table (one shuffle): top value per text column.
+Pass 5  one aggregate of centred sums: Pearson for every numeric pair.
 
 Results are small (columns, or column pairs) and are returned as cached
 DataFrames with the same columns as the single operators.
@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import (as_double, categorical_columns, field_type, is_missing, numeric_columns,
                                  type_name)
-from ..functions.stats import safe_div
 from ..operators import frequencies as fq
+from ..operators.correlation import _pearson_pairs
 from ..operators.profile import iqr_bounds
 from ..operators.quantiles import exact_quantiles
 
@@ -37,12 +37,13 @@ class Profile:
     global_missing_pct: float
     outliers_iqr: DataFrame
     outliers_zscore: DataFrame
-    correlation: DataFrame
+    correlation: DataFrame          # r rounded to 3 dp (display)
+    correlation_exact: DataFrame    # r unrounded (thresholds)
     numeric_distribution: DataFrame
     categorical_distribution: DataFrame
 
     def unpersist(self) -> None:
-        for d in (self.missing, self.outliers_iqr, self.outliers_zscore, self.correlation,
+        for d in (self.missing, self.outliers_iqr, self.outliers_zscore, self.correlation, self.correlation_exact,
                   self.numeric_distribution, self.categorical_distribution):
             d.unpersist()
 
@@ -62,12 +63,6 @@ def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
         aggs += [F.count(v).alias(f"c{i}"), F.avg(v).alias(f"a{i}"), F.stddev_samp(v).alias(f"s{i}"),
                  F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.skewness(v).alias(f"g1{i}"),
                  F.kurtosis(v).alias(f"g2{i}")]
-    pairs = [(i, j) for i in range(len(nums)) for j in range(i + 1, len(nums))]
-    for i, j in pairs:
-        x, y = as_double(df, nums[i]), as_double(df, nums[j])
-        both = x.isNotNull() & y.isNotNull()
-        xs, ys = F.when(both, x), F.when(both, y)
-        aggs.append(safe_div(F.covar_samp(xs, ys), F.stddev_samp(xs) * F.stddev_samp(ys)).alias(f"r{i}_{j}"))
     r = df.agg(*aggs).first()
     n = r["_n"]
     # ---- pass 2
@@ -128,17 +123,22 @@ def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
                                             "mean double, median double, std double, skewness double, kurtosis double")
     corr_rows = []
     if len(nums) >= 2:
+        # pass 5: centred sums with the pass-1 means (one more cheap aggregate)
+        miss_of = {c: bool(r[f"m{cols.index(c)}"]) for c in nums}
+        rr = _pearson_pairs(df, nums, [(i, j) for i in range(len(nums)) for j in range(i + 1, len(nums))],
+                            means=[r[f"a{i}"] for i in range(len(nums))], gaps=[miss_of[c] for c in nums])
         for i, a in enumerate(nums):
             for j, b in enumerate(nums):
                 if i == j:
                     s = r[f"s{i}"]
                     v = 1.0 if s and not math.isnan(s) and r[f"c{i}"] > 1 else None
                 else:
-                    v = r[f"r{min(i, j)}_{max(i, j)}"]
-                corr_rows.append((a, b, i, j, _r(v, 3)))
-    corr = spark.createDataFrame(corr_rows, "feature_1 string, feature_2 string, idx_1 int, idx_2 int, r double")
+                    v = rr[(min(i, j), max(i, j))]
+                corr_rows.append((a, b, i, j, v))
+    corr_exact = spark.createDataFrame(corr_rows, "feature_1 string, feature_2 string, idx_1 int, idx_2 int, r double")
+    corr = corr_exact.withColumn("r", F.round("r", 3))
     if cat_top is None:
         cat_top = spark.createDataFrame([], "feature string, top_value string, top_count long, top_pct double")
-    out = Profile(n, nums, cats, miss.cache(), gm, iqr.cache(), z.cache(), corr.cache(), dist.cache(),
-                  cat_top.cache())
+    out = Profile(n, nums, cats, miss.cache(), gm, iqr.cache(), z.cache(), corr.cache(), corr_exact.cache(),
+                  dist.cache(), cat_top.cache())
     return out

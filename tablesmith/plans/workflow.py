@@ -39,7 +39,7 @@ def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_p
     prof = full_profile(df)
     secs["profile"] = time.time() - t
     t = time.time()
-    issues = Q.run_all(df, target=cfg.target).cache()
+    issues = Q.run_all(df, target=cfg.target, profile=prof).cache()
     issues.count()
     secs["issues"] = time.time() - t
     if fix_plan:

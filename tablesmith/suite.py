@@ -294,6 +294,7 @@ def p13_high_corr_pairs(spark, sf):
 from pyspark.sql import functions as F  # noqa: E402
 
 from .operators import quality as Q  # noqa: E402
+from .plans.full_profile import full_profile  # noqa: E402
 
 
 def flat_issues(issues: DataFrame) -> DataFrame:
@@ -429,6 +430,12 @@ def q07_run_all(spark, sf):
     return flat_issues(Q.run_all(orders_with_gaps(spark, sf), target="o_orderpriority"))
 
 
+@register("q07_run_all_from_profile", _Q7_SQL)
+def q07_run_all_from_profile(spark, sf):
+    g = orders_with_gaps(spark, sf)
+    return flat_issues(Q.run_all(g, target="o_orderpriority", profile=full_profile(g)))
+
+
 @register("q08_issue_summary", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}),
 a AS ({_sql_issue_missing('g', _GAP_NAMES)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
 SELECT CAST(count(*) AS BIGINT) AS total_issues,
