@@ -45,13 +45,13 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
             .orderBy("class"))
 
 
-def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
-    """Weighted F1 from one job: the (true, predicted) count table has at most
-    k x k rows, so it is read back and reduced on the driver."""
+def metrics_dict(df: DataFrame, label: str = "label", prediction: str = "prediction") -> dict:
+    """E1 in one job: the (true, predicted) count table has at most k x k rows,
+    so it is read back and reduced on the driver (unrounded values)."""
     pairs = [(r["t"], r["p"], r["n"]) for r in _pairs(df, label, prediction).collect()]
-    classes = {t for t, _, _ in pairs} | {p for _, p, _ in pairs}
+    classes = {t for t, _, _ in pairs if t is not None} | {p for _, p, _ in pairs if p is not None}
     n = sum(c for _, _, c in pairs)
-    total = 0.0
+    acc = prec_w = rec_w = f1_w = 0.0
     for c in classes:
         tp = sum(x for t, p, x in pairs if t == c and p == c)
         sup = sum(x for t, _, x in pairs if t == c)
@@ -59,8 +59,15 @@ def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "predicti
         prec = tp / pred if pred else 0.0
         rec = tp / sup if sup else 0.0
         f1 = 2 * prec * rec / (prec + rec) if prec + rec else 0.0
-        total += f1 * sup
-    return total / n if n else 0.0
+        acc += tp
+        prec_w, rec_w, f1_w = prec_w + prec * sup, rec_w + rec * sup, f1_w + f1 * sup
+    if not n:
+        return {"accuracy": 0.0, "precision": 0.0, "recall": 0.0, "f1": 0.0}
+    return {"accuracy": acc / n, "precision": prec_w / n, "recall": rec_w / n, "f1": f1_w / n}
+
+
+def weighted_f1(df: DataFrame, label: str = "label", prediction: str = "prediction") -> float:
+    return metrics_dict(df, label, prediction)["f1"]
 
 
 def metrics(df: DataFrame, label: str = "label", prediction: str = "prediction", digits: int = 4) -> DataFrame:
@@ -183,20 +190,18 @@ def evaluate_all(scored: dict[str, DataFrame], label: str = "label", prediction:
     for i, (name, df) in enumerate(scored.items()):
         spark = df.sparkSession
         try:
-            m = metrics(df, label, prediction)
+            m = metrics_dict(df, label, prediction)
             auc = roc_auc(df, label, score, positive).first()[0] if score and score in df.columns else None
-            m = m.withColumn("roc_auc", F.lit(auc).cast("double"))
-            m = m.select(F.lit(name).alias("model"), F.lit(i).alias("model_ord"), *METRICS,
-                         F.lit(float((times or {}).get(name, 0.0))).alias("training_time"))
-            rows.append(m)
+            rows.append((name, i, *[m[k] for k in METRICS[:4]], auc,
+                         float((times or {}).get(name, 0.0))))
         except Exception:  # noqa: BLE001 - a failing model is skipped, like the reference
             continue
-    if not rows:
-        return spark.createDataFrame([], COMPARISON_SCHEMA) if spark else None
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    if spark is None:
+        return None
+    # one row per model; rounded by Spark like every other metric table
+    out = spark.createDataFrame(rows, COMPARISON_SCHEMA)
+    return out.select("model", "model_ord", *[F.round(k, 4).alias(k) for k in METRICS[:4]], "roc_auc",
+                      "training_time")
 
 
 COMPARISON_SCHEMA = ("model string, model_ord int, accuracy double, precision double, recall double, f1 double, "

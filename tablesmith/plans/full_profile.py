@@ -49,7 +49,12 @@ class Profile:
 
 
 def _r(x, d):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else round(x, d)
+    """NaN -> None; the rounding itself is done by Spark (half-up, like the operators)."""
+    return None if x is None or (isinstance(x, float) and math.isnan(x)) else float(x)
+
+
+def _round(df: DataFrame, digits: dict) -> DataFrame:
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
 
 
 def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
@@ -90,11 +95,13 @@ def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
                                          F.round(F.col("cnt") * 100.0 / F.lit(n), 2).alias("top_pct"))
     # ---- assemble (all bounded by columns or column pairs)
     miss = spark.createDataFrame(
-        [(c, int(r[f"m{i}"] or 0), _r((r[f"m{i}"] or 0) * 100.0 / n, 2) if n else 0.0,
+        [(c, int(r[f"m{i}"] or 0), (r[f"m{i}"] or 0) * 100.0 / n if n else 0.0,
           type_name(field_type(df, c))) for i, c in enumerate(cols)],
         "feature string, missing_count long, missing_pct double, dtype string")
+    miss = _round(miss, {"missing_pct": 2})
     cells = n * len(cols)
-    gm = round(sum((r[f"m{i}"] or 0) for i in range(len(cols))) * 100.0 / cells, 2) if cells else 0.0
+    gm = (spark.createDataFrame([(sum((r[f"m{i}"] or 0) for i in range(len(cols))) * 100.0 / cells,)], "g double")
+          .select(F.round("g", 2)).first()[0]) if cells else 0.0
     iqr_rows, z_rows, dist_rows = [], [], []
     for i, c in enumerate(nums):
         cnt = r[f"c{i}"]
@@ -114,13 +121,17 @@ def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
               if cnt > 3 and g2 is not None and not math.isnan(g2) else 0.0)
         dist_rows.append((c, n, n - cnt, _r(r[f"lo{i}"], 4), _r(r[f"hi{i}"], 4), _r(r[f"a{i}"], 4),
                           _r(q[c][1], 4), _r(s, 4), _r(sk, 4), _r(ku, 4)))
-    iqr = spark.createDataFrame(iqr_rows, "feature string, q1 double, q3 double, iqr double, lower_bound double, "
-                                          "upper_bound double, outliers_low long, outliers_high long, "
-                                          "total_outliers long, outlier_pct double")
-    z = spark.createDataFrame(z_rows, "feature string, mean double, std double, threshold double, "
-                                      "outliers_count long, outlier_pct double")
-    dist = spark.createDataFrame(dist_rows, "feature string, count long, null_count long, min double, max double, "
-                                            "mean double, median double, std double, skewness double, kurtosis double")
+    iqr = _round(spark.createDataFrame(iqr_rows, "feature string, q1 double, q3 double, iqr double, "
+                                                 "lower_bound double, upper_bound double, outliers_low long, "
+                                                 "outliers_high long, total_outliers long, outlier_pct double"),
+                 {c: 2 for c in ("q1", "q3", "iqr", "lower_bound", "upper_bound", "outlier_pct")})
+    z = _round(spark.createDataFrame(z_rows, "feature string, mean double, std double, threshold double, "
+                                             "outliers_count long, outlier_pct double"),
+               {"mean": 2, "std": 2, "outlier_pct": 2})
+    dist = _round(spark.createDataFrame(dist_rows, "feature string, count long, null_count long, min double, "
+                                                   "max double, mean double, median double, std double, "
+                                                   "skewness double, kurtosis double"),
+                  {c: 4 for c in ("min", "max", "mean", "median", "std", "skewness", "kurtosis")})
     corr_rows = []
     if len(nums) >= 2:
         # pass 5: centred sums with the pass-1 means (one more cheap aggregate)
