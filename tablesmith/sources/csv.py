@@ -50,7 +50,7 @@ def dedupe_names(names: list[str]) -> list[str]:
 
 def _reader(spark, encoding: str, mode: str = "PERMISSIVE"):
     return (spark.read.option("header", True).option("encoding", encoding).option("mode", mode)
-            .option("multiLine", False).option("enforceSchema", False))
+            .option("multiLine", False))
 
 
 def header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
@@ -121,11 +121,12 @@ def check_structure(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
         return False, str(e)
     if not names:
         return False, "no columns found"
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `_corrupt` string"
+    # one spare field catches rows with more fields than the header (Spark would drop them silently)
+    schema = ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `_extra` string, `_corrupt` string"
     df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path))
-    # the flag must be read together with a parsed column (Spark refuses a scan of the corrupt column alone)
-    bad = F.when(F.col("_corrupt").isNotNull(), F.coalesce(F.col("c0"), F.lit("")))
+          .option("enforceSchema", True).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path))
+    # the corrupt flag must be read together with a parsed column (Spark refuses a scan of it alone)
+    bad = F.when(F.col("_corrupt").isNotNull() | F.col("_extra").isNotNull(), F.coalesce(F.col("c0"), F.lit("")))
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("bad")).first()
     if r["n"] == 0:
         return False, "the file has no data rows"

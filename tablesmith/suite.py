@@ -901,19 +901,34 @@ def lineitem_prepared(spark, sf, scaling="none", features=tuple(NB_FEATURES)):
 
 _NB_SPLIT = "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY, cols=LI_KEY + ["l_returnflag"] + NB_FEATURES)
 _f = NB_FEATURES
-_NB_SQL = _NB_SPLIT + f""",
+_K = 3  # classes A, N, R of l_returnflag
+
+
+def _jll(k: int) -> str:
+    return (f"ln(n{k} * 1.0 / g.n) - 0.5 * ({' + '.join(f'ln(2 * pi() * (v{k}_{c} + eps))' for c in _f)})"
+            f" - 0.5 * ({' + '.join(f'(t.{c} - m{k}_{c}) * (t.{c} - m{k}_{c}) / (v{k}_{c} + eps)' for c in _f)})")
+
+
+# wide form: every row gets the three class scores, so repeated keys cannot merge rows
+_NB_BASE = _NB_SPLIT + f""",
 tr AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM sp),
-st AS (SELECT y, count(*) AS n_c, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _f)}
-       FROM tr WHERE split = 'train' GROUP BY y),
+st AS (SELECT {', '.join(f"max(CASE WHEN y = {k} THEN n_c END) AS n{k}" for k in range(_K))},
+         {', '.join(f"max(CASE WHEN y = {k} THEN m_{c} END) AS m{k}_{c}, max(CASE WHEN y = {k} THEN v_{c} END) AS v{k}_{c}"
+                    for k in range(_K) for c in _f)}
+       FROM (SELECT y, count(*) AS n_c, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _f)}
+             FROM tr WHERE split = 'train' GROUP BY y)),
 g AS (SELECT count(*) AS n, 1e-9 * greatest({', '.join(f'var_pop({c})' for c in _f)}) AS eps FROM tr WHERE split = 'train'),
-j AS (SELECT t.l_orderkey, t.l_linenumber, t.l_partkey, t.l_suppkey, st.y,
-        ln(st.n_c * 1.0 / g.n) - 0.5 * ({' + '.join(f'ln(2 * pi() * (v_{c} + eps))' for c in _f)})
-        - 0.5 * ({' + '.join(f'(t.{c} - m_{c}) * (t.{c} - m_{c}) / (v_{c} + eps)' for c in _f)}) AS jll
-      FROM tr t, st, g WHERE t.split = 'test')
-SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(arg_max(y, jll) AS DOUBLE) AS prediction,
-  round(1.0 / sum(exp(jll - jm)), 4) AS p_max
-FROM (SELECT *, max(jll) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS jm FROM j)
-GROUP BY l_orderkey, l_linenumber, l_partkey, l_suppkey"""
+j AS (SELECT t.*, {', '.join(f'{_jll(k)} AS j{k}' for k in range(_K))} FROM tr t, st, g),
+w AS (SELECT *, greatest(j0, j1, j2) AS jm,
+        CASE WHEN j0 >= j1 AND j0 >= j2 THEN 0 WHEN j1 >= j2 THEN 1 ELSE 2 END AS best FROM j),
+sc AS (SELECT *, 1.0 / (exp(j0 - jm) + exp(j1 - jm) + exp(j2 - jm)) AS confidence,
+         exp(j0 - jm) / (exp(j0 - jm) + exp(j1 - jm) + exp(j2 - jm)) AS p_A,
+         exp(j1 - jm) / (exp(j0 - jm) + exp(j1 - jm) + exp(j2 - jm)) AS p_N,
+         exp(j2 - jm) / (exp(j0 - jm) + exp(j1 - jm) + exp(j2 - jm)) AS p_R,
+         CASE best WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS predicted_class FROM w)"""
+_NB_SQL = _NB_BASE + """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(best AS DOUBLE) AS prediction, round(confidence, 4) AS p_max
+FROM sc WHERE split = 'test'"""
 
 
 @register("m04_naive_bayes", _NB_SQL)
@@ -1003,17 +1018,7 @@ def m12_decision_rules(spark, sf):
 # ----------------------------------------------------------------- I1-I5
 from .operators import score as S  # noqa: E402
 
-_NB_ALL = _NB_SQL[:_NB_SQL.index("\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CAST(arg_max")] \
-    .replace("FROM tr t, st, g WHERE t.split = 'test')", "FROM tr t, st, g)")
-_NB_PROBS = _NB_ALL + """,
-jm AS (SELECT *, exp(jll - max(jll) OVER w) AS e, arg_max(y, jll) OVER w AS best
-       FROM j WINDOW w AS (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey)),
-pr AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, y, best,
-       e / sum(e) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS p FROM jm),
-sc AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
-         CASE max(best) WHEN 0 THEN 'A' WHEN 1 THEN 'N' ELSE 'R' END AS predicted_class, max(p) AS confidence,
-         max(p) FILTER (WHERE y = 0) AS p_A, max(p) FILTER (WHERE y = 1) AS p_N, max(p) FILTER (WHERE y = 2) AS p_R
-       FROM pr GROUP BY 1, 2, 3, 4)"""
+_NB_PROBS = _NB_BASE
 
 
 def _nb_scored(spark, sf):
