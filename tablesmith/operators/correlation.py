@@ -155,8 +155,8 @@ def correlation(df: DataFrame, method: str = "pearson", columns: list[str] | Non
     if method == "spearman":
         return spearman(df, columns)
     if method == "kendall":
-        from .kendall import kendall
-        return kendall(df, columns)
+        raise NotImplementedError("Kendall tau-b is not built yet: an exact version needs a distributed "
+                                  "dominance count (open item, see README)")
     raise ValueError(f"unknown method {method!r}")
 
 

@@ -1214,3 +1214,22 @@ def s09_report_markdown(spark, sf):
     cfg = T.PrepConfig(target="l_returnflag", features=tuple(NB_FEATURES + ["l_linestatus"]), key=tuple(LI_KEY))
     res = run(li, cfg, models=["Naive Bayes", "Rule-Based"])
     return RP.to_markdown(res.report)
+
+
+# ----------------------------------------------------------------- P17 / V9
+@register("p17_density_curve", """WITH s AS (SELECT count(value) AS n, stddev_samp(value) AS sd, min(value) AS lo, max(value) AS hi FROM events),
+p AS (SELECT n, sd * pow(n, -0.2) AS h, lo, hi FROM s),
+g AS (SELECT range AS point, lo + (hi - lo) * range / 199 AS x, n, h, lo, hi FROM p, range(200))
+SELECT CAST(point AS INTEGER) AS point, round(x, 4) AS x,
+  round(sum(exp(-0.5 * pow((x - value) / h, 2))) / (n * h * sqrt(2 * pi())), 8) AS density,
+  round(sum(exp(-0.5 * pow((x - value) / h, 2))) / (n * h * sqrt(2 * pi())) * (n * ((hi - lo) / 30)), 4) AS count_scaled
+FROM g, events WHERE value IS NOT NULL GROUP BY point, x, n, h, lo, hi""")
+def p17_density_curve(spark, sf):
+    return P.density_curve(read_table(spark, sf, "events"), "value", 200, 0.0, 30)
+
+
+@register("v09_split_ready", "SELECT 'split' AS check, true AS ok, '' AS message FROM (SELECT count(*) FROM lineitem)")
+def v09_split_ready(spark, sf):
+    sp = T.train_test_split(read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag"), "l_returnflag",
+                            0.2, 42, True, LI_KEY)
+    return V.split_ready(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), "l_returnflag")
