@@ -1233,3 +1233,31 @@ def v09_split_ready(spark, sf):
     sp = T.train_test_split(read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag"), "l_returnflag",
                             0.2, 42, True, LI_KEY)
     return V.split_ready(sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test"), "l_returnflag")
+
+
+# ----------------------------------------------------------------- P12
+KENDALL_COLS = ["p_partkey", "p_size", "p_retailprice"]
+
+
+def _kendall_sql(table: str, cols: list[str], key: str) -> str:
+    """Brute force over all row pairs, each once by a unique key (the oracle only;
+    the Spark side never pairs rows)."""
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            if i == j:
+                parts.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, {i} AS idx_1, {j} AS idx_2, "
+                             f"CASE WHEN count(DISTINCT {a}) >= 2 THEN 1.0 END AS r FROM {table}")
+            else:
+                lo, hi = (a, b) if i < j else (b, a)
+                parts.append(f"""SELECT '{a}' AS feature_1, '{b}' AS feature_2, {i} AS idx_1, {j} AS idx_2, r FROM (
+  SELECT sum(sign(p.{lo} - q.{lo}) * sign(p.{hi} - q.{hi})) / sqrt((count(*) - count(*) FILTER (WHERE p.{lo} = q.{lo}))
+       * (count(*) - count(*) FILTER (WHERE p.{hi} = q.{hi}))) AS r
+  FROM {table} p JOIN {table} q ON p.{key} < q.{key})""")
+    return ("SELECT feature_1, feature_2, CAST(idx_1 AS INTEGER) AS idx_1, CAST(idx_2 AS INTEGER) AS idx_2, "
+            f"round(CAST(r AS DOUBLE), 3) AS r FROM ({_union(parts)})")
+
+
+@register("p12_kendall", _kendall_sql("part", KENDALL_COLS, "p_partkey"))
+def p12_kendall(spark, sf):
+    return C.correlation(read_table(spark, sf, "part"), "kendall", KENDALL_COLS)

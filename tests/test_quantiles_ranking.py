@@ -46,3 +46,20 @@ def test_running_totals_large_path_equals_window(spark):
     big = {(r.g, r.k): r.w_cum for r in running_totals(t, ["g"], ["k"], ["w"], max_task_rows=37).collect()}
     assert small == big
     assert small[(1, 199.0)] == sum(1 + (k % 3) for k in range(200))
+
+
+def test_kendall_tau_b_matches_brute_force(spark):
+    from tablesmith.operators.kendall import kendall_tau_b
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 15, 300).astype(float)
+    y = (x * 0.3 + rng.integers(0, 8, 300)).astype(float)
+    x[::13] = np.nan
+    m = ~np.isnan(x)
+    xx, yy = x[m], y[m]
+    dx, dy = np.sign(xx[:, None] - xx[None, :]), np.sign(yy[:, None] - yy[None, :])
+    iu = np.triu_indices(len(xx), 1)
+    n0, n1, n2 = len(iu[0]), (dx[iu] == 0).sum(), (dy[iu] == 0).sum()
+    ref = (dx * dy)[iu].sum() / np.sqrt((n0 - n1) * (n0 - n2))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    for block in (100_000, 23):  # one block, and many blocks (merge levels)
+        assert abs(kendall_tau_b(df, "x", "y", block) - ref) < 1e-12
