@@ -28,7 +28,7 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK_ROWS = 20_000
+DEFAULT_BLOCK_ROWS = 10_000
 
 
 class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
@@ -105,9 +105,9 @@ class KNNModel(Model, _KNNParams):
                 part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
                 kth = np.take_along_axis(d, part, axis=1).max(axis=1)
                 ties = (d <= kth[:, None]).sum(axis=1) > kk  # rows whose k-th distance is shared
-                for i in range(len(qq)):
-                    if ties[i]:  # exact tie-break on training id among equal distances
-                        part[i] = np.lexsort((tids, d[i]))[:kk]
+                for i in np.nonzero(ties)[0]:  # exact tie-break on training id among equal distances
+                    cand = np.nonzero(d[i] <= kth[i])[0]
+                    part[i] = cand[np.lexsort((tids[cand], d[i][cand]))[:kk]]
                 dsel = np.take_along_axis(d, part, axis=1)
                 order = np.lexsort((tids[part], dsel), axis=-1)
                 sel = np.take_along_axis(part, order, axis=1)
