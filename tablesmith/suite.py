@@ -752,7 +752,8 @@ f AS (SELECT *, CASE WHEN p + rc = 0 THEN 0.0 ELSE 2 * p * rc / (p + rc) END AS
 
 
 @register("e04_per_class", _E_PC + """
-SELECT c AS class, CAST(p AS DOUBLE) AS precision, CAST(rc AS DOUBLE) AS recall, CAST(f1 AS DOUBLE) AS f1,
+SELECT c AS class, round(CAST(p AS DOUBLE), 9) AS precision, round(CAST(rc AS DOUBLE), 9) AS recall,
+  round(CAST(f1 AS DOUBLE), 9) AS f1,
   CAST(support AS BIGINT) AS support, CAST(tp AS BIGINT) AS tp FROM f""")
 def e04_per_class(spark, sf):
     return E.per_class(rule_predictions(spark, sf)).select(

@@ -15,6 +15,10 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 import duckdb  # noqa: E402
 
+import os  # noqa: E402
+
+STRICT = os.environ.get("ORACLE_STRICT") == "1"  # compare floats bit for bit
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -50,6 +54,8 @@ def _norm(v):
     if isinstance(v, float):
         if math.isnan(v):
             return None
+        if STRICT:
+            return v + 0.0
         return round(v, 9) + 0.0
     if hasattr(v, "isoformat"):
         return str(v)[:26]
