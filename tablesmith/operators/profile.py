@@ -170,12 +170,22 @@ def _top_any(df: DataFrame, column: str, k: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------- P5
-def semantic_types(df: DataFrame) -> DataFrame:
+def distinct_table(df: DataFrame, cols: list[str], approx_rsd: float | None = None) -> DataFrame:
+    """(feature, distinct): exact from the value-count shuffle, or with
+    ``approx_rsd`` one pass of HyperLogLog++ sketches (no shuffle of values)."""
+    if approx_rsd is None:
+        return fq.distinct_counts(fq.value_counts(df, cols))
+    one = df.agg(*[F.approx_count_distinct(F.col(c), approx_rsd).alias(f"d{i}") for i, c in enumerate(cols)])
+    return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"d{i}").cast("long")
+                                                  .alias("distinct")) for i, c in enumerate(cols)])))
+
+
+def semantic_types(df: DataFrame, approx_rsd: float | None = None) -> DataFrame:
     """P5: feature, dtype, distinct, rows, inferred_type in
-    {datetime, id, binary, numeric_discrete, numeric_continuous, categorical}."""
+    {datetime, id, binary, numeric_discrete, numeric_continuous, categorical}.
+    ``approx_rsd`` opts into approximate distinct counts (exact by default)."""
     cols = fq.profiled_columns(df)
-    vc = fq.value_counts(df, cols)
-    dist = fq.distinct_counts(vc)
+    dist = distinct_table(df, cols, approx_rsd)
     n = df.count()
     meta = df.sparkSession.createDataFrame(
         [(c, i, type_name(field_type(df, c)), is_datetime(field_type(df, c)),

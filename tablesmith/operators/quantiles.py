@@ -172,13 +172,26 @@ def order_statistics(df: DataFrame, wanted: dict[str, list[int]],
     return result
 
 
+def approx_quantiles(df: DataFrame, columns: list[str], probs: list[float],
+                     accuracy: int = 10_000) -> dict[str, list[float | None]]:
+    """Opt-in fast path: ``percentile_approx`` (bounded sketches, one pass) for
+    very wide or very high-cardinality tables where exact values are not needed."""
+    row = df.agg(*[F.percentile_approx(as_double(df, c), list(probs), accuracy).alias(f"q{i}")
+                   for i, c in enumerate(columns)]).first()
+    return {c: (list(row[f"q{i}"]) if row[f"q{i}"] is not None else [None] * len(probs))
+            for i, c in enumerate(columns)}
+
+
 def exact_quantiles(df: DataFrame, columns: list[str], probs: list[float],
                     max_task_rows: int = DEFAULT_MAX_TASK_ROWS,
                     buckets: int = DEFAULT_BUCKETS,
-                    extent=None) -> dict[str, list[float | None]]:
-    """``{column: [quantile per prob]}``; None for a column with no values."""
+                    extent=None, accuracy: int | None = None) -> dict[str, list[float | None]]:
+    """``{column: [quantile per prob]}``; None for a column with no values.
+    ``accuracy`` switches to the approximate sketch (see ``approx_quantiles``)."""
     if not columns:
         return {}
+    if accuracy:
+        return approx_quantiles(df, columns, probs, accuracy)
     if extent is None:
         extent = column_extent(df, columns)
     wanted = {}
