@@ -71,7 +71,7 @@ def main() -> None:
         times[f"fit[{name}]"] = round(tr.seconds, 3)
 
     def evaluate():
-        scored = {n: M.predict(t, prep.test) for n, t in trained.items()}
+        scored = {n: M.predict(t, prep.test, "event_id") for n, t in trained.items()}
         return E.comparison(E.evaluate_all(scored, times={n: t.seconds for n, t in trained.items()})).collect()
     timed("evaluate_events", evaluate)
 

@@ -38,6 +38,8 @@ class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCo
     blockRows = Param(Params._dummy(), "blockRows", "rows per block", typeConverter=TypeConverters.toInt)
     idCol = Param(Params._dummy(), "idCol", "unique long id of training rows (tie-break); generated if unset",
                   typeConverter=TypeConverters.toString)
+    queryIdCol = Param(Params._dummy(), "queryIdCol", "unique id of rows to score; generated (and checkpointed) "
+                       "if unset or absent", typeConverter=TypeConverters.toString)
 
     def _defaults(self):
         self._setDefault(k=5, weights="uniform", metric="euclidean", blockRows=DEFAULT_BLOCK_ROWS,
@@ -49,7 +51,7 @@ class KNN(Estimator, _KNNParams):
     @keyword_only
     def __init__(self, k=5, weights="uniform", metric="euclidean", blockRows=DEFAULT_BLOCK_ROWS,
                  featuresCol="features", labelCol="label", predictionCol="prediction", probabilityCol="probability",
-                 idCol=None):
+                 idCol=None, queryIdCol=None):
         super().__init__()
         self._defaults()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -123,10 +125,13 @@ class KNNModel(Model, _KNNParams):
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        id_col = "_knn_row"
-        base = df.withColumn(id_col, F.monotonically_increasing_id())
-        from ...session import cut_lineage
-        base = cut_lineage(base)  # stable row ids for the join back
+        if self.isSet(self.queryIdCol) and self.getOrDefault(self.queryIdCol) in df.columns:
+            id_col, base = self.getOrDefault(self.queryIdCol), df   # the caller's unique row id
+        else:
+            id_col = "_knn_row"
+            from ...session import cut_lineage
+            # generated ids must survive recomputation: freeze them once
+            base = cut_lineage(df.withColumn(id_col, F.monotonically_increasing_id()))
         nb = self.neighbours(base, id_col)
         if self.getOrDefault(self.weights) == "distance":
             has_zero = F.max(F.when(F.col("dist") == 0, 1).otherwise(0)).over(Window.partitionBy("qid"))
@@ -142,4 +147,5 @@ class KNNModel(Model, _KNNParams):
                                           for c in self.classes]))
         scored = totals.select(F.col("qid").alias(id_col), F.col("pred").alias(self.getPredictionCol()),
                                probs.alias(self.getProbabilityCol()))
-        return base.join(scored, id_col, "left").drop(id_col)
+        out = base.join(scored, id_col, "left")
+        return out.drop(id_col) if id_col == "_knn_row" else out

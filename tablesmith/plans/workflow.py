@@ -56,7 +56,8 @@ def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_p
         trained, _ = M.train_all(prep.train, models)
     secs["train"] = time.time() - t
     t = time.time()
-    scored = {n: M.predict(tr, prep.test) for n, tr in trained.items()}
+    key = list(cfg.key or [])
+    scored = {n: M.predict(tr, prep.test, key[0] if len(key) == 1 else None) for n, tr in trained.items()}
     positive = 1.0 if len(prep.labels.classes) == 2 else None
     ev = E.evaluate_all({n: (s.withColumn("score", F.element_at(vector_to_array("probability"), 2))
                              if positive is not None and "probability" in s.columns else s)

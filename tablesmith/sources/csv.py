@@ -4,7 +4,7 @@ and load metadata.
 
 Everything is a Spark read: the header is one row of a text scan, the type of
 each column is decided by one aggregate over the whole column (``try_cast``
-counts), and the encoding audit reads each file as one binary row.
+counts), and the encoding audit checks the raw bytes of every line.
 """
 
 from __future__ import annotations
@@ -22,11 +22,16 @@ FALSE_TOKENS = ["False", "FALSE", "false"]
 
 
 def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: path, length, encoding ('utf-8' when the bytes
-    decode as UTF-8, else 'latin-1', which decodes any byte)."""
-    files = spark.read.format("binaryFile").load(path)
-    ok = F.is_valid_utf8(F.col("content").cast("string"))
-    return files.select("path", "length", F.when(ok, "utf-8").otherwise("latin-1").alias("encoding"))
+    """One row per file: path, length, encoding ('utf-8' when every line's
+    bytes are valid UTF-8, else 'latin-1', which decodes any byte). The text
+    source keeps each line's raw bytes and splits large files across tasks, so
+    the check is per line and a file of any size is read in parallel."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"),
+                                         F.col("_metadata.file_size").alias("length"),
+                                         F.is_valid_utf8("value").cast("int").alias("ok"))
+    per_file = lines.groupBy("path", "length").agg(F.min("ok").alias("ok"))
+    return per_file.select("path", "length", F.when(F.col("ok") == 1, "utf-8").otherwise("latin-1")
+                           .alias("encoding"))
 
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
@@ -105,7 +110,8 @@ def load_csv(spark: SparkSession, path: str, encoding: str | None = None) -> Loa
     rows = table.count()
     if rows == 0:
         raise ValueError("the file was parsed but has no data rows")
-    files = spark.read.format("binaryFile").load(path).select("length")
+    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("p"),
+                                          F.col("_metadata.file_size").alias("length")).distinct())
     size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
     meta = spark.createDataFrame([(rows, len(names), size["bytes"], size["files"], enc)],
                                  "rows long, columns long, bytes long, files long, encoding string")
