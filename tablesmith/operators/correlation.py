@@ -114,12 +114,19 @@ def average_ranks(df: DataFrame, column: str, max_task_rows: int = DEFAULT_MAX_T
 
 
 def _with_ranks(df: DataFrame, cols: list[str], max_task_rows: int) -> DataFrame:
+    """Each value replaced by its average rank. The ranks of all columns come
+    from one long value-count table and one ranking pass (grouped by column);
+    each column then joins its own slice (one row per distinct value: broadcast
+    when AQE measures it small, else a shuffle join with skew splitting)."""
     out = df.select([as_double(df, c).alias(f"_v{i}") for i, c in enumerate(cols)])
-    for i, c in enumerate(cols):
-        ranks = average_ranks(out, f"_v{i}", max_task_rows).withColumnRenamed("value", f"_v{i}") \
-            .withColumnRenamed("rank", f"_r{i}")
-        # one row per distinct value: Spark broadcasts it when AQE measures it small, else shuffles
-        out = out.join(ranks, f"_v{i}", "left")
+    pairs = F.array(*[F.struct(F.lit(i).alias("f"), F.col(f"_v{i}").alias("value")) for i in range(len(cols))])
+    counts = (out.select(F.inline(pairs)).where(F.col("value").isNotNull())
+              .groupBy("f", "value").agg(F.count(F.lit(1)).alias("n")))
+    cum = running_totals(counts, ["f"], ["value"], ["n"], max_task_rows)
+    ranks = cum.select("f", "value", (F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    for i in range(len(cols)):
+        r = ranks.where(F.col("f") == i).select(F.col("value").alias(f"_v{i}"), F.col("rank").alias(f"_r{i}"))
+        out = out.join(r, f"_v{i}", "left")
     return out.select([F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
 
 
