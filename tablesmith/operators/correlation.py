@@ -136,14 +136,18 @@ def spearman(df: DataFrame, columns: list[str] | None = None,
     cols = columns if columns is not None else numeric_columns(df)
     if len(cols) < 2:
         return df.sparkSession.createDataFrame([], SCHEMA)
-    gaps = df.agg(*[F.max(is_missing(df, c).cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
+    gaps = df.agg(F.count(F.lit(1)).alias("_n"),
+                  *[F.max(is_missing(df, c).cast("int")).alias(f"g{i}") for i, c in enumerate(cols)]).first()
     has_gaps = [bool(gaps[f"g{i}"]) for i in range(len(cols))]
     full = [i for i in range(len(cols)) if not has_gaps[i]]
     r = {}
     if full:
         ranked = _with_ranks(df, [cols[i] for i in full], max_task_rows)
         sub = [cols[i] for i in full]
-        pr = _pearson_pairs(ranked, sub, _all_pairs(len(sub)))
+        # average ranks of n gap-free values always have mean (n + 1) / 2: one pass, no pre-aggregate
+        mean_rank = (gaps["_n"] + 1) / 2.0
+        pr = _pearson_pairs(ranked, sub, _all_pairs(len(sub)), means=[mean_rank] * len(sub),
+                            gaps=[False] * len(sub))
         r.update({(full[a], full[b]): v for (a, b), v in pr.items()})
     for a, b in _all_pairs(len(cols)):
         if (a, b) in r:
