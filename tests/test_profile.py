@@ -110,3 +110,16 @@ def test_full_profile_agrees_with_operators(spark, nulls):
     b = {r.feature: tuple(r) for r in P.outliers_iqr(nulls).collect()}
     assert a == b
     assert math.isclose(prof.global_missing_pct, P.global_missing_pct(nulls).first()[0])
+
+
+def test_bools_excluded_from_profiling_but_features(spark):
+    from tablesmith.functions.columns import feature_column_types, numeric_columns
+    from tablesmith.operators import prepare as T
+    df = spark.createDataFrame([(True, "x"), (False, "y"), (True, "x"), (False, "y")] * 3, "b boolean, y string")
+    assert numeric_columns(df) == [] and P.outliers_iqr(df).count() == 0
+    assert feature_column_types(df, ["b"]) == (["b"], [])
+    prep = T.prepare(df.withColumn("k", F.monotonically_increasing_id()),
+                     T.PrepConfig(target="y", features=("b",), scaling="none", stratify=False, key=("k",)))
+    from pyspark.ml.functions import vector_to_array
+    vals = {r[0][0] for r in prep.train.select(vector_to_array("features")).collect()}
+    assert vals <= {0.0, 1.0}
