@@ -2,8 +2,9 @@
 categories, modes and sample values for every column at once.
 
 Rows are ``(feature, ki, kd, ks, cnt)``: the value of ``feature`` sits in
-exactly one typed key column (``ki`` long for integral / boolean / date /
-timestamp, ``kd`` double for floating and decimal, ``ks`` string for text),
+exactly one typed key column (``ki`` long for integral / boolean / date / zoned
+timestamp, ``kd`` double for floating and decimal, ``ks`` string for text and
+zone-less timestamps in ISO form),
 so values keep their native order and distinctness. Missing values are
 dropped. ``cnt`` is pre-aggregated map-side, so a value holding a third of all
 rows is one partial count per task, not a hot shuffle key.
@@ -33,8 +34,11 @@ def _keys(df: DataFrame, name: str) -> tuple[Column, Column, Column] | None:
         return null_l, as_double(df, name), null_s
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long"), null_d, null_s
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
-        return F.unix_micros(c.cast("timestamp")), null_d, null_s
+    if isinstance(dt, T.TimestampType):
+        return F.unix_micros(c), null_d, null_s
+    if isinstance(dt, T.TimestampNTZType):
+        # ISO text keeps order and distinctness and, unlike a cast to an instant, ignores the session zone
+        return null_l, null_d, c.cast("string")
     if isinstance(dt, T.StringType):
         return null_l, null_d, c
     if isinstance(dt, T.BinaryType):
@@ -70,8 +74,10 @@ def value_text(df: DataFrame, name: str) -> Column:
         return F.when(F.col("ki") == 1, F.lit("True")).otherwise(F.lit("False"))
     if isinstance(dt, T.DateType):
         return F.date_from_unix_date(F.col("ki").cast("int")).cast("string")
-    if isinstance(dt, (T.TimestampType, T.TimestampNTZType)):
+    if isinstance(dt, T.TimestampType):
         return F.timestamp_micros(F.col("ki")).cast("string")
+    if isinstance(dt, T.TimestampNTZType):
+        return F.col("ks")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.col("ki").cast("string")
     if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
