@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .operators import profile as P
+from .session import ship_package
 from .sources.tables import (LINEITEM_WITH_NET_SQL, ORDERS_WITH_GAPS_SQL, lineitem_with_net,
                              orders_with_gaps, read_table)
 
@@ -20,7 +21,11 @@ ORACLE: dict[str, str] = {}
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)  # the workers import tablesmith for Pandas UDF code
+            return fn(spark, sf_dir)
+        run.__name__, run.__doc__ = fn.__name__, fn.__doc__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = sql
         return fn

@@ -18,6 +18,8 @@ def spark():
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(s)
+    from tablesmith.session import ship_package
+    ship_package(s)
     yield s
 
 
