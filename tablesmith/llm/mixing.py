@@ -35,7 +35,7 @@ from tablesmith.llm.common import stored, word_count
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 MAX_SOURCES = 100_000
-ROWS_PER_RANGE = 4096
+ROWS_PER_RANGE = 512
 MAX_RANGES = 65_536
 
 
