@@ -60,7 +60,7 @@ def feature_column_types(df: DataFrame, features: list[str]) -> tuple[list[str],
 
 def as_double(df: DataFrame, name: str) -> Column:
     """Numeric column as double with NaN mapped to null (pandas treats both as missing)."""
-    c = F.col(name)
+    c = col(name)
     dt = field_type(df, name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
@@ -69,7 +69,7 @@ def as_double(df: DataFrame, name: str) -> Column:
 
 def is_missing(df: DataFrame, name: str) -> Column:
     """Missing = null, or NaN for floating columns."""
-    c = F.col(name)
+    c = col(name)
     dt = field_type(df, name)
     if isinstance(dt, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
@@ -83,3 +83,20 @@ def type_name(dt: T.DataType) -> str:
 
 def quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str) -> Column:
+    """The column of that exact name, whatever signs (dots, back-ticks) it holds."""
+    return F.col(quote(name))
+
+
+MAX_CLASSES = 10_000
+
+
+def bounded(rows: DataFrame, what: str, limit: int = MAX_CLASSES) -> list:
+    """Collect a table of one row per class (or category): an error beyond ``limit`` rows,
+    instead of an unbounded list on the driver."""
+    got = rows.limit(limit + 1).collect()
+    if len(got) > limit:
+        raise ValueError(f"more than {limit} {what}; choose another column or raise the limit")
+    return got

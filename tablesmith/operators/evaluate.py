@@ -13,9 +13,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded
 from ..functions.stats import safe_div
 from .ranking import DEFAULT_MAX_TASK_ROWS, running_totals
 
+MAX_GRID = 1000     # classes of a confusion matrix
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 
 
@@ -48,7 +50,8 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
 def metrics_dict(df: DataFrame, label: str = "label", prediction: str = "prediction") -> dict:
     """E1 in one job: the (true, predicted) count table has at most k x k rows,
     so it is read back and reduced on the driver (unrounded values)."""
-    pairs = [(r["t"], r["p"], r["n"]) for r in _pairs(df, label, prediction).collect()]
+    pairs = [(r["t"], r["p"], r["n"]) for r in bounded(
+        _pairs(df, label, prediction), "pairs of classes", MAX_GRID * MAX_GRID)]
     classes = {t for t, _, _ in pairs if t is not None} | {p for _, p, _ in pairs if p is not None}
     n = sum(c for _, _, c in pairs)
     acc = prec_w = rec_w = f1_w = 0.0
@@ -87,7 +90,7 @@ def confusion(df: DataFrame, label: str = "label", prediction: str = "prediction
     and the row-normalised share."""
     pairs = _pairs(df, label, prediction).where(F.col("t").isNotNull() & F.col("p").isNotNull())
     # the class union has k rows (one per class), so the k x k grid is built from it directly
-    classes = sorted(r[0] for r in _classes(pairs).collect())
+    classes = sorted(r[0] for r in bounded(_classes(pairs), "classes", MAX_GRID))
     dtype = pairs.schema["t"].dataType
     grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes],
                                            f"t {dtype.simpleString()}, p {dtype.simpleString()}")
@@ -147,11 +150,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "score", positive=
     return auc.select(F.round("roc_auc", 4).alias("roc_auc"))
 
 
-def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1,
-              max_task_rows: int = DEFAULT_MAX_TASK_ROWS, group: str | None = None) -> DataFrame:
-    """(threshold, fpr, tpr) per distinct score, highest threshold first,
-    plus the (inf, 0, 0) start point. Collinear points are kept."""
-    counts = _score_counts(df, positive, label, score, group)
+def _curve_from_counts(counts: DataFrame, max_task_rows: int) -> DataFrame:
+    """(g, threshold, fpr, tpr) per group and distinct score, plus (inf, 0, 0)."""
     cum = running_totals(counts.withColumn("ns", -F.col("s")), ["g"], ["ns"], ["pos", "neg"], max_task_rows)
     tot = counts.groupBy("g").agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"))  # one row per group
     pts = cum.join(F.broadcast(tot), "g").select(
@@ -159,32 +159,50 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positiv
         F.coalesce(safe_div(F.col("neg_cum").cast("double"), F.col("N")), F.lit(0.0)).alias("fpr"),
         F.coalesce(safe_div(F.col("pos_cum").cast("double"), F.col("P")), F.lit(0.0)).alias("tpr"))
     start = tot.select("g", F.lit(float("inf")).alias("threshold"), F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"))
-    out = pts.unionByName(start).select("g", "threshold", F.round("fpr", 6).alias("fpr"),
-                                        F.round("tpr", 6).alias("tpr"))
+    return pts.unionByName(start).select("g", "threshold", F.round("fpr", 6).alias("fpr"), F.round("tpr", 6).alias("tpr"))
+
+
+def roc_curve(df: DataFrame, label: str = "label", score: str = "score", positive=1,
+              max_task_rows: int = DEFAULT_MAX_TASK_ROWS, group: str | None = None) -> DataFrame:
+    """(threshold, fpr, tpr) per distinct score, highest threshold first,
+    plus the (inf, 0, 0) start point. Collinear points are kept."""
+    out = _curve_from_counts(_score_counts(df, positive, label, score, group), max_task_rows)
     return (out.withColumnRenamed("g", group) if group else out.drop("g")).orderBy(F.desc("threshold"))
 
 
-def multiclass_roc_auc(df: DataFrame, label: str = "label", probability: str = "probability",
-                       max_task_rows: int = DEFAULT_MAX_TASK_ROWS) -> DataFrame:
-    """One-vs-rest AUC per class index from a probability array / vector."""
+def _one_vs_rest(df: DataFrame, label: str, probability: str) -> DataFrame:
+    """Positives and negatives per class index and distinct probability of that class."""
     from pyspark.ml.functions import vector_to_array
     p = F.col(probability)
     if df.schema[probability].dataType.typeName() == "vector":
         p = vector_to_array(probability)
     long = df.select(F.col(label).cast("double").alias("_y"), F.posexplode(p).alias("cls", "_s"))
-    counts = (long.groupBy(F.col("cls").alias("g"), F.col("_s").cast("double").alias("s"))
-              .agg(F.count(F.when(F.col("_y") == F.col("cls"), 1)).alias("pos"),
-                   F.count(F.when(F.col("_y") != F.col("cls"), 1)).alias("neg")))
-    auc = _auc_from_counts(counts, max_task_rows)
+    return (long.groupBy(F.col("cls").alias("g"), F.col("_s").cast("double").alias("s"))
+            .agg(F.count(F.when(F.col("_y") == F.col("cls"), 1)).alias("pos"),
+                 F.count(F.when(F.col("_y") != F.col("cls"), 1)).alias("neg")))
+
+
+def multiclass_roc_auc(df: DataFrame, label: str = "label", probability: str = "probability",
+                       max_task_rows: int = DEFAULT_MAX_TASK_ROWS) -> DataFrame:
+    """One-vs-rest AUC per class index from a probability array / vector."""
+    auc = _auc_from_counts(_one_vs_rest(df, label, probability), max_task_rows)
     return auc.select(F.col("g").cast("int").alias("class_index"), F.round("roc_auc", 4).alias("roc_auc")) \
         .orderBy("class_index")
 
 
+def multiclass_roc_curve(df: DataFrame, label: str = "label", probability: str = "probability",
+                         max_task_rows: int = DEFAULT_MAX_TASK_ROWS) -> DataFrame:
+    """The one-vs-rest curve points per class index, highest threshold first."""
+    out = _curve_from_counts(_one_vs_rest(df, label, probability), max_task_rows)
+    return out.withColumn("class_index", F.col("g").cast("int")).select(
+        "class_index", "threshold", "fpr", "tpr").orderBy("class_index", F.desc("threshold"))
+
+
 # --------------------------------------------------------------------- E8-E13
 def evaluate_all(scored: dict[str, DataFrame], label: str = "label", prediction: str = "prediction",
                  score: str | None = None, positive=1, times: dict[str, float] | None = None) -> DataFrame:
-    """One metrics row per model; a model whose evaluation fails is left out
-    and reported in the ``error`` column of an extra row."""
+    """One metrics row per model; a model whose evaluation fails has null
+    metrics and the reason in ``error``."""
     rows = []
     spark = None
     for i, (name, df) in enumerate(scored.items()):
@@ -193,36 +211,42 @@ def evaluate_all(scored: dict[str, DataFrame], label: str = "label", prediction:
             m = metrics_dict(df, label, prediction)
             auc = roc_auc(df, label, score, positive).first()[0] if score and score in df.columns else None
             rows.append((name, i, *[m[k] for k in METRICS[:4]], auc,
-                         float((times or {}).get(name, 0.0))))
-        except Exception:  # noqa: BLE001 - a failing model is skipped, like the reference
-            continue
+                         float((times or {}).get(name, 0.0)), None))
+        except Exception as e:  # noqa: BLE001 - one failing model must not hide the others
+            rows.append((name, i, None, None, None, None, None, float((times or {}).get(name, 0.0)),
+                         f"{type(e).__name__}: {e}"[:500]))
     if spark is None:
         return None
     # one row per model; rounded by Spark like every other metric table
     out = spark.createDataFrame(rows, COMPARISON_SCHEMA)
     return out.select("model", "model_ord", *[F.round(k, 4).alias(k) for k in METRICS[:4]], "roc_auc",
-                      "training_time")
+                      "training_time", "error")
 
 
 COMPARISON_SCHEMA = ("model string, model_ord int, accuracy double, precision double, recall double, f1 double, "
-                     "roc_auc double, training_time double")
+                     "roc_auc double, training_time double, error string")
 
 
 def comparison(evaluated: DataFrame) -> DataFrame:
     """Sorted by F1 desc (then model order)."""
-    return evaluated.orderBy(F.desc("f1"), "model_ord")
+    return _evaluated(evaluated).orderBy(F.desc("f1"), "model_ord")
+
+
+def _evaluated(rows: DataFrame) -> DataFrame:
+    """Without the models whose evaluation failed."""
+    return rows.where(F.col("error").isNull()).drop("error") if "error" in rows.columns else rows
 
 
 def best_model(evaluated: DataFrame, metric: str = "f1") -> DataFrame:
     """Best by a metric (unknown -> f1; null AUC counts as 0; first wins ties)."""
     key = metric if metric in METRICS else "f1"
-    return evaluated.orderBy(F.desc(F.coalesce(F.col(key), F.lit(0.0))), "model_ord").limit(1)
+    return _evaluated(evaluated).orderBy(F.desc(F.coalesce(F.col(key), F.lit(0.0))), "model_ord").limit(1)
 
 
 def display_metrics(evaluated: DataFrame) -> DataFrame:
     """Metrics as text: percentages with 2 decimals, AUC 4 decimals, seconds."""
     pct = lambda c: F.format_string("%.2f%%", F.col(c) * 100)
-    return evaluated.select("model", pct("accuracy").alias("accuracy"), pct("precision").alias("precision"),
+    return _evaluated(evaluated).select("model", pct("accuracy").alias("accuracy"), pct("precision").alias("precision"),
                             pct("recall").alias("recall"), pct("f1").alias("f1"),
                             F.when(F.col("roc_auc").isNotNull(), F.format_string("%.4f", "roc_auc")).alias("roc_auc"),
                             F.format_string("%.2fs", "training_time").alias("training_time"))
@@ -235,9 +259,9 @@ def highlight(evaluated: DataFrame) -> DataFrame:
     for m in METRICS:
         cols += [(F.col(m) == F.max(m).over(w)).alias(f"{m}_is_max"), (F.col(m) == F.min(m).over(w)).alias(f"{m}_is_min")]
     cols.append(F.sum("training_time").over(w).alias("total_training_time"))
-    return evaluated.select(*cols)
+    return _evaluated(evaluated).select(*cols)
 
 
 def metrics_long(evaluated: DataFrame) -> DataFrame:
     """(model, metric, value) for grouped charts."""
-    return evaluated.unpivot(["model"], ["accuracy", "precision", "recall", "f1"], "metric", "value")
+    return _evaluated(evaluated).unpivot(["model"], ["accuracy", "precision", "recall", "f1"], "metric", "value")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double, is_missing, is_numeric
+from ..functions.columns import as_double, is_missing, is_numeric, col
 from .profile import iqr_bounds
 from .quantiles import exact_quantiles
 
@@ -31,7 +31,7 @@ def _fill(df: DataFrame, column: str, value) -> DataFrame:
     if value is None:
         return df
     dt = df.schema[column].dataType
-    filled = F.when(is_missing(df, column), F.lit(value).cast(dt)).otherwise(F.col(column))
+    filled = F.when(is_missing(df, column), F.lit(value).cast(dt)).otherwise(col(column))
     return df.withColumn(column, filled)
 
 
@@ -40,7 +40,7 @@ def fill_mean(df: DataFrame, column: str) -> DataFrame:
     _require_numeric(df, column, "mean")
     mean = df.agg(F.avg(as_double(df, column))).first()[0]
     if mean is not None and not isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
-        df = df.withColumn(column, F.col(column).cast("double"))
+        df = df.withColumn(column, col(column).cast("double"))
     return _fill(df, column, mean)
 
 
@@ -49,7 +49,7 @@ def fill_median(df: DataFrame, column: str, **qkw) -> DataFrame:
     _require_numeric(df, column, "median")
     med = exact_quantiles(df, [column], [0.5], **qkw)[column][0]
     if med is not None and not isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
-        df = df.withColumn(column, F.col(column).cast("double"))
+        df = df.withColumn(column, col(column).cast("double"))
     return _fill(df, column, med)
 
 

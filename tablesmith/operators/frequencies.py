@@ -3,8 +3,8 @@ categories, modes and sample values for every column at once.
 
 Rows are ``(feature, ki, kd, ks, cnt)``: the value of ``feature`` sits in
 exactly one typed key column (``ki`` long for integral / boolean / date / zoned
-timestamp, ``kd`` double for floating and decimal, ``ks`` string for text and
-zone-less timestamps in ISO form),
+timestamp, ``kd`` double for floating, ``ks`` string for text, zone-less timestamps in
+ISO form and decimals as exact sortable digits),
 so values keep their native order and distinctness. Missing values are
 dropped. ``cnt`` is pre-aggregated map-side, so a value holding a third of all
 rows is one partial count per task, not a hot shuffle key.
@@ -16,22 +16,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import as_double
+from ..functions.columns import as_double, col
 
 KEYS = ["ki", "kd", "ks"]
 
 
 def _keys(df: DataFrame, name: str) -> tuple[Column, Column, Column] | None:
     dt = df.schema[name].dataType
-    c = F.col(name)
+    c = col(name)
     null_l, null_d, null_s = (F.lit(None).cast("long"), F.lit(None).cast("double"),
                               F.lit(None).cast("string"))
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return c.cast("long"), null_d, null_s
     if isinstance(dt, T.BooleanType):
         return c.cast("long"), null_d, null_s
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return null_l, as_double(df, name), null_s
+    if isinstance(dt, T.DecimalType):
+        return null_l, null_d, _decimal_key(c, dt)
     if isinstance(dt, T.DateType):
         return F.unix_date(c).cast("long"), null_d, null_s
     if isinstance(dt, T.TimestampType):
@@ -46,6 +48,27 @@ def _keys(df: DataFrame, name: str) -> tuple[Column, Column, Column] | None:
     return None  # nested types are not profiled
 
 
+DIGITS, FLIPPED = "0123456789", "9876543210"
+
+
+def _decimal_key(c: Column, dt: T.DecimalType) -> Column:
+    """Exact text of a decimal that sorts as the number: sign, then all digits in fixed
+    width (flipped for negative numbers). Doubles would merge values beyond 2^53."""
+    digits = F.lpad(F.regexp_replace(F.abs(c).cast("string"), r"[^0-9]", ""), dt.precision + 1, "0")
+    return F.when(c < 0, F.concat(F.lit("0"), F.translate(digits, DIGITS, FLIPPED))).otherwise(
+        F.concat(F.lit("1"), digits))
+
+
+def _decimal_text(key: Column, dt: T.DecimalType) -> Column:
+    negative = F.left(key, F.lit(1)) == "0"
+    digits = F.substring(key, 2, dt.precision + 1)
+    digits = F.when(negative, F.translate(digits, FLIPPED, DIGITS)).otherwise(digits)
+    whole = F.substring(digits, 1, dt.precision + 1 - dt.scale)
+    number = F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), whole, F.lit("."),
+                      F.right(digits, F.lit(dt.scale)) if dt.scale else F.lit("0"))
+    return number.cast(dt).cast("string")
+
+
 def profiled_columns(df: DataFrame, columns: list[str] | None = None) -> list[str]:
     cols = columns if columns is not None else df.columns
     return [c for c in cols if _keys(df, c) is not None]
@@ -80,8 +103,10 @@ def value_text(df: DataFrame, name: str) -> Column:
         return F.col("ks")
     if isinstance(dt, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
         return F.col("ki").cast("string")
-    if isinstance(dt, (T.FloatType, T.DoubleType, T.DecimalType)):
+    if isinstance(dt, (T.FloatType, T.DoubleType)):
         return F.col("kd").cast("string")
+    if isinstance(dt, T.DecimalType):
+        return _decimal_text(F.col("ks"), dt)
     return F.col("ks")
 
 

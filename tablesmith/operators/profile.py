@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import (as_double, categorical_columns, field_type, is_datetime,
+from ..functions.columns import (col, as_double, categorical_columns, field_type, is_datetime,
                                  is_integral, is_missing, is_numeric, numeric_columns, type_name)
 from ..functions.stats import pct, safe_div, sample_kurtosis, sample_skewness
 from . import frequencies as fq
@@ -175,7 +175,7 @@ def distinct_table(df: DataFrame, cols: list[str], approx_rsd: float | None = No
     ``approx_rsd`` one pass of HyperLogLog++ sketches (no shuffle of values)."""
     if approx_rsd is None:
         return fq.distinct_counts(fq.value_counts(df, cols))
-    one = df.agg(*[F.approx_count_distinct(F.col(c), approx_rsd).alias(f"d{i}") for i, c in enumerate(cols)])
+    one = df.agg(*[F.approx_count_distinct(col(c), approx_rsd).alias(f"d{i}") for i, c in enumerate(cols)])
     return one.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"d{i}").cast("long")
                                                   .alias("distinct")) for i, c in enumerate(cols)])))
 
@@ -406,7 +406,7 @@ def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float =
 # --------------------------------------------------------------------- P18 / P19 / P20
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Class (as text), count, % of rows (2 dp); count desc, class asc."""
-    counts = df.groupBy(F.col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("count"))
+    counts = df.groupBy(col(target).alias("_cls")).agg(F.count(F.lit(1)).alias("count"))
     total = F.sum("count").over(Window.partitionBy())  # one row per class: bounded
     return (counts
             .select(F.col("_cls").cast("string").alias("class"), F.col("count").cast("long").alias("count"),

@@ -40,8 +40,13 @@ def running_totals(t: DataFrame, group: list[str], order: list[Column | str], we
     offsets = per_range.select("_range", *group,
                                *[F.coalesce(F.sum("_t_" + c).over(before), F.lit(0)).alias("_o_" + c)
                                  for c in weights])
-    # offsets has at most (ranges + groups) rows: a size bound that does not grow with the data
-    joined = cut.join(F.broadcast(offsets), ["_range", *group])
+    # offsets has at most (ranges + groups) rows: a size bound that does not grow with the data. A null group is
+    # a group, as in the window above.
+    offsets = offsets.toDF("_o_range", *[f"_og{i}" for i in range(len(group))], *["_o_" + c for c in weights])
+    same = F.col("_range") == F.col("_o_range")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_og{i}"))
+    joined = cut.join(F.broadcast(offsets), same).drop("_o_range", *[f"_og{i}" for i in range(len(group))])
     w = Window.partitionBy("_range", *group).orderBy(*order_cols).rowsBetween(*upto)
     out = joined.select("*", *[(F.col("_o_" + c) + F.sum(c).over(w)).alias(c + suffix) for c in weights])
     return out.drop("_range", *["_o_" + c for c in weights])

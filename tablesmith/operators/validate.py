@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import is_missing
+from ..functions.columns import is_missing, col
 
 SCHEMA = "check string, ok boolean, message string"
 
@@ -49,7 +49,7 @@ def target_ready(df: DataFrame, target: str | None) -> DataFrame:
     if target not in df.columns:
         return _lit_result(spark, "target", False, f"target column '{target}' not found")
     miss = F.sum(is_missing(df, target).cast("long"))
-    k = F.countDistinct(F.col(target))
+    k = F.countDistinct(col(target))
     return df.agg(*_first_failure("target", [
         (miss > 0, F.format_string("target '%s' has %d missing values", F.lit(target), miss)),
         (k < 2, F.format_string("target '%s' has only %d distinct value(s); at least 2 classes are needed",
@@ -81,7 +81,7 @@ def split_ratio_ok(spark, train_ratio: float | None = None, test_size: float | N
 def stratify_ok(df: DataFrame, target: str, test_size: float) -> DataFrame:
     """V5: the smallest class has at least int(1 / test_size) + 1 rows."""
     need = int(1 / test_size) + 1
-    counts = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"))
+    counts = df.groupBy(col(target)).agg(F.count(F.lit(1)).alias("n"))
     low = F.min("n")
     return counts.agg(*_first_failure("stratify", [
         (low < need, F.format_string("smallest class has %d rows; a stratified split needs %d", low, F.lit(need)))]))
@@ -108,7 +108,7 @@ def numeric_in_range(df: DataFrame, column: str, min_val: float | None = None,
                      max_val: float | None = None) -> DataFrame:
     """V7 (column form): rows whose value does not parse as a number or lies
     outside [min, max], with the reason."""
-    v = F.col(column).cast("string").try_cast("double")
+    v = col(column).cast("string").try_cast("double")
     reason = F.when(v.isNull(), F.lit("not a number"))
     if min_val is not None:
         reason = reason.when(v < F.lit(min_val), F.format_string("below minimum %s", F.lit(str(min_val))))
@@ -124,7 +124,7 @@ def prediction_rows_ok(df: DataFrame, features: list[str]) -> DataFrame:
     if missing:
         raise ValueError(f"missing required features: {missing}")
     bad = F.array_compact(F.array(*[
-        F.when(F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == ""), F.lit(c)) for c in features]))
+        F.when(col(c).isNull() | (F.trim(col(c).cast("string")) == ""), F.lit(c)) for c in features]))
     return df.withColumn("empty_features", bad).where(F.size("empty_features") > 0)
 
 

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import (as_double, categorical_columns, field_type, is_missing, numeric_columns,
+from ..functions.columns import (col, as_double, categorical_columns, field_type, is_missing, numeric_columns,
                                  type_name)
 from ..operators import frequencies as fq
 from ..operators.correlation import _pearson_pairs
@@ -54,7 +54,7 @@ def _r(x, d):
 
 
 def _round(df: DataFrame, digits: dict) -> DataFrame:
-    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns])
+    return df.select(*[F.round(c, digits[c]).alias(c) if c in digits else col(c) for c in df.columns])
 
 
 def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:

@@ -12,28 +12,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SCHEMA = "section string, ord int, key string, value string"
-SECTIONS = ["Dataset overview", "EDA summary", "Detected issues", "Preprocessing decisions",
-            "Model configurations", "Performance comparison", "Best model", "Notes"]
+SECTIONS = ["Table", "Profile", "Quality", "Preparation", "Models", "Scores", "Choice", "Run"]
 
 
 def overview_section(spark: SparkSession, rows: int, columns: int, target: str | None, classes: list,
                      source: str = "") -> DataFrame:
-    items = [("Rows", f"{rows:,}"), ("Columns", str(columns)), ("Source", source or "N/A"),
-             ("Target column", target or "N/A"),
-             ("Classes", f"{len(classes)} ({', '.join(str(c) for c in classes)})")]
-    return spark.createDataFrame([(SECTIONS[0], i, k, v) for i, (k, v) in enumerate(items)], SCHEMA)
+    facts = {"rows": rows, "columns": columns, "target": target, "source": source}
+    facts |= {f"class {i}": c for i, c in enumerate(classes)}
+    return spark.createDataFrame([(SECTIONS[0], i, k, str(v)) for i, (k, v) in enumerate(
+        (k, v) for k, v in facts.items() if v not in (None, ""))], SCHEMA)
 
 
 def eda_section(missing: DataFrame, outliers_iqr: DataFrame, high_pairs: DataFrame) -> DataFrame:
     """Missing cells in total, columns with at least one outlier, correlated pairs."""
-    m = missing.agg(F.coalesce(F.sum("missing_count"), F.lit(0)).alias("v"))
-    o = outliers_iqr.agg(F.count(F.when(F.col("total_outliers") > 0, 1)).alias("v"))
-    p = high_pairs.agg(F.count(F.lit(1)).alias("v"))
-    parts = [m.select(F.lit(0).alias("ord"), F.lit("Missing values (cells)").alias("key"), F.col("v").cast("string")),
-             o.select(F.lit(1), F.lit("Columns with outliers"), F.col("v").cast("string")),
-             p.select(F.lit(2), F.lit("Highly correlated pairs"), F.col("v").cast("string"))]
-    u = parts[0].unionAll(parts[1]).unionAll(parts[2]).toDF("ord", "key", "value")
-    return u.select(F.lit(SECTIONS[1]).alias("section"), F.col("ord").cast("int"), "key", "value")
+    counts = [("missing cells", missing.agg(F.coalesce(F.sum("missing_count"), F.lit(0)).alias("v"))),
+              ("columns with outliers", outliers_iqr.agg(F.count(F.when(F.col("total_outliers") > 0, 1)).alias("v"))),
+              ("correlated column pairs", high_pairs.agg(F.count(F.lit(1)).alias("v")))]
+    parts = [c.select(F.lit(SECTIONS[1]).alias("section"), F.lit(i).alias("ord"), F.lit(k).alias("key"),
+                      F.col("v").cast("string").alias("value")) for i, (k, c) in enumerate(counts)]
+    return parts[0].union(parts[1]).union(parts[2])
 
 
 def issues_section(issues: DataFrame) -> DataFrame:
@@ -53,23 +50,23 @@ def settings_section(settings: DataFrame) -> DataFrame:
 
 def models_section(comparison: DataFrame) -> DataFrame:
     n = comparison.agg(F.count(F.lit(1)).alias("n"))
-    cfg = n.select(F.lit(SECTIONS[4]).alias("section"), F.lit(0).alias("ord"), F.lit("Models trained").alias("key"),
+    cfg = n.select(F.lit(SECTIONS[4]).alias("section"), F.lit(0).alias("ord"), F.lit("trained").alias("key"),
                    F.col("n").cast("string").alias("value"))
     rows = comparison.select(
         F.lit(SECTIONS[5]).alias("section"), F.col("model_ord").cast("int").alias("ord"), F.col("model").alias("key"),
-        F.format_string("accuracy %.4f | precision %.4f | recall %.4f | f1 %.4f | %.2fs", "accuracy", "precision",
-                        "recall", "f1", "training_time").alias("value"))
+        F.format_string("f1 %.4f, accuracy %.4f, precision %.4f, recall %.4f, fitted in %.2f s", "f1", "accuracy",
+                        "precision", "recall", "training_time").alias("value"))
     return cfg.unionByName(rows)
 
 
-def best_section(spark: SparkSession, best: dict, params: dict) -> DataFrame:
-    items = [("Model", best.get("model", "N/A"))]
-    items += [(k.capitalize(), f"{best.get(k, 0) or 0:.4f}") for k in ("f1", "accuracy", "precision", "recall")]
-    items += [("Training time", f"{best.get('training_time', 0) or 0:.2f}s")]
-    items += [(f"param {k}", str(v)) for k, v in params.items()]
-    notes = [("Ranking metric", "F1 (weighted)"), ("Seed", "42"), ("Cross-validation", "5-fold stratified")]
-    return spark.createDataFrame([(SECTIONS[6], i, k, v) for i, (k, v) in enumerate(items)] +
-                                 [(SECTIONS[7], i, k, v) for i, (k, v) in enumerate(notes)], SCHEMA)
+def best_section(spark: SparkSession, best: dict, params: dict, run: dict) -> DataFrame:
+    """The chosen model with its scores and settings, and the settings of the run (``run``: name -> value)."""
+    choice = [("model", str(best["model"]))] + [(k, f"{best[k]:.4f}") for k in (
+        "f1", "accuracy", "precision", "recall", "roc_auc") if best.get(k) is not None] if best else []
+    choice += [(f"setting {k}", str(v)) for k, v in params.items()]
+    rows = [(SECTIONS[6], i, k, v) for i, (k, v) in enumerate(choice)]
+    rows += [(SECTIONS[7], i, k, str(v)) for i, (k, v) in enumerate(run.items())]
+    return spark.createDataFrame(rows, SCHEMA)
 
 
 def assemble(parts: list[DataFrame]) -> DataFrame:

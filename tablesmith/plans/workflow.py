@@ -30,6 +30,7 @@ class RunResult:
     comparison: DataFrame
     report: DataFrame
     seconds: dict = field(default_factory=dict)
+    errors: DataFrame | None = None     # (model, error) of models that failed to fit or to be evaluated
 
 
 def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_plan=None,
@@ -50,10 +51,10 @@ def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_p
     t = time.time()
     if tune:
         from ..operators import tuning as H
-        done, _ = H.tune_all(prep.train, models, method=tune, n_iter=n_iter, key=list(cfg.key or []))
+        done, failed = H.tune_all(prep.train, models, method=tune, n_iter=n_iter, key=list(cfg.key or []))
         trained = {n: r.best for n, r in done.items()}
     else:
-        trained, _ = M.train_all(prep.train, models)
+        trained, failed = M.train_all(prep.train, models)
     secs["train"] = time.time() - t
     t = time.time()
     key = list(cfg.key or [])
@@ -65,6 +66,7 @@ def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_p
         score="score" if positive is not None else None, positive=positive,
         times={n: tr.seconds for n, tr in trained.items()}).cache()
     comp = E.comparison(ev)
+    errors = failed.select("model", "error").union(ev.where(F.col("error").isNotNull()).select("model", "error"))
     best = E.best_model(ev).first()
     secs["evaluate"] = time.time() - t
     spark = df.sparkSession
@@ -75,5 +77,6 @@ def run(df: DataFrame, cfg: T.PrepConfig, models: list[str] | None = None, fix_p
         R.issues_section(issues),
         R.settings_section(T.config_summary(spark, cfg)),
         R.models_section(comp),
-        R.best_section(spark, best.asDict() if best else {}, trained[best["model"]].params if best else {})])
-    return RunResult(prof, issues, prep, trained, comp, rep, secs)
+        R.best_section(spark, best.asDict() if best else {}, trained[best["model"]].params if best else {},
+                       {"ranked by": "f1", "seed": cfg.random_state, "tuning": tune or "none"})])
+    return RunResult(prof, issues, prep, trained, comp, rep, secs, errors)

@@ -9,11 +9,15 @@ counts), and the encoding audit checks the raw bytes of every line.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded, col
+
 # Text read as missing (the default missing markers of pandas' CSV reader)
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
              "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -21,65 +25,82 @@ TRUE_TOKENS = ["True", "TRUE", "true"]
 FALSE_TOKENS = ["False", "FALSE", "false"]
 
 
+NUMBER = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$|^[+-]?(?:inf|Inf|Infinity)$"
+INTEGER = r"^[+-]?[0-9]+$"
+MAX_FILES = 100_000
+
+
+def _text_audit(spark: SparkSession, path: str) -> DataFrame:
+    """One scan of the raw lines: per file its length, encoding, whether a quoted field
+    runs over a line end, and whether the first header line found occurs in it."""
+    lines = spark.read.text(path)
+    first = lines.limit(1).collect()
+    head = first[0][0] if first else ""
+    quotes = F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))
+    per_line = lines.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_size").alias("length"),
+        F.is_valid_utf8("value").alias("ok"), (quotes % 2 == 1).alias("odd"), (F.col("value") == head).alias("head"))
+    return per_line.groupBy("path", "length").agg(
+        F.when(F.bool_and("ok"), "utf-8").otherwise("latin-1").alias("encoding"),
+        F.coalesce(F.bool_or("odd"), F.lit(False)).alias("multi_line"),
+        F.coalesce(F.bool_or("head"), F.lit(False)).alias("has_header"))
+
+
 def encoding_audit(spark: SparkSession, path: str) -> DataFrame:
     """One row per file: path, length, encoding ('utf-8' when every line's
     bytes are valid UTF-8, else 'latin-1', which decodes any byte). The text
     source keeps each line's raw bytes and splits large files across tasks, so
     the check is per line and a file of any size is read in parallel."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"),
-                                         F.col("_metadata.file_size").alias("length"),
-                                         F.is_valid_utf8("value").cast("int").alias("ok"))
-    per_file = lines.groupBy("path", "length").agg(F.min("ok").alias("ok"))
-    return per_file.select("path", "length", F.when(F.col("ok") == 1, "utf-8").otherwise("latin-1")
-                           .alias("encoding"))
-
-
-def pick_encoding(spark: SparkSession, path: str) -> str:
-    bad = encoding_audit(spark, path).where(F.col("encoding") != "utf-8").limit(1).count()
-    return "ISO-8859-1" if bad else "UTF-8"
-
-
-def dedupe_names(names: list[str]) -> list[str]:
-    """S3: later copies of a name become name_1, name_2, ... (first one kept)."""
-    seen: dict[str, int] = {}
-    out = []
-    for n in names:
-        if n in seen:
-            seen[n] += 1
-            out.append(f"{n}_{seen[n]}")
-        else:
-            seen[n] = 0
-            out.append(n)
-    return out
+    return _text_audit(spark, path).select("path", "length", "encoding")
 
 
-def _reader(spark, encoding: str, mode: str = "PERMISSIVE"):
-    return (spark.read.option("header", True).option("encoding", encoding).option("mode", mode)
-            .option("multiLine", False))
+SPARK_ENCODING = {"utf-8": "UTF-8", "latin-1": "ISO-8859-1"}
+
+
+def unique_names(names: list[str]) -> list[str]:
+    """S3: the first column of a name keeps it; a later one gets the smallest number that
+    makes a name no header field has. Names that differ only in case count as equal,
+    as they do in Spark."""
+    wanted, used, out = {n.lower() for n in names}, set(), []
+    for name in names:
+        tries = itertools.chain([name] if name.lower() not in used else [],
+                                (t for t in (f"{name}_{i}" for i in itertools.count(1)) if t.lower() not in wanted))
+        pick = next(t for t in tries if t.lower() not in used)
+        used.add(pick.lower())
+        out.append(pick)
+    return out
 
 
 def header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    first = spark.read.option("header", False).option("encoding", encoding).csv(path).limit(1).collect()
+    first = spark.read.options(header=False, encoding=encoding, escape='"').csv(path).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
     return [("" if v is None else v) for v in first[0]]
 
 
-def infer_types(raw: DataFrame) -> DataFrame:
+def _read(spark: SparkSession, path: str | list[str], encoding: str, width: int, multi_line: bool) -> DataFrame:
+    """Fields as text c0..., one spare field, and the raw row where the number of fields is another."""
+    schema = ", ".join(f"c{i} string" for i in range(width)) + ", _extra string, _corrupt string"
+    return (spark.read.options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"',
+                               columnNameOfCorruptRecord="_corrupt", enforceSchema=True).schema(schema).csv(path))
+
+
+def infer_types(raw: DataFrame, extra: list | None = None) -> tuple[DataFrame, dict]:
     """Whole-column inference over text columns (missing tokens already null):
     all values integral -> bigint (double when the column has gaps, as pandas
-    does), numeric -> double, true/false words -> boolean, else string."""
-    aggs = [F.count(F.lit(1)).alias("_n")]
+    does), numeric -> double, true/false words -> boolean, else string. One
+    aggregate, which also counts the rows (``rows``) and what ``extra`` asks for."""
+    aggs = [F.count(F.lit(1)).alias("rows"), *(extra or [])]
     for i, c in enumerate(raw.columns):
-        v = F.col(c)
-        aggs += [F.count(v).alias(f"n{i}"), F.count(v.try_cast("long")).alias(f"l{i}"),
-                 F.count(v.try_cast("double")).alias(f"d{i}"),
+        v = col(c)
+        whole = F.when(F.trim(v).rlike(INTEGER), v.try_cast("long"))
+        number = F.when(F.trim(v).rlike(NUMBER), v.try_cast("double"))
+        aggs += [F.count(v).alias(f"n{i}"), F.count(whole).alias(f"l{i}"), F.count(number).alias(f"d{i}"),
                  F.count(F.when(v.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
-    r = raw.agg(*aggs).first()
+    r = raw.agg(*aggs).first().asDict()
     cols = []
     for i, c in enumerate(raw.columns):
-        n, total = r[f"n{i}"], r["_n"]
-        v = F.col(c)
+        n, total, v = r[f"n{i}"], r["rows"], col(c)
         if n and r[f"l{i}"] == n:
             cols.append((v.try_cast("long") if n == total else v.try_cast("double")).alias(c))
         elif n and r[f"d{i}"] == n:
@@ -88,7 +109,7 @@ def infer_types(raw: DataFrame) -> DataFrame:
             cols.append(v.isin(TRUE_TOKENS).alias(c))
         else:
             cols.append(v.alias(c))
-    return raw.select(*cols)
+    return raw.select(*cols), r
 
 
 @dataclass
@@ -97,25 +118,62 @@ class LoadResult:
     metadata: DataFrame     # S4: rows, columns, bytes, files, encoding
 
 
-def load_csv(spark: SparkSession, path: str, encoding: str | None = None) -> LoadResult:
-    """Scan a CSV file or folder (header row, inferred types, missing
-    tokens as null, duplicate names renamed). An empty table is an error."""
-    enc = encoding or pick_encoding(spark, path)
-    names = dedupe_names(header(spark, path, enc))
-    raw = _reader(spark, enc).csv(path)
-    raw = raw.toDF(*names)
-    raw = raw.select(*[F.when(F.trim(F.col(c)).isin(NA_TOKENS), None).otherwise(F.col(c)).alias(c)
-                       for c in names])
-    table = infer_types(raw)
-    rows = table.count()
-    if rows == 0:
+def load_csv(spark: SparkSession, path: str, encoding: str | None = None, strict: bool = True) -> LoadResult:
+    """Scan a CSV file or folder (header row, inferred types, missing tokens as null,
+    duplicate names renamed). Each file is read in its own encoding unless one is given,
+    and quoted line ends are kept. All files must have the same header. With ``strict`` a
+    row of another field count than the header is an error; else such rows are dropped
+    from the table and can be seen with ``ragged_rows``. An empty table is an error."""
+    files = bounded(_text_audit(spark, path), "files", MAX_FILES)
+    if not files:
+        raise ValueError("the file is empty")
+    enc = encoding or SPARK_ENCODING[files[0]["encoding"]]
+    names = header(spark, files[0]["path"], enc)
+    for f in files:
+        if not f["has_header"] and header(spark, f["path"], encoding or SPARK_ENCODING[f["encoding"]]) != names:
+            raise ValueError(f"another header in {f['path']}")
+    multi = any(f["multi_line"] for f in files)
+    groups = sorted({encoding or SPARK_ENCODING[f["encoding"]] for f in files})
+    parts = []
+    for g in groups:
+        own = path if len(groups) == 1 else [f["path"] for f in files if SPARK_ENCODING[f["encoding"]] == g]
+        parts.append(_read(spark, own, g, len(names), multi))
+    rows = functools.reduce(DataFrame.union, parts)
+    bad = _bad(len(names))
+    out = unique_names(names)
+    cells = [F.when(F.trim(F.col(f"c{i}")).isin(NA_TOKENS), None).otherwise(F.col(f"c{i}")).alias(f"c{i}")
+             for i in range(len(names))]
+    fields = rows.select(*cells, bad.alias("_bad"))
+    good = fields.where("NOT _bad").drop("_bad")
+    if strict:
+        # all fields are read: with fewer the parser counts only those it needs
+        wrong = fields.agg(F.count(F.when(F.col("_bad"), F.concat_ws("", *[f"c{i}" for i in range(len(names))])))
+                           ).first()[0]
+        if wrong:
+            raise ValueError(f"{wrong} rows do not have {len(names)} fields")
+    table, facts = infer_types(good)
+    if facts["rows"] == 0:
         raise ValueError("the file was parsed but has no data rows")
-    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("p"),
-                                          F.col("_metadata.file_size").alias("length")).distinct())
-    size = files.agg(F.sum("length").alias("bytes"), F.count(F.lit(1)).alias("files")).first()
-    meta = spark.createDataFrame([(rows, len(names), size["bytes"], size["files"], enc)],
+    used = "/".join(groups)
+    meta = spark.createDataFrame([(facts["rows"], len(names), sum(f["length"] for f in files), len(files), used)],
                                  "rows long, columns long, bytes long, files long, encoding string")
-    return LoadResult(table, meta)
+    return LoadResult(table.toDF(*out), meta)
+
+
+def _bad(width: int):
+    """Rows of another field count than the header. The schema has one spare field, so a right row is reported as
+    one field short: its raw text is in ``_corrupt`` and its spare field is empty. What tells it from a row with
+    fewer fields is the number of separators outside quotes."""
+    bare = F.regexp_replace("_corrupt", r'"(?:[^"]++|"")*+"', "")
+    fields = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+    return F.col("_extra").isNotNull() | (F.col("_corrupt").isNotNull() & (fields != width))
+
+
+def ragged_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """The raw text of the rows that do not have the header's number of fields."""
+    width = len(header(spark, path, encoding))
+    rows = _read(spark, path, encoding, width, True)
+    return rows.where(_bad(width)).select(F.coalesce("_corrupt", F.lit("")).alias("row"), "c0")
 
 
 def check_structure(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[bool, str]:
@@ -127,12 +185,10 @@ def check_structure(spark: SparkSession, path: str, encoding: str = "UTF-8") ->
         return False, str(e)
     if not names:
         return False, "no columns found"
-    # one spare field catches rows with more fields than the header (Spark would drop them silently)
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names))) + ", `_extra` string, `_corrupt` string"
-    df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("enforceSchema", True).option("columnNameOfCorruptRecord", "_corrupt").schema(schema).csv(path))
-    # the corrupt flag must be read together with a parsed column (Spark refuses a scan of it alone)
-    bad = F.when(F.col("_corrupt").isNotNull() | F.col("_extra").isNotNull(), F.coalesce(F.col("c0"), F.lit("")))
+    multi = any(f["multi_line"] for f in bounded(_text_audit(spark, path), "files", MAX_FILES))
+    df = _read(spark, path, encoding, len(names), multi)
+    # all fields are read: with fewer the parser counts only those it needs
+    bad = F.when(_bad(len(names)), F.concat_ws("", *[f"c{i}" for i in range(len(names))]))
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("bad")).first()
     if r["n"] == 0:
         return False, "the file has no data rows"

@@ -259,7 +259,7 @@ def r05_rows_with_missing(spark, sf):
 # ----------------------------------------------------------------- P10 / P11 / P13
 from .operators import correlation as C  # noqa: E402
 
-CORR_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_net"]
+CORR_COLS = LINEITEM_NUM + ["l_net"]   # every numeric column
 
 
 def _corr_sql(source_sql: str, cols: list[str], spearman: bool) -> str:
@@ -303,39 +303,51 @@ from .plans.full_profile import full_profile  # noqa: E402
 
 
 def flat_issues(issues: DataFrame) -> DataFrame:
-    """Issue rows with scalar columns only (the oracle compares these)."""
+    """Whole issue rows with scalar columns (lists and maps as text), as the oracle compares them."""
+    details = F.array_join(F.transform(F.array_sort(F.map_entries("details")),
+                                       lambda e: F.concat(e["key"], F.lit("="), e["value"])), "; ")
     return issues.select("issue_type", "severity", F.array_join("affected_columns", ", ").alias("columns"),
-                         "description")
+                         "description", "suggestion", details.alias("details"))
 
 
-def _sql_issue_missing(src: str, cols: list[str]) -> str:
-    parts = [f"SELECT '{c}' AS feature, {i} AS ord, count(*) FILTER (WHERE {c} IS NULL) AS m, count(*) AS n FROM {src}"
-             for i, c in enumerate(cols)]
+def _sql_issue_missing(src: str, cols: list[tuple[str, str]]) -> str:
+    parts = [f"SELECT '{c}' AS feature, {i} AS ord, '{t}' AS dtype, count(*) FILTER (WHERE {c} IS NULL) AS m, "
+             f"count(*) AS n FROM {src}" for i, (c, t) in enumerate(cols)]
     return f"""SELECT 'Missing Values' AS issue_type,
   CASE WHEN m * 100.0 / n > 50 THEN 'High' WHEN m * 100.0 / n > 20 THEN 'Medium' ELSE 'Low' END AS severity,
-  feature AS columns, printf('Column ''%s'' has %s missing values (%.1f%%).', feature, format('{{:,}}', m), m * 100.0 / n) AS description,
+  feature AS columns, printf('%s: %d of %d values are absent (%.1f%%)', feature, m, n, m * 100.0 / n) AS description,
+  CASE WHEN m * 100.0 / n > 50 THEN 'Too sparse to fill: remove the column, or predict its gaps.'
+       WHEN m * 100.0 / n > 20 THEN 'Fill the gaps from the middle of the distribution.'
+       ELSE 'Any simple fill will do.' END AS suggestion,
+  'dtype=' || dtype || '; missing_count=' || m || '; missing_pct=' || round(m * 100.0 / n, 2)::DOUBLE AS details,
   1 AS rule_ord, ord AS col_ord
 FROM ({_union(parts)}) WHERE m > 0"""
 
 
-def _sql_issue_outliers(src: str, cols: list[str], all_cols: list[str]) -> str:
+def _sql_issue_outliers(src: str, cols: list[str], all_cols: list[str], method: str = "iqr") -> str:
+    limits = {"iqr": "q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi", "zscore": "mu - 3 * sd AS lo, mu + 3 * sd AS hi"}
     parts = [f"""SELECT '{c}' AS feature, {all_cols.index(c)} AS ord, n,
-    (SELECT count(*) FROM {src} WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS o
-  FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count({c}) AS n FROM {src})"""
-             for c in cols]
+    (SELECT count(*) FROM {src} WHERE {c} < lo OR {c} > hi) AS o FROM (SELECT n, {limits[method]}
+  FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, avg({c}) AS mu, stddev_samp({c}) AS sd,
+        count({c}) AS n FROM {src}))""" for c in cols]
     return f"""SELECT 'Outliers' AS issue_type,
   CASE WHEN o * 100.0 / n > 10 THEN 'High' WHEN o * 100.0 / n > 5 THEN 'Medium' ELSE 'Low' END AS severity,
-  feature AS columns, printf('Column ''%s'' has %s outliers (%.1f%%) by the IQR rule.', feature, format('{{:,}}', o), o * 100.0 / n) AS description,
+  feature AS columns, printf('%s: %d values beyond the {method} limits (%.1f%%)', feature, o, o * 100.0 / n) AS description,
+  'Look at their origin; then clip them, delete their rows, or accept them.' AS suggestion,
+  'method={method}; outlier_count=' || o || '; outlier_pct=' || round(o * 100.0 / n, 2)::DOUBLE AS details,
   2 AS rule_ord, ord AS col_ord
 FROM ({_union(parts)}) WHERE o > 0"""
 
 
+_ISSUE_COLS = "issue_type, severity, columns, description, suggestion, details"
+
+
 def _flat(sql: str) -> str:
-    return f"SELECT issue_type, severity, columns, description FROM ({sql})"
+    return f"SELECT {_ISSUE_COLS} FROM ({sql})"
 
 
 @register("q01_missing_issues", f"WITH g AS ({ORDERS_WITH_GAPS_SQL})\n" +
-          _flat(_sql_issue_missing("g", [c for c, _ in ORDERS_GAPS_COLS])))
+          _flat(_sql_issue_missing("g", ORDERS_GAPS_COLS)))
 def q01_missing_issues(spark, sf):
     return flat_issues(Q.missing_issues(orders_with_gaps(spark, sf)))
 
@@ -345,12 +357,22 @@ def q02_outlier_issues(spark, sf):
     return flat_issues(Q.outlier_issues(read_table(spark, sf, "events"), "iqr"))
 
 
+@register("q02_outlier_issues_zscore", _flat(_sql_issue_outliers("events", EVENTS_NUM, EVENTS_NUM, "zscore")))
+def q02_outlier_issues_zscore(spark, sf):
+    return flat_issues(Q.outlier_issues(read_table(spark, sf, "events"), "zscore"))
+
+
 def _sql_imbalance(src: str, target: str) -> str:
-    return f"""SELECT 'Class Imbalance' AS issue_type, CASE WHEN hi * 1.0 / lo > 10 THEN 'High' ELSE 'Medium' END AS severity,
-  '{target}' AS columns, printf('Target ''{target}'' is imbalanced: ratio %.1f:1 (threshold 3:1).', hi * 1.0 / lo) AS description
-FROM (SELECT count(*) AS k, max(n) AS hi, min(n) AS lo FROM (SELECT {target}, count(*) AS n FROM {src}
-      WHERE {target} IS NOT NULL GROUP BY {target}))
-WHERE k >= 2 AND hi * 1.0 / lo > 3"""
+    return f"""WITH c AS (SELECT {target}::VARCHAR AS c, count(*) AS n FROM {src} WHERE {target} IS NOT NULL GROUP BY 1)
+SELECT 'Class Imbalance' AS issue_type, CASE WHEN hi * 1.0 / lo > 10 THEN 'High' ELSE 'Medium' END AS severity,
+  '{target}' AS columns,
+  printf('{target}: the largest class has %.1f times the rows of the smallest (limit 3)', hi * 1.0 / lo) AS description,
+  'Give the classes weights, and split by class.' AS suggestion,
+  'imbalance_ratio=' || round(hi * 1.0 / lo, 2)::DOUBLE || '; largest_classes=' || (SELECT string_agg(c || '=' || n, ', '
+      ORDER BY n DESC, c) FROM (SELECT * FROM c ORDER BY n DESC, c LIMIT 10))
+    || '; majority_class=' || (SELECT c FROM c ORDER BY n DESC, c LIMIT 1)
+    || '; minority_class=' || (SELECT c FROM c ORDER BY n, c DESC LIMIT 1) AS details
+FROM (SELECT count(*) AS k, max(n) AS hi, min(n) AS lo FROM c) WHERE k >= 2 AND hi * 1.0 / lo > 3"""
 
 
 @register("q03_class_imbalance", _sql_imbalance("labels", "quality"))
@@ -361,8 +383,12 @@ def q03_class_imbalance(spark, sf):
 def _sql_cardinality(src: str, cols: list[str], all_cols: list[str]) -> str:
     parts = [f"SELECT '{c}' AS feature, {all_cols.index(c)} AS ord, count(DISTINCT {c}) AS d, count(*) AS n FROM {src}"
              for c in cols]
+    likely = "(d = n OR contains(lower(feature), 'id'))"
     return f"""SELECT 'High Cardinality' AS issue_type, 'Medium' AS severity, feature AS columns,
-  printf('Column ''%s'' has %s distinct values (threshold 50).', feature, format('{{:,}}', d)) AS description,
+  printf('%s: %d distinct texts, more than 50', feature, d) AS description,
+  CASE WHEN {likely} THEN 'Probably a key: no feature.'
+       ELSE 'Merge rare texts, or encode them by the target, before one-hot encoding.' END AS suggestion,
+  'is_likely_id=' || CASE WHEN {likely} THEN 'True' ELSE 'False' END || '; threshold=50; unique_count=' || d AS details,
   4 AS rule_ord, ord AS col_ord
 FROM ({_union(parts)}) WHERE d > 50"""
 
@@ -375,22 +401,25 @@ def q04_high_cardinality(spark, sf):
     return flat_issues(Q.high_cardinality_issues(read_table(spark, sf, "part")))
 
 
-SUPPLIER_CONST_SQL = "SELECT *, 'fixed' AS s_const, CAST(NULL AS DOUBLE) AS s_empty FROM supplier"
-SUPPLIER_CONST_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "s_const", "s_empty"]
+SUPPLIER_CONST_SQL = """SELECT *, 'fixed' AS s_const, CAST(NULL AS DOUBLE) AS s_empty, 5 AS s_five,
+  9007199254740992 + s_suppkey % 2 AS s_long, CAST('12345678901234567890.25' AS DECIMAL(30, 2)) AS s_dec FROM supplier"""
+SUPPLIER_CONST_COLS = ["s_suppkey", "s_name", "s_nationkey", "s_acctbal", "s_const", "s_empty", "s_five", "s_long", "s_dec"]
 
 
 def supplier_with_constants(spark, sf):
-    return read_table(spark, sf, "supplier").withColumn("s_const", F.lit("fixed")) \
-        .withColumn("s_empty", F.lit(None).cast("double"))
+    return read_table(spark, sf, "supplier").withColumns({
+        "s_const": F.lit("fixed"), "s_empty": F.lit(None).cast("double"), "s_five": F.lit(5),
+        "s_long": F.lit(9007199254740992) + F.col("s_suppkey") % 2,
+        "s_dec": F.lit("12345678901234567890.25").cast("decimal(30,2)")})
 
 
 def _sql_constant(src: str, cols: list[str]) -> str:
     parts = [f"SELECT '{c}' AS feature, {i} AS ord, count(DISTINCT {c}) AS d, CAST(min({c}) AS VARCHAR) AS v FROM {src}"
              for i, c in enumerate(cols)]
     return f"""SELECT 'Constant Feature' AS issue_type, 'High' AS severity, feature AS columns,
-  CASE WHEN d = 0 THEN printf('Column ''%s'' is empty (all values missing).', feature)
-       ELSE printf('Column ''%s'' is constant (only value: ''%s'').', feature, v) END AS description,
-  3 AS rule_ord, ord AS col_ord
+  CASE WHEN d = 0 THEN printf('%s: no value at all', feature) ELSE printf('%s: every value is %s', feature, v) END AS description,
+  'It carries no information: remove it.' AS suggestion,
+  'unique_count=' || d || '; value=' || coalesce(v, '') AS details, 3 AS rule_ord, ord AS col_ord
 FROM ({_union(parts)}) WHERE d <= 1"""
 
 
@@ -406,19 +435,19 @@ def _sql_multicollinearity(src: str, cols: list[str]) -> str:
     pairs = [f"SELECT {i} AS i, {j} AS j, '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM {src}"
              for i, a in enumerate(cols) for j, b in enumerate(cols) if i < j]
     return f"""WITH p AS (SELECT * FROM ({_union(pairs)}) WHERE abs(r) >= 0.95),
-t AS (SELECT printf('''%s'' and ''%s'' (r=%s)', a, b, CAST(round(r, 3) AS VARCHAR)) AS txt, abs(r) AS ar, i, j FROM p),
+t AS (SELECT count(*) AS k, string_agg(a || ' ~ ' || b || ' ' || CAST(round(r, 3) AS VARCHAR), '; '
+        ORDER BY abs(r) DESC, i, j) AS txt FROM p),
 c AS (SELECT i AS k, a AS name FROM p UNION SELECT j, b FROM p)
 SELECT 'Multicollinearity' AS issue_type, 'Medium' AS severity,
   (SELECT string_agg(name, ', ' ORDER BY k) FROM c) AS columns,
-  printf('%d highly correlated pair(s) with |r| >= 0.95: %s%s', (SELECT count(*) FROM p),
-         (SELECT string_agg(txt, ', ' ORDER BY ar DESC, i, j) FROM (SELECT * FROM t ORDER BY ar DESC, i, j LIMIT 3)),
-         CASE WHEN (SELECT count(*) FROM p) > 3 THEN '...' ELSE '' END) AS description,
+  printf('%d column pairs correlate at 0.95 or more: ', k) || txt AS description,
+  'One column of each pair is enough.' AS suggestion, 'correlated_pairs=' || txt || '; threshold=0.95' AS details,
   5 AS rule_ord, 0 AS col_ord
-WHERE (SELECT count(*) FROM p) > 0"""
+FROM t WHERE k > 0"""
 
 
 @register("q06_multicollinearity", f"WITH li AS ({LINEITEM_WITH_NET_SQL}), x AS ({_sql_multicollinearity('li', LI_NET_NUM)})\n"
-          "SELECT issue_type, severity, columns, description FROM x")
+          f"SELECT {_ISSUE_COLS} FROM x")
 def q06_multicollinearity(spark, sf):
     return flat_issues(Q.multicollinearity_issues(lineitem_with_net(spark, sf)))
 
@@ -426,8 +455,8 @@ def q06_multicollinearity(spark, sf):
 _GAP_NAMES = [c for c, _ in ORDERS_GAPS_COLS]
 _GAP_NUM = ["o_orderkey", "o_custkey", "o_totalprice"]
 _Q7_SQL = f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}),
-a AS ({_sql_issue_missing('g', _GAP_NAMES)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
-SELECT issue_type, severity, columns, description FROM a"""
+a AS ({_sql_issue_missing('g', ORDERS_GAPS_COLS)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
+SELECT {_ISSUE_COLS} FROM a"""
 
 
 @register("q07_run_all", _Q7_SQL)
@@ -442,7 +471,7 @@ def q07_run_all_from_profile(spark, sf):
 
 
 @register("q08_issue_summary", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}),
-a AS ({_sql_issue_missing('g', _GAP_NAMES)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
+a AS ({_sql_issue_missing('g', ORDERS_GAPS_COLS)} UNION ALL {_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)})
 SELECT CAST(count(*) AS BIGINT) AS total_issues,
   CAST(count(*) FILTER (WHERE severity = 'Critical') AS BIGINT) AS critical_count,
   CAST(count(*) FILTER (WHERE severity = 'High') AS BIGINT) AS high_count,
@@ -545,7 +574,7 @@ def f09_fix_plan(spark, sf):
     return res.table.withColumn("o_totalprice", F.round("o_totalprice", 4))
 
 
-@register("f09_fix_log")
+@register("f09_fix_log")  # the texts depend on the plan only
 def f09_fix_log(spark, sf):
     return FX.apply_plan(orders_with_gaps(spark, sf), FIX_PLAN, count=False).log
 
@@ -637,6 +666,14 @@ def t11_random_split(spark, sf):
     return T.train_test_split(o, None, 0.25, 7, False, ["o_orderkey"])
 
 
+@register("t11_stratified_split_missing_class", f"WITH g AS ({ORDERS_WITH_GAPS_SQL}), " + _split_sql(
+    "g", "o_orderstatus", ["o_orderkey"]).replace("p._y = r.y", "p._y IS NOT DISTINCT FROM r.y").replace(
+    "rem DESC, y)", "rem DESC, y NULLS LAST)") + "\nSELECT * FROM sp")
+def t11_stratified_split_missing_class(spark, sf):
+    g = orders_with_gaps(spark, sf).select("o_orderkey", "o_orderstatus")
+    return T.train_test_split(g, "o_orderstatus", 0.2, 42, True, ["o_orderkey"])
+
+
 @register("t15_class_balance", "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY) + """
 SELECT CAST(l_returnflag AS VARCHAR) AS class, CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS train_count,
   CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS test_count,
@@ -665,6 +702,21 @@ def t01_numeric_impute(spark, sf):
     return m.transform(sp).select("o_orderkey", "split", F.round("o_totalprice", 4).alias("o_totalprice"))
 
 
+def _impute_variant(name: str, fill: str):
+    @register(f"t01_numeric_impute_{name}", _GAPS_SPLIT + f"""
+SELECT o_orderkey, split, round(coalesce(o_totalprice, {fill}), 4) AS o_totalprice FROM sp""")
+    def run(spark, sf):
+        sp = _gaps_split(spark, sf)
+        m = T.NumericImputer(inputCols=["o_totalprice"], strategy=name).fit(sp.where(F.col("split") == "train"))
+        return m.transform(sp).select("o_orderkey", "split", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+_impute_variant("mean", "(SELECT avg(o_totalprice) FROM sp WHERE split = 'train')")
+_impute_variant("most_frequent", "(SELECT o_totalprice FROM sp WHERE split = 'train' AND o_totalprice IS NOT NULL "
+                "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)")
+_impute_variant("constant", "0.0")
+
+
 @register("t02_categorical_impute", _GAPS_SPLIT + """
 SELECT o_orderkey, split, coalesce(o_orderstatus, (SELECT o_orderstatus FROM sp WHERE split = 'train' AND o_orderstatus IS NOT NULL
   GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus FROM sp""")
@@ -832,6 +884,21 @@ def e07_multiclass_auc(spark, sf):
     return E.multiclass_roc_auc(df, "label", "probability")
 
 
+@register("e07_multiclass_curve", """WITH s AS (SELECT CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS y,
+    [l_discount, l_tax, l_quantity / 50.0] AS p FROM lineitem),
+l AS (SELECT y, i - 1 AS cls, p[i] AS sc FROM s, range(1, 4) t(i)),
+c AS (SELECT cls, sc, count(*) FILTER (WHERE y = cls) AS pos, count(*) FILTER (WHERE y <> cls) AS neg FROM l GROUP BY 1, 2),
+w AS (SELECT cls, sc, sum(pos) OVER d AS tp, sum(neg) OVER d AS fp, sum(pos) OVER (PARTITION BY cls) AS np,
+        sum(neg) OVER (PARTITION BY cls) AS nn FROM c WINDOW d AS (PARTITION BY cls ORDER BY sc DESC))
+SELECT CAST(cls AS INTEGER) AS class_index, sc AS threshold, round(fp * 1.0 / nn, 6) AS fpr, round(tp * 1.0 / np, 6) AS tpr FROM w
+UNION ALL SELECT DISTINCT CAST(cls AS INTEGER), CAST('Infinity' AS DOUBLE), 0.0, 0.0 FROM l""")
+def e07_multiclass_curve(spark, sf):
+    li = read_table(spark, sf, "lineitem")
+    y = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
+    df = li.select(y.alias("label"), F.array("l_discount", "l_tax", F.col("l_quantity") / 50.0).alias("probability"))
+    return E.multiclass_roc_curve(df, "label", "probability")
+
+
 def _two_rules(spark, sf):
     base = rule_predictions(spark, sf)
     alt = base.withColumn("prediction", F.when(F.col("prediction") == "X", "R").otherwise(F.col("prediction")))
@@ -852,7 +919,7 @@ SELECT '{name}' AS model, {ordn} AS model_ord, round(sum(tp) * 1.0 / sum(support
 
 
 _E8_SQL = "SELECT model, CAST(model_ord AS INTEGER) AS model_ord, accuracy, precision, recall, f1, roc_auc, " \
-          "CAST(training_time AS DOUBLE) AS training_time FROM (" + \
+          "CAST(training_time AS DOUBLE) AS training_time, CAST(NULL AS VARCHAR) AS error FROM (" + \
           "(" + _e8_sql("base", "discount bands", 0) + ") UNION ALL (" + _e8_sql("alt", "discount bands, no X", 1) + "))"
 
 
@@ -861,12 +928,12 @@ def e08_evaluate_all(spark, sf):
     return E.evaluate_all(_two_rules(spark, sf))
 
 
-@register("e09_comparison", _E8_SQL)
+@register("e09_comparison", f"SELECT * EXCLUDE (error) FROM ({_E8_SQL})")
 def e09_comparison(spark, sf):
     return E.comparison(E.evaluate_all(_two_rules(spark, sf)))
 
 
-@register("e10_best_model", f"SELECT * FROM ({_E8_SQL}) ORDER BY f1 DESC, model_ord LIMIT 1")
+@register("e10_best_model", f"SELECT * EXCLUDE (error) FROM ({_E8_SQL}) ORDER BY f1 DESC, model_ord LIMIT 1")
 def e10_best_model(spark, sf):
     return E.best_model(E.evaluate_all(_two_rules(spark, sf)), "f1")
 
@@ -884,7 +951,10 @@ def e13_metrics_long(spark, sf):
     return E.metrics_long(E.evaluate_all(_two_rules(spark, sf)))
 
 
-@register("e12_highlight")
+@register("e12_highlight", "SELECT model, " + ", ".join(
+    f"{m} = max({m}) OVER () AS {m}_is_max, {m} = min({m}) OVER () AS {m}_is_min"
+    for m in ("accuracy", "precision", "recall", "f1", "roc_auc")) +
+    f", sum(training_time) OVER () AS total_training_time FROM ({_E8_SQL})")
 def e12_highlight(spark, sf):
     return E.highlight(E.evaluate_all(_two_rules(spark, sf)))
 
@@ -1004,7 +1074,7 @@ for _key, _name in [("m01_logistic_regression", "Logistic Regression"), ("m03_de
 @register("m10_train_all")
 def m10_train_all(spark, sf):
     prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
-    ok, errs = M.train_all(prep.train, ["Naive Bayes", "Rule-Based", "Logistic Regression"])
+    ok, errs = M.train_all(prep.train)
     scored = {n: M.predict(t, prep.test) for n, t in ok.items()}
     return E.comparison(E.evaluate_all(scored, times={n: t.seconds for n, t in ok.items()})).drop("training_time")
 
@@ -1021,6 +1091,12 @@ def m12_decision_rules(spark, sf):
     return M.decision_rules(M.train_one("Rule-Based", prep.train), prep.feature_names, 3)
 
 
+@register("m12_rule_table")
+def m12_rule_table(spark, sf):
+    prep = lineitem_prepared(spark, sf, "standard", NB_FEATURES + ["l_linestatus"])
+    return M.rule_table(M.train_one("Rule-Based", prep.train), prep.feature_names)
+
+
 # ----------------------------------------------------------------- I1-I5
 from .operators import score as S  # noqa: E402
 
@@ -1069,7 +1145,7 @@ def i04_feature_categories(spark, sf):
     return S.feature_categories(read_table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus", "l_tax"])
 
 
-@register("i05_stream_scoring")
+@register("i05_stream_scoring", _NB_PROBS + "\nSELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, predicted_class FROM sc")
 def i05_stream_scoring(spark, sf):
     """The lineitem file read as a stream (availableNow) and scored by naive Bayes."""
     import uuid
@@ -1082,7 +1158,7 @@ def i05_stream_scoring(spark, sf):
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     q = start_scoring(prep, model, stream, f"{base}/out", f"{base}/ckpt", keep=LI_KEY)
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    return spark.read.parquet(f"{base}/out").select(*LI_KEY, "predicted_class")
 
 
 # ----------------------------------------------------------------- H1-H5
@@ -1096,10 +1172,17 @@ def h02_grid_search(spark, sf):
     return H.tuning_table(res.scores)
 
 
+@register("h02_grid_search_rules")
+def h02_grid_search_rules(spark, sf):
+    """The 12-combination grid of the rule model."""
+    prep = lineitem_prepared(spark, sf, "standard")
+    return H.tuning_table(H.grid_search("Rule-Based", prep.train, key=LI_KEY, parallelism=4).scores)
+
+
 @register("h03_random_search")
 def h03_random_search(spark, sf):
     prep = lineitem_prepared(spark, sf, "standard")
-    res = H.random_search("Rule-Based", prep.train, n_iter=3, key=LI_KEY, parallelism=4, with_train_scores=False)
+    res = H.random_search("Rule-Based", prep.train, key=LI_KEY, parallelism=4)
     return H.tuning_table(res.scores)
 
 
@@ -1127,6 +1210,25 @@ def s01_csv_scan(spark, sf):
     return CSV.load_csv(spark, _customer_csv(spark, sf)).table
 
 
+@register("s01_csv_scan_documents", "SELECT * FROM documents")
+def s01_csv_scan_documents(spark, sf):
+    """Texts with line ends, quotes and commas, written as CSV and read back."""
+    path = _scratch(spark, "documents-csv")
+    read_table(spark, sf, "documents").write.options(header=True, escape='"', ignoreLeadingWhiteSpace=False,
+                                                     ignoreTrailingWhiteSpace=False).csv(path)
+    return CSV.load_csv(spark, path).table
+
+
+@register("s03_unique_names", """SELECT c_custkey AS x, CAST(c_nationkey AS BIGINT) AS x_2, c_acctbal AS x_1 FROM customer""")
+def s03_unique_names(spark, sf):
+    """A header that names two columns x and a third x_1."""
+    path = _scratch(spark, "names-csv")
+    rows = read_table(spark, sf, "customer").select(F.concat_ws(",", "c_custkey", "c_nationkey", "c_acctbal").alias("v"))
+    rows.coalesce(1).select(F.lit(0).alias("o"), "v").union(spark.createDataFrame([(-1, "x,x,x_1")], "o int, v string")) \
+        .repartition(1).sortWithinPartitions("o").select("v").write.text(path)
+    return CSV.load_csv(spark, path).table
+
+
 @register("s04_load_metadata", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns FROM customer")
 def s04_load_metadata(spark, sf):
     return CSV.load_csv(spark, _customer_csv(spark, sf)).metadata.select("rows", "columns")
@@ -1204,13 +1306,14 @@ def p14_full_profile_missing(spark, sf):
     return full_profile(orders_with_gaps(spark, sf)).missing
 
 
-@register("s09_report_eda_section", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}), m AS ({_p1})
-SELECT 'EDA summary' AS section, 0 AS ord, 'Missing values (cells)' AS key, CAST(sum(missing_count) AS VARCHAR) AS value FROM m""")
+@register("s09_report_eda_section", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}), m AS ({_p1}),
+o AS ({_sql_issue_outliers('g', _GAP_NUM, _GAP_NAMES)}), n AS ({_corr_sql(ORDERS_WITH_GAPS_SQL, _GAP_NUM, False)})
+SELECT 'Profile' AS section, 0 AS ord, 'missing cells' AS key, CAST(sum(missing_count) AS VARCHAR) AS value FROM m
+UNION ALL SELECT 'Profile', 1, 'columns with outliers', CAST(count(*) AS VARCHAR) FROM o
+UNION ALL SELECT 'Profile', 2, 'correlated column pairs', CAST(count(*) AS VARCHAR) FROM n WHERE idx_1 < idx_2 AND abs(r) >= 0.7""")
 def s09_report_eda_section(spark, sf):
-    g = orders_with_gaps(spark, sf)
-    prof = full_profile(g)
-    sec = RP.eda_section(prof.missing, prof.outliers_iqr, C.high_correlation_pairs(prof.correlation, 0.7))
-    return sec.where(F.col("ord") == 0)
+    prof = full_profile(orders_with_gaps(spark, sf))
+    return RP.eda_section(prof.missing, prof.outliers_iqr, C.high_correlation_pairs(prof.correlation, 0.7))
 
 
 @register("s09_report_markdown")
@@ -1218,7 +1321,7 @@ def s09_report_markdown(spark, sf):
     from .plans.workflow import run
     li = read_table(spark, sf, "lineitem")
     cfg = T.PrepConfig(target="l_returnflag", features=tuple(NB_FEATURES + ["l_linestatus"]), key=tuple(LI_KEY))
-    res = run(li, cfg, models=["Naive Bayes", "Rule-Based"])
+    res = run(li, cfg)
     return RP.to_markdown(res.report)
 
 
@@ -1234,7 +1337,11 @@ def p17_density_curve(spark, sf):
     return P.density_curve(read_table(spark, sf, "events"), "value", 200, 0.0, 30)
 
 
-@register("v09_split_ready", "SELECT 'split' AS check, true AS ok, '' AS message FROM (SELECT count(*) FROM lineitem)")
+@register("v09_split_ready", "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY) + """
+SELECT 'split' AS check, n > 0 AND m > 0 AND k >= 2 AS ok, CASE WHEN n = 0 THEN 'training set is empty'
+  WHEN m = 0 THEN 'test set is empty' WHEN k < 2 THEN 'training set has fewer than 2 classes' ELSE '' END AS message
+FROM (SELECT count(*) FILTER (split = 'train') AS n, count(*) FILTER (split = 'test') AS m,
+        count(DISTINCT l_returnflag) FILTER (split = 'train') AS k FROM sp)""")
 def v09_split_ready(spark, sf):
     sp = T.train_test_split(read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag"), "l_returnflag",
                             0.2, 42, True, LI_KEY)
@@ -1267,3 +1374,116 @@ def _kendall_sql(table: str, cols: list[str], key: str) -> str:
 @register("p12_kendall", _kendall_sql("part", KENDALL_COLS, "p_partkey"))
 def p12_kendall(spark, sf):
     return C.correlation(read_table(spark, sf, "part"), "kendall", KENDALL_COLS)
+
+
+# ----------------------------------------------------------------- R1-R3, R6, V3, T5, T9, T12, T13
+from .functions import columns as COLS  # noqa: E402
+
+_NUMERIC_SQL = "('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'FLOAT', 'DOUBLE')"
+
+
+def _names(spark, sf, table: str, names: list[str]) -> DataFrame:
+    """Column names as rows, on a frame of one row of the table's count."""
+    n = read_table(spark, sf, table).agg(F.count(F.lit(1)).alias("rows"))
+    return n.select(F.explode(F.array(*[F.lit(c) for c in names])).alias("feature"), "rows")
+
+
+@register("r01_numeric_columns", f"""SELECT column_name AS feature, (SELECT count(*) FROM lineitem) AS rows
+FROM (DESCRIBE lineitem) WHERE column_type IN {_NUMERIC_SQL}""")
+def r01_numeric_columns(spark, sf):
+    return _names(spark, sf, "lineitem", COLS.numeric_columns(read_table(spark, sf, "lineitem")))
+
+
+@register("r01_categorical_columns", """SELECT column_name AS feature, (SELECT count(*) FROM lineitem) AS rows
+FROM (DESCRIBE lineitem) WHERE column_type = 'VARCHAR'""")
+def r01_categorical_columns(spark, sf):
+    return _names(spark, sf, "lineitem", COLS.categorical_columns(read_table(spark, sf, "lineitem")))
+
+
+@register("r02_other_features", f"""SELECT column_name AS feature, (SELECT count(*) FROM orders) AS rows
+FROM (DESCRIBE orders) WHERE column_type NOT IN {_NUMERIC_SQL}""")
+def r02_other_features(spark, sf):
+    o = read_table(spark, sf, "orders")
+    return _names(spark, sf, "orders", COLS.feature_column_types(o, [*o.columns, "unknown"])[1])
+
+
+@register("r03_project", "SELECT l_quantity, l_extendedprice, l_returnflag FROM lineitem")
+def r03_project(spark, sf):
+    return read_table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_returnflag")
+
+
+@register("r06_ranked_missing", f"""WITH g AS ({ORDERS_WITH_GAPS_SQL}), m AS ({_p1})
+SELECT CAST(row_number() OVER (ORDER BY missing_pct DESC, feature) AS INTEGER) AS rank, feature, missing_pct FROM m""")
+def r06_ranked_missing(spark, sf):
+    """The order of the missing-value table, as an explicit rank."""
+    from pyspark.sql import Window
+    rows = P.missing_values(orders_with_gaps(spark, sf))
+    return rows.select(F.row_number().over(Window.orderBy(F.desc("missing_pct"), "feature")).alias("rank"), "feature",
+                       "missing_pct")
+
+
+@register("v03_features_ready", """SELECT 'features' AS check, count(*) = 2 AS ok,
+  CASE WHEN count(*) = 2 THEN '' ELSE 'feature columns not found' END AS message
+FROM (DESCRIBE lineitem) WHERE column_name IN ('l_quantity', 'l_tax')""")
+def v03_features_ready(spark, sf):
+    return V.features_ready(read_table(spark, sf, "lineitem"), ["l_quantity", "l_tax"], "l_returnflag")
+
+
+def _transformed(spark, sf, scaling):
+    """A pipeline fitted on the training side and applied to the whole table as new data."""
+    prep = lineitem_prepared(spark, sf, scaling, ["l_quantity", "l_extendedprice"])
+    x = vector_to_array("features")
+    return T.apply_to_new(prep, read_table(spark, sf, "lineitem"), keep=LI_KEY).select(
+        *LI_KEY, F.round(x[0], 6).alias("l_quantity"), F.round(x[1], 6).alias("l_extendedprice"))
+
+
+@register("t05_no_scaling", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_quantity, 6) AS l_quantity,
+  round(l_extendedprice, 6) AS l_extendedprice FROM lineitem""")
+def t05_no_scaling(spark, sf):
+    return _transformed(spark, sf, "none")
+
+
+@register("t13_apply_to_new", _LI_SPLIT + """,
+s AS (SELECT avg(l_quantity) AS mq, stddev_pop(l_quantity) AS sq, avg(l_extendedprice) AS me, stddev_pop(l_extendedprice) AS se
+      FROM sp WHERE split = 'train')
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity - mq) / sq, 6) AS l_quantity,
+  round((l_extendedprice - me) / se, 6) AS l_extendedprice FROM sp, s""")
+def t13_apply_to_new(spark, sf):
+    return _transformed(spark, sf, "standard")
+
+
+@register("t09_feature_names", """SELECT 'categorical__o_orderpriority_' || o_orderpriority AS feature,
+  (SELECT count(*) FROM orders) AS rows FROM (SELECT DISTINCT o_orderpriority FROM orders)
+UNION ALL SELECT 'numerical__o_totalprice', count(*) FROM orders""")
+def t09_feature_names(spark, sf):
+    o = read_table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    cfg = T.PrepConfig(target="o_orderstatus", features=("o_totalprice", "o_orderpriority"), key=("o_orderkey",))
+    return _names(spark, sf, "orders", T.prepare(o, cfg, keep=["o_orderkey"]).feature_names)
+
+
+# ----------------------------------------------------------------- names with dots and back-ticks
+def _dotted(spark, sf):
+    ev = read_table(spark, sf, "events").select("event_id", "value")
+    return ev.toDF("event.id", "the `value`.x")
+
+
+@register("p01_dotted_names", """SELECT feature, CAST(0 AS BIGINT) AS missing_count, 0.0::DOUBLE AS missing_pct, dtype FROM
+  (VALUES ('event.id', 'bigint'), ('the `value`.x', 'double')) v(feature, dtype) WHERE (SELECT count(*) FROM events) > 0""")
+def p01_dotted_names(spark, sf):
+    return P.missing_values(_dotted(spark, sf))
+
+
+@register("p08_dotted_names", "SELECT * REPLACE (CASE feature WHEN 'value' THEN 'the `value`.x' ELSE 'event.id' END AS feature) "
+          f"FROM ({_p8}) WHERE feature IN ('event_id', 'value')")
+def p08_dotted_names(spark, sf):
+    return P.outliers_iqr(_dotted(spark, sf))
+
+
+@register("p02_decimal_distinct", """SELECT 'd' AS feature, CAST(count(DISTINCT l_orderkey % 1000) AS BIGINT) AS distinct_count
+FROM lineitem""")
+def p02_decimal_distinct(spark, sf):
+    """Decimals beyond 2^53 that differ only in the last digits stay distinct."""
+    from .operators import frequencies as FQ
+    d = F.lit("90071992547409920000").cast("decimal(30,0)") + (F.col("l_orderkey") % 1000).cast("decimal(10,0)")
+    df = read_table(spark, sf, "lineitem").select(d.cast("decimal(30,0)").alias("d"))
+    return FQ.distinct_counts(FQ.value_counts(df)).select("feature", F.col("distinct").alias("distinct_count"))

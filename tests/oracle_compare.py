@@ -103,7 +103,7 @@ def main():
     prefixes = sys.argv[2:]
     from tablesmith.session import get_session
     from tablesmith.suite import ORACLE, QUERIES
-    spark = get_session()
+    spark = get_session(os.environ.get("CORES", "*"))
     con = duck_connect(sf_dir)
     ok = bad = 0
     for name, fn in QUERIES.items():
