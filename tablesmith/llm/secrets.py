@@ -159,6 +159,6 @@ digest AS (SELECT text,
   count(*) FILTER (kind = 'hex') AS n_hex,
   coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3), '') AS base,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans FROM found GROUP BY text)
-SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+SELECT d.doc_id, coalesce(g.n_assign, 0) AS n_assign, coalesce(g.n_access, 0) AS n_access,
+  coalesce(g.n_hex, 0) AS n_hex, sha256(coalesce(g.base, '')) AS base_sha256, coalesce(g.spans, '') AS spans
 FROM documents d LEFT JOIN digest g ON coalesce(d.text, '') = g.text"""
