@@ -97,7 +97,7 @@ class KNNModel(Model, _KNNParams):
             R = np.stack(r["x"].to_numpy()).astype(np.float64)
             tids, ys, qids = r["tid"].to_numpy(), r["y"].to_numpy(), q["qid"].to_numpy()
             kk = min(k, len(R))
-            step = max(1, 2_000_000 // max(1, len(R)))
+            step = max(1, 2_000_000 // max(1, len(R) * R.shape[1]))  # differences of a step: 16 MB
             for s in range(0, len(Q), step):
                 qq = Q[s:s + step]
                 if metric == "manhattan":

@@ -21,6 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import bounded
 from ..session import cut_lineage
 from .evaluate import weighted_f1
 from .models import catalogue as M
@@ -72,10 +73,10 @@ class TuningResult:
     n_iterations: int
 
 
-def _fit_score(name: str, params: dict, data: DataFrame, fold: int, with_train: bool):
+def _fit_score(name: str, params: dict, data: DataFrame, fold: int, with_train: bool, counts: dict):
     tr = data.where(F.col("fold") != fold)
     te = data.where(F.col("fold") == fold)
-    trained = M.train_one(name, tr.drop("fold"), params)
+    trained = M.train_one(name, tr.drop("fold"), params, counts=counts)
     test_f1 = weighted_f1(trained.model.transform(te.drop("fold")))
     train_f1 = weighted_f1(trained.model.transform(tr.drop("fold"))) if with_train else None
     return params, fold, test_f1, train_f1
@@ -87,8 +88,17 @@ def search(name: str, train: DataFrame, combos: list[dict], folds: int = 5, para
     t0 = time.time()
     data = cut_lineage(with_folds(train, folds, seed, key=key))
     jobs = [(p, f) for p in combos for f in range(folds)]
+    # class counts of every fold's training side from one aggregate, for all combinations
+    cells = [(r["fold"], r["label"], r["n"]) for r in bounded(
+        data.groupBy("fold", "label").agg(F.count(F.lit(1)).alias("n")), "classes x folds")]
+    counts = [{} for _ in range(folds)]
+    for at, label, n in cells:
+        for f in range(folds):
+            if f != at:
+                counts[f][label] = counts[f].get(label, 0) + n
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(lambda j: _fit_score(name, j[0], data, j[1], with_train_scores), jobs))
+        results = list(pool.map(lambda j: _fit_score(name, j[0], data, j[1], with_train_scores,
+                                                          counts[j[1]]), jobs))
     spark = train.sparkSession
     rows = [(name, json.dumps(p, sort_keys=True), f, float(s), None if t is None else float(t))
             for p, f, s, t in results]
