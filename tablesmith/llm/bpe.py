@@ -27,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,8 +36,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablesmith.llm.common import small_batches
+
 MASK_BITS = 7
-CACHE_BYTES = 128 << 20
+CACHE_BYTES = 64 << 20
 ROWS_PER_BATCH = 512
 
 _GEAR = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=4).digest(), "little") for i in range(256)],
@@ -84,7 +87,7 @@ class Codec:
 
     def entry(self, ids: list[int]) -> tuple:
         """ids, their decimal digits joined by commas, the decoded bytes."""
-        return ids, b",".join([self.digits[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
+        return array("i", ids), b",".join([self.digits[i] for i in ids]), b"".join([self.bytes_of[i] for i in ids])
 
     def chunk(self, raw: bytes) -> tuple:
         """Entry of a chunk, encoded at its first occurrence."""
@@ -118,7 +121,7 @@ class Codec:
         a, b = _tail(left), _head(right)
         return self.plain(a + b) == self._piece(a) + self._piece(b)
 
-    def encode(self, text: str) -> tuple[list[int], bytes, bytes]:
+    def encode(self, text: str) -> tuple[array, bytes, bytes]:
         """ids, their decimal digits joined by commas, the decoded bytes of a whole text."""
         if self.held > self.cache_bytes:
             self.chunks.clear()
@@ -137,7 +140,10 @@ class Codec:
         parts = [self.chunk(x) for x in spans]
         if len(parts) == 1:
             return parts[0]
-        return ([i for p in parts for i in p[0]], b",".join([p[1] for p in parts]), b"".join([p[2] for p in parts]))
+        ids = array("i")
+        for p in parts:
+            ids.extend(p[0])
+        return ids, b",".join([p[1] for p in parts]), b"".join([p[2] for p in parts])
 
     def decode(self, ids) -> str:
         return b"".join([self.bytes_of[int(i)] for i in ids]).decode("utf-8", errors="replace")
@@ -205,6 +211,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], with_ids: bool = T
                 out = part.drop(columns="_text").assign(n_tokens=n, ids_sha256=a, decoded_sha256=b)
                 yield out.assign(token_ids=all_ids) if with_ids else out
 
+    small_batches(docs.sparkSession)
     out = kept.mapInPandas(run, T.StructType(fields))
     return out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)],
                       *[f.name for f in fields[len(keep):]])

@@ -27,6 +27,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ARROW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in Arrow batches of at most ARROW_ROWS rows (a session
+    setting, only ever lowered), so a worker holds a few megabytes of text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name, "10000"))
+    if now <= 0 or now > ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once per row."""
     return F.element_at(F.transform(F.array(value), body), 1)

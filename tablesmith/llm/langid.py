@@ -36,7 +36,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import stored
+from tablesmith.llm.common import small_batches, stored
 
 ORDER = 4
 MAX_NGRAMS = 2_000_000
@@ -45,7 +45,7 @@ QUANTILE = 0.999
 SLACK = 1.5
 #: softmax sharpness in nats per character, fitted on the training documents
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 18
 BOUNDARY = 32
 _LETTERS: list[np.ndarray] = []
 
@@ -118,6 +118,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
                 found = {}
         yield from _rows(found)
 
+    small_batches(docs.sparkSession)
     return docs.mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -224,7 +225,8 @@ def train(docs: DataFrame) -> Model | None:
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """``keep`` columns, _l_signs and _l_ce (cross-entropy per sign, by language in the model's order)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_NGRAMS 4-grams at most
 
     @F.pandas_udf("signs long, ce array<double>")
     def entropies(texts: pd.Series) -> pd.DataFrame:

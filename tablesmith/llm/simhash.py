@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import stored
+from tablesmith.llm.common import small_batches, stored
 
 WIDTH = 4
 RADIUS = 4
@@ -69,6 +69,7 @@ def with_fingerprint(docs: DataFrame, width: int = WIDTH, name: str = "fp") -> D
     def fp(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(name, fp(F.col("text").cast("string")))
 
 
@@ -200,28 +201,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
-    """One row per document: doc_id, fp (signed fingerprint), root (the component's
-    smallest fingerprint), component_id (its smallest id)."""
-    rows = stored(with_fingerprint(docs.select("doc_id", "text"), width).select("doc_id", "fp"), "fingerprints")
+    """One row per document: doc_id, fp (signed fingerprint), text_hash, root (the
+    component's smallest fingerprint), component_id (its smallest id)."""
+    rows = stored(with_fingerprint(docs.select("doc_id", "text"), width).select(
+        "doc_id", "fp", F.xxhash64("text").alias("text_hash")), "fingerprints")
     fps = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct-fingerprints")
     roots = components(links(fps, fps.count(), radius))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root"))
     lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
     named = named.join(lows, "root").select("fp", "root", "component_id")
-    return rows.join(named, "fp").select("doc_id", "fp", "root", "component_id")
+    return rows.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataFrame:
     """One document of each component, with the columns of ``docs``: the one of the
-    smallest non-null id, then of the smallest fingerprint; of rows alike in both, any."""
+    smallest non-null id, then of the smallest fingerprint and text hash; of rows alike
+    in all, any."""
     chosen = dedup(docs, width, radius).groupBy("root").agg(F.min(F.struct(
-        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp")).alias("k")).select(
-        F.col("k.doc_id").alias("_s_id"), F.col("k.fp").alias("_s_chosen"))
-    keyed = with_fingerprint(docs, width, "_s_fp")
-    kept = keyed.join(chosen, (F.col("_s_fp") == F.col("_s_chosen")) & F.col("doc_id").eqNullSafe(F.col("_s_id")),
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "text_hash")).alias("k")).select(
+        F.col("k.doc_id").alias("_s_id"), F.col("k.text_hash").alias("_s_chosen"))
+    keyed = docs.withColumn("_s_hash", F.xxhash64("text"))
+    kept = keyed.join(chosen, (F.col("_s_hash") == F.col("_s_chosen")) & F.col("doc_id").eqNullSafe(F.col("_s_id")),
                       "left_semi")
-    return kept.dropDuplicates(["doc_id", "_s_fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.dropDuplicates(["doc_id", "_s_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
