@@ -36,7 +36,7 @@ K_NEAREST = 20
 CENTROIDS = 32
 FIT_ROWS = 20_000
 FIT_ROUNDS = 12
-SHARE = 0.5
+SHARE = 0.65
 MIN_CANDIDATES = 2000
 SHARD_ROWS = 16_384
 QUERY_BLOCK = 4096
