@@ -169,8 +169,9 @@ def redact(docs: DataFrame) -> DataFrame:
         last = F.get(a, F.size(a) - 1)["end"]
         return F.concat(F.array_join(F.transform(a, piece), ""), F.substring("text", last + 1, F.char_length("text")))
     new = F.when(F.col("_p_spans").isNull(), F.col("text")).otherwise(let(apart, rebuilt))
-    rows = docs.withColumn("_p_row", text_key()).join(spans, F.col("_p_row") == F.col("_p_key"), "left").withColumn(
-        "text", new)
+    # the spans grow with the data: always the shuffled join, in which adaptive execution splits a hot text
+    rows = docs.withColumn("_p_row", text_key()).join(
+        spans.hint("merge"), F.col("_p_row") == F.col("_p_key"), "left").withColumn("text", new)
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns])

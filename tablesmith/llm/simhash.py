@@ -220,11 +220,11 @@ def keep_one(docs: DataFrame, width: int = WIDTH, radius: int = RADIUS) -> DataF
     in all, any."""
     chosen = dedup(docs, width, radius).groupBy("root").agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "fp", "text_hash")).alias("k")).select(
-        F.col("k.doc_id").alias("_s_id"), F.col("k.text_hash").alias("_s_chosen"))
-    keyed = docs.withColumn("_s_hash", F.xxhash64("text"))
-    kept = keyed.join(chosen, (F.col("_s_hash") == F.col("_s_chosen")) & F.col("doc_id").eqNullSafe(F.col("_s_id")),
-                      "left_semi")
-    return kept.dropDuplicates(["doc_id", "_s_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+        F.col("k.text_hash").alias("_s_hash"), F.to_json(F.struct(F.col("k.doc_id").alias("id"))).alias("_s_id"))
+    # join and de-duplication use the same two columns, so the texts are shuffled once
+    keyed = docs.withColumns({"_s_hash": F.xxhash64("text"), "_s_id": F.to_json(F.struct(F.col("doc_id").alias("id")))})
+    kept = keyed.join(chosen.hint("merge"), ["_s_hash", "_s_id"], "left_semi").dropDuplicates(["_s_hash", "_s_id"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
