@@ -32,11 +32,20 @@ WORD_FEATURES = 1 << 15
 SURFACE_FEATURES = 1 << 8
 STRENGTH = 0.001
 KEEP_FROM = 0.5
+#: variety is the share of distinct words in consecutive windows of so many words
+WINDOW = 200
 #: steps of a surface count: the number of these limits it reaches
 STEPS = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.95, 1.0, 1.5, 2.0, 3.0, 4.0,
          5.0, 6.0, 7.0, 8.0, 10.0, 12.0, 15.0, 20.0, 50.0, 100.0, 200.0, 500.0)
 
 
+def _kinds(w: Column) -> Column:
+    """Distinct words of each window of WINDOW words, summed over the windows: over the number of words, it is the
+    mean distinct share of the windows by their length, which a longer text does not lower."""
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(w) - 1) / WINDOW).cast("int")))
+    return F.aggregate(starts, F.lit(0), lambda acc, i: acc + F.size(F.array_distinct(F.slice(w, i * WINDOW + 1, WINDOW))))
+
+
 def surface(docs: DataFrame, keep: list[str]) -> DataFrame:
     """``keep`` columns, place (hash of the row), _w (words) and the surface counts that the labellers look at."""
     t = F.col("_t")
@@ -46,15 +55,14 @@ def surface(docs: DataFrame, keep: list[str]) -> DataFrame:
                        text_or_empty().alias("_t")).withColumns({
         "_w": words(t), "letters": without(r"\p{L}+"), "capitals": without(r"\p{Lu}+"),
         "digits": without(r"[0-9]+"), "marks": without(r"[#*$%&|<>{}\[\]~^_=\\]+"), "ends": without(r"[.!?]+")})
-    rows = rows.withColumns({"n": F.size("_w").cast("double"),
-                             "kinds": F.size(F.array_distinct(F.slice("_w", 1, 200))).cast("double")})
+    rows = rows.withColumns({"n": F.size("_w").cast("double"), "kinds": _kinds(F.col("_w")).cast("double")})
     chars = F.greatest(F.lit(1), F.col("letters") + F.col("digits") + F.col("marks"))
     n = F.greatest(F.lit(1.0), F.col("n"))
     return rows.select(
         *[F.col(f"`{c}`") for c in keep], "place", "_w", F.col("n").alias("s_words"),
         (F.col("letters") / n).alias("s_letters"), (F.col("capitals") / F.greatest(F.lit(1), F.col("letters"))).alias(
             "s_capitals"), (F.col("digits") / chars).alias("s_digits"), (F.col("marks") / n).alias("s_marks"),
-        (F.col("ends") / n).alias("s_ends"), (F.col("kinds") / F.least(n, F.lit(200.0))).alias("s_kinds"))
+        (F.col("ends") / n).alias("s_ends"), (F.col("kinds") / n).alias("s_kinds"))
 
 
 SURFACE = ("s_words", "s_letters", "s_capitals", "s_digits", "s_marks", "s_ends", "s_kinds")

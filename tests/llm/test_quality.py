@@ -89,6 +89,19 @@ def test_classifier(spark, docs, edge, empty):
     assert classifier.classify(empty).collect() == []
 
 
+def test_variety_covers_the_whole_text(spark):
+    fresh = [f"word{i}" for i in range(200)]
+    texts = [fresh + ["again"] * 1800, ["again"] * 200 + [f"word{i}" for i in range(1800)], fresh * 10, fresh[:150], [],
+             fresh + ["again"] * 50]
+    rows = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["s_kinds"] for r in classifier.surface(rows, ["doc_id"]).collect()}
+    for i, w in enumerate(texts):
+        want = sum(len(set(w[at:at + 200])) for at in range(0, len(w), 200)) / max(1, len(w))
+        assert abs(got[i] - want) < 1e-12
+    votes = classifier.surface(rows, ["doc_id"]).select("doc_id", classifier.labellers()[-1].alias("v")).collect()
+    assert {r["doc_id"]: r["v"] for r in votes if r["doc_id"] < 3} == {0: -1, 1: 1, 2: 1}
+
+
 SF = "/root/testdata/sf0.01"  # 399 labels
 
 
