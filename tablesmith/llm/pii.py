@@ -153,15 +153,20 @@ def _span_text(spans: Column) -> Column:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets and n_chars, if there is one, set anew."""
+    """``docs`` with every span replaced by its kind in brackets and n_chars, if there is one, set anew. Spans that
+    overlap are replaced as one, from the first start to the greatest end, by the kind of the first."""
     spans = find(docs).select(F.col("key").alias("_p_key"), F.col("spans").alias("_p_spans"))
     marks = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     by_start = F.sort_array(F.transform("_p_spans", lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("back"), s["ord"].alias("ord"))))
-    apart = F.aggregate(by_start, F.array().cast("array<struct<start:int,end:int,ord:int>>"), lambda acc, s: F.when(
-        s["start"] >= F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0)),
-        F.concat(acc, F.array(F.struct(s["start"].alias("start"), (-s["back"]).alias("end"), s["ord"].alias("ord"))))
-    ).otherwise(acc))
+    spot = "array<struct<start:int,end:int,ord:int>>"
+    def joined(acc, s):
+        last, end = F.get(acc, F.size(acc) - 1), -s["back"]
+        return F.when(s["start"] >= F.coalesce(last["end"], F.lit(0)), F.concat(acc, F.array(F.struct(
+            s["start"].alias("start"), end.alias("end"), s["ord"].alias("ord"))))).when(
+            end <= last["end"], acc).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
+                last["start"].alias("start"), end.alias("end"), last["ord"].alias("ord")))))
+    apart = F.aggregate(by_start, F.array().cast(spot), lambda acc, s: joined(acc, s).cast(spot))
     def rebuilt(a):
         def piece(x, i):
             at = F.coalesce(F.get(a, i - 1)["end"], F.lit(0))

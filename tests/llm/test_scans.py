@@ -90,6 +90,19 @@ def test_redaction(spark, edge):
     assert whole.columns == edge.columns and whole.count() == edge.count()
 
 
+def test_redaction_of_overlapping_spans(spark):
+    rows = [(1, "call +1 555 123 4567 99bob@x.com now"),  # the phone runs into the e-mail
+            (2, "at +1 555 123 4567 99bob@x.com, then me@x.example 10.0.0.1"),
+            (3, "no 1.2.3.4@x.example here")]  # the IP lies inside the e-mail
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["key"]: [(s["ord"], s["start"], s["end"]) for s in r["spans"]] for r in pii.find(df).collect()}
+    first = next(r["k"] for r in df.where("doc_id = 1").select(pii.text_key().alias("k")).collect())
+    (mail, phone) = spans[first]
+    assert phone[1] < mail[1] < phone[2] < mail[2]  # a partial overlap
+    out = {r["doc_id"]: r["text"] for r in pii.redact(df).collect()}
+    assert out == {1: "call [PHONE] now", 2: "at [PHONE], then [EMAIL] [IP]", 3: "no [EMAIL] here"}
+
+
 @pytest.mark.parametrize("name", ["op1_secrets", "op6_pii"])
 def test_empty(spark, empty_dir, name):
     assert QUERIES[name](spark, empty_dir).collect() == []
