@@ -11,9 +11,11 @@ n-grams that the order above does not hold. The language with the lowest
 cross-entropy per character wins.
 
 Training counts cover every training text. They are made per task, summed by the
-hash over the cluster, and only the model goes to the driver. Its size is bounded:
-where more than ``MAX_NGRAMS`` distinct 4-grams (over all languages) are found, the
-rarest counts go first. More than ``MAX_LANGUAGES`` languages raise an error.
+hash over the cluster, and all of them make the model. Up to ``MAX_NGRAMS`` counts it
+is built on the driver and broadcast (``Model``). Beyond that nothing goes: the counts
+stay in the shared folder, joins on the grams build the same probabilities for the
+4-grams that occur, and texts are scored in blocks, each against the probabilities of
+its own 4-grams (``SpreadModel``). More than ``MAX_LANGUAGES`` languages raise an error.
 
 Rejection and confidence are calibrated on the training documents after scoring:
 a document is rejected if its cross-entropy is above ``SLACK`` times the
@@ -39,6 +41,7 @@ from pyspark.sql import functions as F
 from tablesmith.llm.common import small_batches, stored
 
 ORDER = 4
+#: counts up to which the model is one broadcast; larger ones are joined
 MAX_NGRAMS = 2_000_000
 MAX_LANGUAGES = 200
 QUANTILE = 0.999
@@ -46,6 +49,9 @@ SLACK = 1.5
 #: softmax sharpness in nats per character, fitted on the training documents
 SHARPNESS = (1.0, 2.0, 4.0, 8.0, 16.0, 32.0, 64.0, 128.0)
 CHARS_AT_ONCE = 1 << 18
+#: a block of texts ends at so many signs or distinct 4-grams
+BLOCK_SIGNS = 1 << 22
+BLOCK_GRAMS = 1 << 18
 BOUNDARY = 32
 _LETTERS: list[np.ndarray] = []
 
@@ -196,17 +202,113 @@ class Model:
 
     def cross_entropies(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """(signs of each text, summed negative log-probability, a column per language)."""
-        n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), len(self.langs)))
-        for place, g in _batches(texts):
-            lp = self.logprob(g)
-            starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-            n[place[starts]] += np.diff(np.append(starts, len(place)))
-            for j in range(len(self.langs)):
-                total[place[starts], j] -= np.add.reduceat(lp[:, j], starts, dtype=np.float64)
-        return n, total
+        return _entropies(texts, self.logprob, len(self.langs))
 
 
-def train(docs: DataFrame) -> Model | None:
+def _entropies(texts, logprob, size: int) -> tuple[np.ndarray, np.ndarray]:
+    n, total = np.zeros(len(texts), np.int64), np.zeros((len(texts), size))
+    for place, g in _batches(texts):
+        lp = logprob(g)
+        starts = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
+        n[place[starts]] += np.diff(np.append(starts, len(place)))
+        for j in range(size):
+            total[place[starts], j] -= np.add.reduceat(lp[:, j], starts, dtype=np.float64)
+    return n, total
+
+
+class SpreadModel:
+    """The models of all languages as tables: ``counts`` (lang, gram, n) in the shared folder, all of them."""
+
+    def __init__(self, langs: list[str], counts: DataFrame):
+        self.langs = langs
+        place = F.create_map(*[x for i, name in enumerate(langs) for x in (F.lit(name), F.lit(i))])
+        self.counts = counts.select(F.element_at(place, F.col("lang")).alias("j"), F.col("gram").alias("g"),
+                                    F.col("n").alias("c"))
+
+    def _dense(self, rows: DataFrame, key: str, **values: str) -> DataFrame:
+        """``key`` and an array by language of each of ``values`` (0 where a language has none)."""
+        return rows.groupBy(key).agg(*[F.array(*[F.coalesce(F.sum(F.when(F.col("j") == j, F.col(c))), F.lit(0)).cast(
+            "double") for j in range(len(self.langs))]).alias(name) for name, c in values.items()])
+
+    def logprobs(self, wanted: DataFrame) -> DataFrame:
+        """(g, lp): the log-probabilities of the last sign of each distinct 4-gram of ``wanted`` (g), by language."""
+        def low(k):
+            return F.col("g").bitwiseAND(F.lit((1 << 16 * k) - 1))
+        counts, asked = [self.counts], [wanted]  # from the top order down
+        for k in range(ORDER - 1, 0, -1):  # continuation counts: how many signs go before
+            counts.append(stored(counts[-1].groupBy("j", low(k).alias("g")).agg(F.count("*").alias("c")),
+                                 "langid-counts"))
+            asked.append(stored(asked[-1].select(low(k).alias("g")).distinct(), "langid-asked"))
+        floor = 1.0 / (counts[-1].select("g").distinct().count() + 1)
+        below = None
+        for k in range(ORDER):  # signs before the last
+            c, q = counts[ORDER - 1 - k], asked[ORDER - 1 - k]
+            discount = [0.5] * len(self.langs)
+            for r in c.groupBy("j").agg(*[F.sum((F.col("c") == x).cast("long")).alias(f"n{x}") for x in (1, 2)]).collect():
+                if r["n1"]:  # a row per language
+                    discount[r["j"]] = min(0.95, max(0.05, r["n1"] / (r["n1"] + 2 * r["n2"])))
+            d = F.array(*[F.lit(x) for x in discount])
+            before = F.shiftrightunsigned("g", 16)
+            context = self._dense(c.groupBy("j", before.alias("b")).agg(F.sum("c").alias("total"), F.count("*").alias(
+                "kinds")), "b", total="total", kinds="kinds")
+            rows = q.withColumn("b", before).join(self._dense(c, "g", c="c"), "g", "left").join(context, "b", "left")
+            if k:
+                rows = rows.withColumn("s", low(k)).join(below.select(F.col("g").alias("s"), F.col("p").alias("lower")), "s")
+            else:
+                rows = rows.withColumn("lower", F.array(*[F.lit(floor)] * len(self.langs)))
+            none = F.array(*[F.lit(0.0)] * len(self.langs))
+            rows = rows.withColumns({x: F.coalesce(F.col(x), none) for x in ("c", "total", "kinds")})
+            p = F.transform("lower", lambda p, j: F.when(F.get("total", j) > 0, (F.greatest(F.lit(0.0), F.get(
+                "c", j) - F.get(d, j)) + F.get(d, j) * F.get("kinds", j) * p) / F.get("total", j)).otherwise(p))
+            below = stored(rows.select("g", p.alias("p")), "langid-order")
+        return below.select("g", F.transform("p", lambda p: F.log(p).cast("float")).alias("lp"))
+
+    def entropies(self, texts: DataFrame) -> DataFrame:
+        """(row, signs, ce) of ``texts`` (row, text), row being unique. A 4-gram is joined once for a block of texts,
+        not once for a text, so a frequent one meets few rows."""
+        size = len(self.langs)
+
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            """Rows of texts with their block (its first row); at a block's end one row (-1) with its 4-grams."""
+            block, signs, found, loose = None, 0, [], 0
+            def end(out):
+                gram = np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+                out.append((block, -1, None, gram.view(np.int64)))
+            for batch in batches:
+                out = []
+                for row, text in zip(batch["row"].tolist(), batch["text"].tolist(), strict=True):
+                    block = row if block is None else block
+                    out.append((block, row, text, None))
+                    for _, g in _pieces([text]):
+                        found.append(np.unique(g))
+                        signs, loose = signs + len(g), loose + len(found[-1])
+                    if loose > CHARS_AT_ONCE:
+                        found, loose = [np.unique(np.concatenate(found))], 0
+                    if signs >= BLOCK_SIGNS or found and len(found[0]) >= BLOCK_GRAMS:
+                        end(out)
+                        block, signs, found, loose = None, 0, [], 0
+                yield pd.DataFrame(out, columns=["block", "row", "text", "grams"])
+            if block is not None:
+                out = []
+                end(out)
+                yield pd.DataFrame(out, columns=["block", "row", "text", "grams"])
+
+        def judged(own: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+            order = np.argsort(model["g"].to_numpy().astype(np.int64).view(np.uint64))
+            g = model["g"].to_numpy().astype(np.int64).view(np.uint64)[order]
+            lp = np.stack(model["lp"].to_numpy()[order]) if len(g) else np.zeros((0, size), np.float32)
+            n, total = _entropies(own["text"].tolist(), lambda x: lp[np.searchsorted(g, x)], size)
+            return pd.DataFrame({"row": own["row"], "signs": n, "ce": list(total / np.maximum(n, 1)[:, None])})
+
+        small_batches(texts.sparkSession)
+        blocks = stored(texts.mapInPandas(cut, "block long, row long, text string, grams array<long>"), "langid-blocks")
+        wanted = stored(blocks.where("row < 0").select("block", F.explode("grams").alias("g")), "langid-wanted")
+        logprobs = self.logprobs(stored(wanted.select("g").distinct(), "langid-asked"))
+        return blocks.where("row >= 0").select("block", "row", "text").groupBy("block").cogroup(
+            wanted.join(logprobs, "g").groupBy("block")).applyInPandas(judged, "row long, signs long, ce array<double>")
+
+
+def train(docs: DataFrame) -> Model | SpreadModel | None:
     """The model of all documents that are not held out and have a lang; None if there are none."""
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -216,15 +318,22 @@ def train(docs: DataFrame) -> Model | None:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not langs:
         return None
-    sizes = counts.agg(*[F.sum((F.col("n") >= 2 ** k).cast("long")).alias(f"c{k}") for k in range(40)]).first()
-    least = next(2 ** k for k in range(40) if sizes[k] <= MAX_NGRAMS or k == 39)
-    rows = counts.where(F.col("n") >= least).toPandas()  # at most MAX_NGRAMS rows
+    if counts.count() > MAX_NGRAMS:
+        return SpreadModel(langs, counts)
+    rows = counts.toPandas()  # at most MAX_NGRAMS rows
     lang = np.searchsorted(langs, rows["lang"].to_numpy().astype(str))
     return Model(langs, lang, rows["gram"].to_numpy().view(np.uint64), rows["n"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+def score(docs: DataFrame, model: Model | SpreadModel, keep: list[str]) -> DataFrame:
     """``keep`` columns, _l_signs and _l_ce (cross-entropy per sign, by language in the model's order)."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    if isinstance(model, SpreadModel):
+        rows = stored(docs.select(*[F.col(f"`{c}`") for c in keep], text.alias("_l_text"),
+                                  F.monotonically_increasing_id().alias("_l_row")), "langid-rows")
+        found = model.entropies(rows.select(F.col("_l_row").alias("row"), F.col("_l_text").alias("text")))
+        return rows.join(found.select(F.col("row").alias("_l_row"), F.col("signs").alias("_l_signs"), F.col("ce").alias(
+            "_l_ce")), "_l_row").select(*[F.col(f"`{c}`") for c in keep], "_l_signs", "_l_ce")
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_NGRAMS 4-grams at most
 
@@ -233,7 +342,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         n, total = shared.value.cross_entropies(texts.tolist())
         return pd.DataFrame({"signs": n, "ce": list(total / np.maximum(n, 1)[:, None])})
 
-    out = docs.withColumn("_l_e", entropies(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = docs.withColumn("_l_e", entropies(text))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_l_e.signs").alias("_l_signs"),
                       F.col("_l_e.ce").alias("_l_ce"))
 

@@ -95,6 +95,41 @@ def test_held_out_documents_are_not_learnt_from(docs):
     assert a == {r["doc_id"]: r["lang_pred"] for r in langid.identify(changed).collect()}
 
 
+def test_no_count_is_left_out_beyond_the_broadcast(spark, docs, edge, monkeypatch):
+    columns = ("doc_id", "lang_pred", "score", "rejected", "cross_entropy")
+    def results(df):
+        return sorted((tuple(r[c] for c in columns) for r in langid.identify(df).collect()), key=lambda r: (
+            str(r[0]), str(r[4])))
+    few = docs.limit(60).union(docs.where("lang IS NULL").limit(5)).select("doc_id", "text", "lang")
+    other = edge.select("doc_id", "text", "lang")
+    whole = [results(df) for df in (few, other)]
+    kept = sorted(map(repr, langid.keep_known(edge).collect()))
+    monkeypatch.setattr(langid, "MAX_NGRAMS", 100)
+    for df, want in zip((few, other), whole, strict=True):
+        got = results(df)
+        assert len(got) == len(want)
+        for a, b in zip(got, want, strict=True):
+            assert a[:2] == b[:2] and a[3] == b[3] and np.isclose(a[2], b[2], atol=1e-4)
+            assert a[4] == b[4] or np.isclose(a[4], b[4], atol=1e-4)
+    assert sorted(map(repr, langid.keep_known(edge).collect())) == kept
+
+
+def test_blocks_do_not_change_the_entropies(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "BLOCK_SIGNS", 3000)  # many blocks
+    rows = docs.where("lang IS NOT NULL").limit(40).coalesce(1).cache()
+    counts = langid.count_grams(rows.select("lang", "text")).cache()
+    langs = sorted({r["lang"] for r in counts.select("lang").distinct().collect()})
+    model = langid.SpreadModel(langs, counts)
+    got = {r["row"]: r for r in model.entropies(rows.select(rows["doc_id"].alias("row"), "text")).collect()}
+    c = counts.toPandas()
+    whole = langid.Model(langs, np.searchsorted(langs, c["lang"].to_numpy().astype(str)),
+                         c["gram"].to_numpy().view(np.uint64), c["n"].to_numpy())
+    for r in rows.collect():
+        n, total = whole.cross_entropies([r["text"]])
+        assert got[r["doc_id"]]["signs"] == n[0]
+        assert np.allclose(got[r["doc_id"]]["ce"], total[0] / max(1, n[0]), atol=1e-4)
+
+
 def test_edges(spark, edge, empty, table_dir, empty_dir):
     rows = QUERIES["op2_language_id"](spark, table_dir).collect()
     assert len(rows) == edge.count()
