@@ -47,3 +47,17 @@ def test_numbers_and_names(spark):
     got = CSV.load_csv(spark, folder(b"a,b\n12d,1.5\n2,2\n")).table
     assert dict(got.dtypes) == {"a": "string", "b": "double"}
     assert CSV.unique_names(["x", "x", "x_1", "X"]) == ["x", "x_2", "x_1", "X_3"]
+
+
+def test_s03_writes_a_header_in_every_part(spark, tmp_path, monkeypatch):
+    from tablesmith import suite
+    whole = spark.read.parquet("/root/testdata/sf0.001/customer.parquet")
+    whole.repartition(3).write.parquet(f"{tmp_path}/customer.parquet")
+    load, seen = CSV.load_csv, []
+    monkeypatch.setattr(CSV, "load_csv", lambda s, path: seen.append(path) or load(s, path))
+    got = suite.QUERIES["s03_unique_names"](spark, str(tmp_path))
+    assert got.columns == ["x", "x_2", "x_1"]
+    want = whole.select("c_custkey", "c_nationkey", "c_acctbal").collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want))
+    files = spark.read.text(seen[0]).selectExpr("_metadata.file_path AS f", "value").where("value = 'x,x,x_1'").collect()
+    assert len(files) == len({r["f"] for r in files}) == 3
