@@ -9,9 +9,9 @@ target.
 
 Nothing is ordered as a whole. The shuffle position is a hash, cut into hash
 ranges whose totals (one row per source and range) give the offset of each
-range; the finish times are cut into equal ranges of virtual time, and only the
-range in which the budget ends is ordered row by row. The number of ranges
-follows the row count, so a task's share does not grow with the data, and a hot
+range; the span of virtual time in which the budget ends is narrowed by small tables of
+sums, however late it is, and only the places left in it are ordered row by row. The
+number of hash ranges follows the row count, so a task's share does not grow with the data, and a hot
 source is spread over all ranges.
 
 The budget's end is one position in the global order, so whether a repeat is taken
@@ -37,6 +37,8 @@ MAX_REPEATS = 3
 MAX_SOURCES = 100_000
 ROWS_PER_RANGE = 512
 MAX_RANGES = 65_536
+STEPS = 4096
+STEP_ROWS = 50_000
 
 
 def water_fill(sizes: list[tuple[str | None, int]], weights=WEIGHTS, cap: int = MAX_REPEATS) -> dict:
@@ -95,6 +97,31 @@ def _order(epoch):
                     F.col("_m_end").alias("n"), epoch.alias("e"))
 
 
+def _end_of(queue: DataFrame, budget: float, steps: int = STEPS, rows: int = STEP_ROWS):
+    """The first place (``at``) of the queue (_m_size, at) whose running words pass the budget; None if none does.
+    The span of virtual time that holds it is cut into ``steps`` ranges again and again, one small table of sums a
+    round, until at most ``rows`` places are in it or the span holds one time alone; these are ordered."""
+    span = queue.agg(F.min("at.f"), F.max("at.f"), F.sum("_m_size")).first()
+    if span[2] is None or span[2] <= budget:
+        return None
+    low, high, inside = span[0], span[1], F.lit(True)
+    while low < high:
+        step = F.least(F.floor((F.col("at.f") - low) / (high - low) * steps), F.lit(steps - 1))
+        sums = queue.where(inside).groupBy(step.alias("step")).agg(
+            F.sum("_m_size").alias("n"), F.count("*").alias("rows"), F.min("at.f").alias("low"), F.max("at.f").alias("high")
+        ).orderBy("step").collect()  # at most ``steps`` rows
+        for r in sums:
+            if r["n"] > budget:
+                break
+            budget -= r["n"]
+        low, high = r["low"], r["high"]
+        inside = F.col("at.f").between(low, high)
+        if r["rows"] <= rows:
+            break
+    cum = F.sum("_m_size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    return queue.where(inside).withColumn("cum", cum).where(F.col("cum") > budget).agg(F.min("at")).first()[0]
+
+
 def _copies(docs: DataFrame, cap: int, whole: bool) -> DataFrame:
     """doc_id, or with ``whole`` all columns, and the _m_ columns of every row, with
     _m_copies, how often the mix takes it."""
@@ -106,25 +133,13 @@ def _copies(docs: DataFrame, cap: int, whole: bool) -> DataFrame:
         F.sum("_m_size").alias("n")).select("_m_sid", "_m_part", F.coalesce(
             F.sum("n").over(upto), F.lit(0)).alias("_m_offset")), "mix-offsets")
 
-    # the queue of all repeats by ranges of virtual time: the range in which the budget ends, then the place in it
     queue = stored(_placed(sized, targets, offsets, ranges).where("_m_size > 0"), "mix-queue").withColumn(
-        "e", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).select(
-        "_m_size", _order(F.col("e")).alias("at")).withColumn("step", F.floor(F.col("at.f") * ranges).cast("long")).where(
-        "at.f < 16")  # all sources pass their targets near virtual time 1
-    budget = (targets.agg(F.sum("_m_target")).first()[0] or 0.0) + 0.5
-    before, end = 0, None
-    steps = queue.groupBy("step").agg(F.sum("_m_size").alias("n")).orderBy("step").collect()  # 16 * MAX_RANGES at most
-    for step, n in steps:
-        if before + n > budget:
-            cum = F.sum("_m_size").over(Window.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
-            end = queue.where(F.col("step") == step).withColumn("cum", cum).where(F.col("cum") > budget - before).agg(
-                F.min("at")).first()[0]
-            break
-        before += n
+        "e", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))).select("_m_size", _order(F.col("e")).alias("at"))
+    end = _end_of(queue, (targets.agg(F.sum("_m_target")).first()[0] or 0.0) + 0.5)
 
     rows = _placed(_sized(docs, docs.columns) if whole else sized, targets, offsets, ranges)
-    if end is None:
-        taken = F.lit(cap)
+    if end is None:  # no words at all
+        taken = F.lit(0)
     else:
         stop = F.struct(*[F.lit(end[k]).cast(kind).alias(k) for k, kind in (
             ("f", "double"), ("s", "int"), ("p", "long"), ("n", "long"), ("e", "int"))])

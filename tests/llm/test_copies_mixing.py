@@ -145,3 +145,47 @@ def test_sources_come_near_their_targets(docs):
     out = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source").agg(
         F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("size").alias("most")).collect()
     assert all(abs(r["taken"] - r["target"]) <= 2 * r["most"] for r in out)
+
+
+def small_corpus(spark, sources):
+    """sources: name -> sizes of its documents in words."""
+    rows = [(s, n) for s, sizes in sources.items() for n in sizes]
+    return spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(rows)], "doc_id long, text string, source string")
+
+
+def check_mix(docs):
+    rows = mixing.mix(docs).join(docs.select("doc_id", "source"), "doc_id").collect()
+    total = sum(r["size"] for r in rows)
+    taken = sum(r["taken"] for r in rows)
+    assert taken <= total and all(r["taken"] <= 3 * r["size"] for r in rows)
+    by = {}
+    for r in rows:
+        got = by.setdefault(r["source"], [0, r["target"], 0])
+        got[0], got[2] = got[0] + r["taken"], max(got[2], r["size"])
+    assert all(abs(t - target) <= 2 * most + max(m for *_, m in by.values()) for t, target, most in by.values()), by
+    return by
+
+
+def test_an_oversized_document_does_not_end_the_mix(spark):
+    """Its virtual finish time is beyond 20 while all other sources are through at 1."""
+    sources = {f"s{i:02}": [1] * (10, 4, 2)[i % 3] for i in range(9)}
+    by = check_mix(small_corpus(spark, sources | {"t0": [10], "t1": [4], "t2": [130]}))
+    assert by["t2"][:2] == [0, 6.0] and sum(t for t, *_ in by.values()) == 186
+    assert by["s00"][0] == 30 and by["s01"][0] == 12 and by["s02"][0] == 6
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_skewed_sources(spark, monkeypatch, seed):
+    monkeypatch.setattr(mixing, "STEP_ROWS", 3)
+    monkeypatch.setattr(mixing._end_of, "__defaults__", (4, 3))  # many rounds of narrowing
+    rng = np.random.default_rng(seed)
+    sources = {f"s{i}": (rng.pareto(1.0, rng.integers(1, 9)) * 3 + 1).astype(int).tolist() for i in range(rng.integers(1, 9))}
+    sources[f"s{rng.integers(0, len(sources))}"] = [int(rng.integers(200, 400)), 1, 1]
+    docs = small_corpus(spark, sources)
+    check_mix(docs)
+    place = F.xxhash64("doc_id", "text")
+    rows = {}
+    for r in docs.select("source", "doc_id", mixing.word_count(F.col("text")).alias("n"), place.alias("p")).orderBy("p").collect():
+        rows.setdefault(r["source"], []).append((r["doc_id"], r["n"]))
+    targets = mixing.water_fill([(s, sum(n for _, n in own)) for s, own in rows.items()])
+    assert {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect() if r["taken"]} == plain_mix(rows, targets)
