@@ -26,6 +26,7 @@ the text are ignored unless named in ``keep``, whatever their names.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -41,7 +42,9 @@ from pyspark.sql import types as T
 from tablesmith.llm.common import small_batches
 
 MARK = "▁"
-STORE_BYTES = 192 << 20
+STORE_BYTES = 384 << 20
+SHORT = 24
+_NO_PIECE = float("inf")
 BATCH_CHARS = 1 << 20
 
 
@@ -95,6 +98,8 @@ class PieceCodec:
         (cost, place of the left symbol, length of the pair); a pair whose symbols have changed is longer by now."""
         get, n = self.cost.get, len(text)
         symbol = list(text)
+        if n <= SHORT:
+            return self._ids(self._short_agenda(symbol))
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
         agenda = [(c, i, 2) for i in range(n - 1) if (c := get(text[i:i + 2])) is not None]
@@ -118,14 +123,30 @@ class PieceCodec:
                 both = symbol[before] + merged
                 if (c := get(both)) is not None:
                     push(agenda, (c, before, len(both)))
+        return self._ids([s for s in symbol if s is not None])
+
+    def _short_agenda(self, symbol: list[str]) -> list[str]:
+        """The same for a few symbols: the agenda is the list of the pairs' costs by place, its best entry the smallest."""
+        get, none = self.cost.get, _NO_PIECE
+        agenda = [get(a + b, none) for a, b in zip(symbol, symbol[1:])]
+        while agenda and (best := min(agenda)) < none:
+            a = agenda.index(best)
+            merged = symbol[a] = symbol[a] + symbol.pop(a + 1)
+            del agenda[a]
+            if a < len(agenda):
+                agenda[a] = get(merged + symbol[a + 1], none)
+            if a:
+                agenda[a - 1] = get(symbol[a - 1] + merged, none)
+        return symbol
+
+    def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
-        for s in symbol:
-            if s is not None:
-                i = self.ids.get(s)
-                if i is None:
-                    out += [self.byte_ids[b] for b in s.encode()]
-                else:
-                    out.append(i)
+        for s in symbols:
+            i = self.ids.get(s)
+            if i is None:
+                out += [self.byte_ids[b] for b in s.encode()]
+            else:
+                out.append(i)
         return out
 
     def cuts(self, word: str) -> list[str]:
@@ -261,6 +282,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], with_ids: bool = T
             for part in _slices(texts):
                 n, a, b, same, all_ids = [], [], [], [], []
                 known = own.library.encode(texts[part], num_threads=1)
+                gc.disable()  # the store holds no cycles, and a pass of the collector walks all of it
                 for text, ids_known in zip(texts[part], known, strict=True):
                     ids = own.encode(text)
                     digits, back = own.joined(ids)
@@ -270,6 +292,7 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], with_ids: bool = T
                     same.append(ids == ids_known and back == own.library.decode(ids_known).encode())
                     if with_ids:
                         all_ids.append(np.array(ids, dtype=np.int32))
+                gc.enable()
                 out = batch.iloc[part].drop(columns="_text").assign(
                     n_tokens=n, ids_sha256=a, decoded_sha256=b, agrees=same)
                 yield out.assign(token_ids=all_ids) if with_ids else out
