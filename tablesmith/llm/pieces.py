@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from tablesmith.llm.common import small_batches
 
 MARK = "▁"
-STORE_BYTES = 384 << 20
+STORE_BYTES = 640 << 20
 SHORT = 24
 _NO_PIECE = float("inf")
 BATCH_CHARS = 1 << 20
