@@ -102,7 +102,9 @@ def _candidates(texts: DataFrame) -> DataFrame:
     rows = texts.select("key", F.inline("found"))
     w = Window.partitionBy("key").orderBy("start", F.desc("ord"))
     reach = F.max(F.when(F.col("ord") < 4, F.col("end"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    ahead = F.min(F.when(F.col("ord") < 4, F.col("start"))).over(w.rowsBetween(1, Window.unboundedFollowing))
+    # rows after this one are rows before it in the reverse order: a running minimum, linear in a text's entities
+    back = Window.partitionBy("key").orderBy(F.desc("start"), "ord")
+    ahead = F.min(F.when(F.col("ord") < 4, F.col("start"))).over(back.rowsBetween(Window.unboundedPreceding, -1))
     same = F.max(F.when(F.col("ord") < 4, F.col("end"))).over(Window.partitionBy("key", "start"))
     return rows.select("*", reach.alias("reach"), ahead.alias("ahead"), same.alias("same")).where(
         (F.col("ord") == 4) & F.col("pattern").isNotNull() & F.col("same").isNull()
