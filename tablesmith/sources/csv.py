@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import bounded, col
+from .multiline import records, scan_ranges
 
 # Text read as missing (the default missing markers of pandas' CSV reader)
 NA_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -71,25 +72,56 @@ def unique_names(names: list[str]) -> list[str]:
     return out
 
 
-def header(spark: SparkSession, path: str, encoding: str = "UTF-8") -> list[str]:
-    first = spark.read.options(header=False, encoding=encoding, escape='"').csv(path).limit(1).collect()
+def header(spark: SparkSession, path: str, encoding: str = "UTF-8", multi_line: bool = False) -> list[str]:
+    first = spark.read.options(header=False, encoding=encoding, escape='"', multiLine=multi_line).csv(path).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
     return [("" if v is None else v) for v in first[0]]
 
 
-def _read(spark: SparkSession, path: str | list[str], encoding: str, width: int, multi_line: bool) -> DataFrame:
-    """Fields as text c0..., one spare field, and the raw row where the number of fields is another."""
-    schema = ", ".join(f"c{i} string" for i in range(width)) + ", _extra string, _corrupt string"
-    return (spark.read.options(header=True, encoding=encoding, mode="PERMISSIVE", multiLine=multi_line, escape='"',
-                               columnNameOfCorruptRecord="_corrupt", enforceSchema=True).schema(schema).csv(path))
+def _schema(width: int) -> str:
+    return ", ".join(f"c{i} string" for i in range(width)) + ", _extra string, _corrupt string"
 
 
-def infer_types(raw: DataFrame, extra: list | None = None) -> tuple[DataFrame, dict]:
+def _read(spark: SparkSession, files: list, encoding: str | None, width: int) -> DataFrame:
+    """Fields as text c0..., one spare field, and the raw row where the number of fields is another.
+    Each file (a row of the audit) is read in its encoding. Files without quoted line ends are a plain CSV
+    scan; in the others the records are found by a scan of the quote state over their byte ranges, so a file of
+    any kind is read by many tasks. Only a file that has both quoted line ends and carriage returns
+    elsewhere than at line ends is read as a whole."""
+    plan: dict[tuple[str, str], list[str]] = {}
+    scans: dict[str, list[dict]] = {}
+    odd: dict[str, list[str]] = {}
+    for f in files:
+        charset = encoding or SPARK_ENCODING[f["encoding"]]
+        if f["multi_line"]:
+            odd.setdefault(charset, []).append(f["path"])
+        else:
+            plan.setdefault((charset, "lines"), []).append(f["path"])
+    for charset, paths in odd.items():
+        scans[charset] = scan_ranges(spark, paths, charset)
+        whole = {r["path"] for r in scans[charset] if r["bare_cr"]}
+        for p in paths:
+            plan.setdefault((charset, "whole" if p in whole else "ranges"), []).append(p)
+    options = dict(mode="PERMISSIVE", escape='"', columnNameOfCorruptRecord="_corrupt")
+    parts = []
+    for (charset, how), paths in sorted(plan.items()):
+        if how == "ranges":
+            own = set(paths)
+            text = records(spark, paths, charset, [r for r in scans[charset] if r["path"] in own])
+            parts.append(text.select(F.from_csv("record", F.lit(_schema(width)), options | {"multiLine": "true"}).alias("r")).select("r.*"))
+        else:
+            parts.append(spark.read.options(header=True, encoding=charset, multiLine=how == "whole", enforceSchema=True,
+                                            **options).schema(_schema(width)).csv(paths))
+    return functools.reduce(DataFrame.union, parts)
+
+
+def infer_types(raw: DataFrame, extra: list | None = None, source: DataFrame | None = None) -> tuple[DataFrame, dict]:
     """Whole-column inference over text columns (missing tokens already null):
     all values integral -> bigint (double when the column has gaps, as pandas
     does), numeric -> double, true/false words -> boolean, else string. One
-    aggregate, which also counts the rows (``rows``) and what ``extra`` asks for."""
+    aggregate, which also counts the rows (``rows``) and what ``extra`` asks for (of ``source``,
+    where that needs a column that ``raw`` lacks)."""
     aggs = [F.count(F.lit(1)).alias("rows"), *(extra or [])]
     for i, c in enumerate(raw.columns):
         v = col(c)
@@ -97,7 +129,7 @@ def infer_types(raw: DataFrame, extra: list | None = None) -> tuple[DataFrame, d
         number = F.when(F.trim(v).rlike(NUMBER), v.try_cast("double"))
         aggs += [F.count(v).alias(f"n{i}"), F.count(whole).alias(f"l{i}"), F.count(number).alias(f"d{i}"),
                  F.count(F.when(v.isin(TRUE_TOKENS + FALSE_TOKENS), 1)).alias(f"b{i}")]
-    r = raw.agg(*aggs).first().asDict()
+    r = (source or raw).agg(*aggs).first().asDict()
     cols = []
     for i, c in enumerate(raw.columns):
         n, total, v = r[f"n{i}"], r["rows"], col(c)
@@ -112,6 +144,18 @@ def infer_types(raw: DataFrame, extra: list | None = None) -> tuple[DataFrame, d
     return raw.select(*cols), r
 
 
+def _common_header(spark: SparkSession, files: list, encoding: str | None) -> list[str]:
+    """The header of the first file; another one in any file is an error. Most files are told by the audit."""
+    def own(f):
+        return header(spark, f["path"], encoding or SPARK_ENCODING[f["encoding"]], f["multi_line"])
+
+    names = own(files[0])
+    for f in files[1:]:
+        if (not f["has_header"] or f["multi_line"]) and own(f) != names:
+            raise ValueError(f"another header in {f['path']}")
+    return names
+
+
 @dataclass
 class LoadResult:
     table: DataFrame
@@ -127,34 +171,22 @@ def load_csv(spark: SparkSession, path: str, encoding: str | None = None, strict
     files = bounded(_text_audit(spark, path), "files", MAX_FILES)
     if not files:
         raise ValueError("the file is empty")
-    enc = encoding or SPARK_ENCODING[files[0]["encoding"]]
-    names = header(spark, files[0]["path"], enc)
-    for f in files:
-        if not f["has_header"] and header(spark, f["path"], encoding or SPARK_ENCODING[f["encoding"]]) != names:
-            raise ValueError(f"another header in {f['path']}")
-    multi = any(f["multi_line"] for f in files)
-    groups = sorted({encoding or SPARK_ENCODING[f["encoding"]] for f in files})
-    parts = []
-    for g in groups:
-        own = path if len(groups) == 1 else [f["path"] for f in files if SPARK_ENCODING[f["encoding"]] == g]
-        parts.append(_read(spark, own, g, len(names), multi))
-    rows = functools.reduce(DataFrame.union, parts)
-    bad = _bad(len(names))
-    out = unique_names(names)
+    names = _common_header(spark, files, encoding)
+    rows = _read(spark, files, encoding, len(names))
     cells = [F.when(F.trim(F.col(f"c{i}")).isin(NA_TOKENS), None).otherwise(F.col(f"c{i}")).alias(f"c{i}")
              for i in range(len(names))]
-    fields = rows.select(*cells, bad.alias("_bad"))
-    good = fields.where("NOT _bad").drop("_bad")
-    if strict:
-        # all fields are read: with fewer the parser counts only those it needs
-        wrong = fields.agg(F.count(F.when(F.col("_bad"), F.concat_ws("", *[f"c{i}" for i in range(len(names))])))
-                           ).first()[0]
-        if wrong:
-            raise ValueError(f"{wrong} rows do not have {len(names)} fields")
-    table, facts = infer_types(good)
+    fields = rows.select(*cells, _bad(len(names)).alias("_bad"))
+    good = fields.drop("_bad") if strict else fields.where("NOT _bad").drop("_bad")
+    # one pass decides the types and counts the rows of another field count; all fields are read for that, as with
+    # fewer the parser counts only those it needs
+    wrong = F.count(F.when(F.col("_bad"), F.concat_ws("", *[f"c{i}" for i in range(len(names))]))).alias("wrong")
+    table, facts = infer_types(good, [wrong] if strict else None, fields if strict else None)
+    if strict and facts["wrong"]:
+        raise ValueError(f"{facts['wrong']} rows do not have {len(names)} fields")
     if facts["rows"] == 0:
         raise ValueError("the file was parsed but has no data rows")
-    used = "/".join(groups)
+    out = unique_names(names)
+    used = "/".join(sorted({encoding or SPARK_ENCODING[f["encoding"]] for f in files}))
     meta = spark.createDataFrame([(facts["rows"], len(names), sum(f["length"] for f in files), len(files), used)],
                                  "rows long, columns long, bytes long, files long, encoding string")
     return LoadResult(table.toDF(*out), meta)
@@ -169,29 +201,37 @@ def _bad(width: int):
     return F.col("_extra").isNotNull() | (F.col("_corrupt").isNotNull() & (fields != width))
 
 
-def ragged_rows(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+def _width(spark: SparkSession, files: list, encoding: str | None) -> int:
+    return len(header(spark, files[0]["path"], encoding or SPARK_ENCODING[files[0]["encoding"]], files[0]["multi_line"]))
+
+
+def ragged_rows(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """The raw text of the rows that do not have the header's number of fields."""
-    width = len(header(spark, path, encoding))
-    rows = _read(spark, path, encoding, width, True)
-    return rows.where(_bad(width)).select(F.coalesce("_corrupt", F.lit("")).alias("row"), "c0")
+    files = bounded(_text_audit(spark, path), "files", MAX_FILES)
+    if not files:
+        raise ValueError("the file is empty")
+    width = _width(spark, files, encoding)
+    rows = _read(spark, files, encoding, width)
+    every = F.char_length(F.concat_ws("", *[f"c{i}" for i in range(width)])) >= 0  # keeps all fields in the parse
+    return rows.where(_bad(width) & every).select(F.coalesce("_corrupt", F.lit("")).alias("row"), "c0")
 
 
-def check_structure(spark: SparkSession, path: str, encoding: str = "UTF-8") -> tuple[bool, str]:
+def check_structure(spark: SparkSession, path: str, encoding: str | None = None) -> tuple[bool, str]:
     """The file parses with its header's column count, has at least one
     column and one data row. Rows with a different field count are reported."""
+    files = bounded(_text_audit(spark, path), "files", MAX_FILES)
+    if not files:
+        return False, "the file is empty"
     try:
-        names = header(spark, path, encoding)
+        width = _width(spark, files, encoding)
+        df = _read(spark, files, encoding, width)
     except ValueError as e:
         return False, str(e)
-    if not names:
-        return False, "no columns found"
-    multi = any(f["multi_line"] for f in bounded(_text_audit(spark, path), "files", MAX_FILES))
-    df = _read(spark, path, encoding, len(names), multi)
     # all fields are read: with fewer the parser counts only those it needs
-    bad = F.when(_bad(len(names)), F.concat_ws("", *[f"c{i}" for i in range(len(names))]))
+    bad = F.when(_bad(width), F.concat_ws("", *[f"c{i}" for i in range(width)]))
     r = df.agg(F.count(F.lit(1)).alias("n"), F.count(bad).alias("bad")).first()
     if r["n"] == 0:
         return False, "the file has no data rows"
     if r["bad"]:
-        return False, f"{r['bad']} of {r['n']} rows do not have {len(names)} fields"
+        return False, f"{r['bad']} of {r['n']} rows do not have {width} fields"
     return True, ""

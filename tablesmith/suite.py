@@ -1229,9 +1229,15 @@ def s03_unique_names(spark, sf):
     return CSV.load_csv(spark, path).table
 
 
-@register("s04_load_metadata", "SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns FROM customer")
+@register("s04_load_metadata", """SELECT CAST(count(*) AS BIGINT) AS rows, CAST(5 AS BIGINT) AS columns,
+CAST(sum(strlen(concat_ws(',', c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) + 1) AS BIGINT) AS data_bytes,
+TRUE AS has_files, 'UTF-8' AS encoding FROM customer""")
 def s04_load_metadata(spark, sf):
-    return CSV.load_csv(spark, _customer_csv(spark, sf)).metadata.select("rows", "columns")
+    """Bytes without the header lines, of which there is one a file."""
+    head = len("c_custkey,c_name,c_nationkey,c_acctbal,c_mktsegment\n")
+    return CSV.load_csv(spark, _customer_csv(spark, sf)).metadata.select(
+        "rows", "columns", (F.col("bytes") - F.col("files") * head).alias("data_bytes"), (F.col("files") > 0).alias("has_files"),
+        "encoding")
 
 
 @register("s02_encoding_audit")
