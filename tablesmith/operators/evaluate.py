@@ -50,8 +50,12 @@ def per_class(df: DataFrame, label: str = "label", prediction: str = "prediction
 def metrics_dict(df: DataFrame, label: str = "label", prediction: str = "prediction") -> dict:
     """E1 in one job: the (true, predicted) count table has at most k x k rows,
     so it is read back and reduced on the driver (unrounded values)."""
-    pairs = [(r["t"], r["p"], r["n"]) for r in bounded(
-        _pairs(df, label, prediction), "pairs of classes", MAX_GRID * MAX_GRID)]
+    return metrics_of_pairs([(r["t"], r["p"], r["n"]) for r in bounded(
+        _pairs(df, label, prediction), "pairs of classes", MAX_GRID * MAX_GRID)])
+
+
+def metrics_of_pairs(pairs: list[tuple]) -> dict:
+    """The same from the (true, predicted, rows) counts."""
     classes = {t for t, _, _ in pairs if t is not None} | {p for _, p, _ in pairs if p is not None}
     n = sum(c for _, _, c in pairs)
     acc = prec_w = rec_w = f1_w = 0.0

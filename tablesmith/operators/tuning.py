@@ -3,9 +3,10 @@
 
 Folds: inside each class, rows are ordered by md5(seed | position key) and
 dealt round-robin (position mod k) - exact, reproducible and computed with the
-bounded running totals, so no class is sorted in one task. Each (params,
-fold) fit is an ordinary distributed fit; ``parallelism`` fits are submitted
-at once from driver threads (as ``CrossValidator(parallelism=...)`` does).
+bounded running totals, so no class is sorted in one task. Naive Bayes searches
+share two passes over the data (``fold_stats``); of the other models each (params, fold)
+fit is an ordinary distributed fit, and ``parallelism`` fits are submitted at once from
+driver threads (as ``CrossValidator(parallelism=...)`` does).
 The training table is materialised once in the shared checkpoint folder.
 """
 
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import bounded
 from ..session import cut_lineage
-from .evaluate import weighted_f1
+from .evaluate import metrics_of_pairs, weighted_f1
+from .fold_stats import naive_bayes_counts
 from .models import catalogue as M
 from .ranking import running_totals
 
@@ -87,6 +89,30 @@ def search(name: str, train: DataFrame, combos: list[dict], folds: int = 5, para
     """H2 core: every combination x fold, then refit the best on all of ``train``."""
     t0 = time.time()
     data = cut_lineage(with_folds(train, folds, seed, key=key))
+    shared = SHARED_SEARCH.get(name)
+    if shared:
+        results = shared(data, combos, folds, with_train_scores)
+    else:
+        results = _fit_every(name, data, combos, folds, parallelism, with_train_scores)
+    return _result(name, train, combos, folds, results, t0)
+
+
+def _naive_bayes_search(data: DataFrame, combos: list[dict], folds: int, with_train: bool) -> list[tuple]:
+    """All combinations from one table of fold statistics and one scoring pass."""
+    pairs: dict[tuple, list] = {}
+    for i, f, test, y, p, n in naive_bayes_counts(data, [float(c["var_smoothing"]) for c in combos], folds):
+        pairs.setdefault((i, f, test), []).append((y, p, n))
+    return [(combos[i], f, metrics_of_pairs(pairs[i, f, True])["f1"],
+             metrics_of_pairs(pairs[i, f, False])["f1"] if with_train else None)
+            for i in range(len(combos)) for f in range(folds) if (i, f, True) in pairs and (i, f, False) in pairs]
+
+
+#: searches in which the fits of all combinations share their passes over the data
+SHARED_SEARCH = {"Naive Bayes": _naive_bayes_search}
+
+
+def _fit_every(name: str, data: DataFrame, combos: list[dict], folds: int, parallelism: int, with_train: bool) -> list[tuple]:
+    """(params, fold, test F1, train F1) of one fit for every (combination, fold)."""
     jobs = [(p, f) for p in combos for f in range(folds)]
     # class counts of every fold's training side from one aggregate, for all combinations
     cells = [(r["fold"], r["label"], r["n"]) for r in bounded(
@@ -97,8 +123,11 @@ def search(name: str, train: DataFrame, combos: list[dict], folds: int = 5, para
             if f != at:
                 counts[f][label] = counts[f].get(label, 0) + n
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-        results = list(pool.map(lambda j: _fit_score(name, j[0], data, j[1], with_train_scores,
-                                                          counts[j[1]]), jobs))
+        return list(pool.map(lambda j: _fit_score(name, j[0], data, j[1], with_train, counts[j[1]]), jobs))
+
+
+def _result(name: str, train: DataFrame, combos: list[dict], folds: int, results: list[tuple], t0: float) -> TuningResult:
+    """The score table, and the best combination fitted on all of ``train``."""
     spark = train.sparkSession
     rows = [(name, json.dumps(p, sort_keys=True), f, float(s), None if t is None else float(t))
             for p, f, s, t in results]

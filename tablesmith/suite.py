@@ -1172,6 +1172,48 @@ def h02_grid_search(spark, sf):
     return H.tuning_table(res.scores)
 
 
+def _cv_table_sql(counts: str) -> str:
+    """The H5 table from the relation ``counts`` (model, params, fold, test, y, p, n): weighted F1 of every (params, fold,
+    side), then mean and spread over the folds."""
+    return f"""
+k AS (SELECT params, fold, test, y, sum(n) AS sup, sum(CASE WHEN y = p THEN n ELSE 0 END) AS tp FROM {counts} GROUP BY ALL),
+pk AS (SELECT params, fold, test, p AS y, sum(n) AS pred FROM {counts} GROUP BY ALL),
+f AS (SELECT params, fold, test, sum(sup * CASE WHEN tp = 0 THEN 0 ELSE 2.0 * (tp / pred) * (tp / sup) / (tp / pred + tp / sup) END) / sum(sup) AS f1
+      FROM (SELECT k.*, coalesce(pred, 0) * 1.0 AS pred FROM k LEFT JOIN pk USING (params, fold, test, y)) GROUP BY ALL)
+SELECT (SELECT any_value(model) FROM {counts}) AS model, params, round(avg(f1) FILTER (WHERE test), 4) AS mean_score,
+  round(stddev_pop(f1) FILTER (WHERE test), 4) AS std_score, round(avg(f1) FILTER (WHERE NOT test), 4) AS train_score
+FROM f GROUP BY params ORDER BY mean_score DESC, params LIMIT 5"""
+
+
+def _folds_sql(rows: str, key: list[str], label: str) -> str:
+    """Columns of ``rows`` and the stratified fold number of H2."""
+    h = "md5(concat_ws('|', '42', {0}))".format(", ".join(f"CAST({k} AS VARCHAR)" for k in key))
+    return f"SELECT *, (row_number() OVER (PARTITION BY {label} ORDER BY {h}, {', '.join(key)}) - 1) % 5 AS fold FROM {rows}"
+
+
+_NB_GRID = M.CATALOGUE["Naive Bayes"].grid["var_smoothing"]
+_H2_NB_SQL = _NB_SPLIT + f""",
+yl AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM sp),
+tr AS ({_folds_sql("yl WHERE split = 'train'", LI_KEY, "y")}),
+fo AS (SELECT unnest(range(5)) AS mf),
+st AS (SELECT mf, y AS c, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _f)}
+       FROM tr, fo WHERE fold <> mf GROUP BY mf, y),
+gl AS (SELECT mf, count(*) AS n_all, greatest({', '.join(f'var_pop({c})' for c in _f)}) AS top FROM tr, fo WHERE fold <> mf GROUP BY mf),
+sm(vs, params) AS (VALUES {', '.join(f"({v!r}::DOUBLE, '" + chr(123) + f'"var_smoothing": {v!r}' + chr(125) + "')" for v in _NB_GRID)}),
+mo AS (SELECT mf, c, params, ln(n * 1.0 / n_all) AS pr, {', '.join(f'm_{c}, v_{c} + vs * top AS s_{c}' for c in _f)} FROM st JOIN gl USING (mf), sm),
+sc AS (SELECT params, mf, fold, y, c, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+         pr - 0.5 * ({' + '.join(f'ln(2 * pi() * s_{c}) + ({c} - m_{c}) * ({c} - m_{c}) / s_{c}' for c in _f)}) AS jll FROM tr, mo),
+be AS (SELECT params, mf, fold, y, arg_max(c, (jll, -c)) AS p FROM sc GROUP BY params, mf, fold, y, l_orderkey, l_linenumber, l_partkey, l_suppkey),
+cn AS (SELECT 'Naive Bayes' AS model, params, mf AS fold, fold = mf AS test, y, p, count(*) AS n FROM be GROUP BY ALL),""" + _cv_table_sql("cn")
+
+
+@register("h02_fold_statistics", _H2_NB_SQL)
+def h02_fold_statistics(spark, sf):
+    """The naive Bayes grid on unscaled features, from one table of fold statistics."""
+    prep = lineitem_prepared(spark, sf)
+    return H.tuning_table(H.grid_search("Naive Bayes", prep.train, key=LI_KEY).scores)
+
+
 @register("h02_grid_search_rules")
 def h02_grid_search_rules(spark, sf):
     """The 12-combination grid of the rule model."""
