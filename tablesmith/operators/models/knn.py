@@ -1,13 +1,14 @@
 """M2: exact k-nearest-neighbour classifier as a Spark ML Estimator.
 
-The "model" is the training table itself (kept as a DataFrame, saved as
-Parquet). Scoring is a blocked nested loop: test rows are hashed into test
-blocks and training rows into train blocks; each (test block, train block)
-pair is one ``cogroup`` task that computes distances with numpy and emits
-only its local k best per test row. ``row_number() <= k`` over those
-candidates (a group limit pushed below the shuffle) keeps the global k best,
-and the vote is a small ``groupBy``. Work per task is bounded by the block
-sizes; no pair list is materialised and nothing is broadcast.
+The "model" is the training table itself (kept as a DataFrame, saved as Parquet). Its rows
+are grouped by their nearest pivot and sorted by the distance to it, in blocks of at most
+``blockRows``. A query is compared with a block only if the triangle inequality
+allows a row of it to be among the k nearest: a first round into the nearest blocks
+gives an upper bound of the k-th distance, the second round skips every block whose lower
+bound is larger (``PivotSearch``). Each (query block, block) pair that is left is one
+``cogroup`` task that computes distances with numpy and emits its local k best;
+``row_number() <= k`` keeps the global k best. Work per task is bounded by the block
+sizes; no pair list is materialised, nothing is broadcast, and the result is exact.
 
 Ties: among equal distances the smaller training id wins; among classes
 with equal votes the smaller class wins. With distance weights, a test row
@@ -17,6 +18,7 @@ at distance 0 from some neighbours counts only those neighbours.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -28,9 +30,208 @@ from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCo
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ...functions.columns import bounded
+from ...session import cut_lineage
+from ..ranking import running_totals
+
 DEFAULT_BLOCK_ROWS = 10_000
 
 
+STEP_CELLS = 2_000_000      # differences held at once: 16 MB
+MAX_PIVOTS = 1024
+MAX_BLOCKS = 1_000_000
+CHUNKS = 1 << 20            # block and query-block ids are pivot * CHUNKS + number
+SLACK = 1e-9                # bounds are loosened by more than the rounding of a distance
+
+
+def distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of a to the rows of b."""
+    if metric == "manhattan":
+        return np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
+    return np.sqrt(np.maximum(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2), 0.0))
+
+
+def _steps(a: np.ndarray, b: np.ndarray):
+    """Slices of the rows of a whose differences to all rows of b fit in STEP_CELLS."""
+    size = max(1, STEP_CELLS // max(1, b.size))
+    return (slice(s, s + size) for s in range(0, len(a), size))
+
+
+def _matrix(column: pd.Series) -> np.ndarray:
+    return np.stack(column.to_numpy()).astype(np.float64)
+
+
+@dataclass
+class Blocks:
+    """Pivots, and of every block its number, the smallest and the largest distance to its pivot and its rows."""
+    metric: str
+    pivots: np.ndarray
+    block: np.ndarray
+    lo: np.ndarray
+    hi: np.ndarray
+    n: np.ndarray
+
+    def bounds(self, to_pivots: np.ndarray) -> np.ndarray:
+        """Smallest distance a row of each block can have (rows: queries, columns: blocks), by the triangle inequality:
+        on the block's distances to its pivot, and on its rows' being nearer to that pivot than to the query's own."""
+        d = to_pivots[:, self.block // CHUNKS]
+        half = (d - to_pivots.min(axis=1)[:, None]) / 2
+        bound = np.maximum(np.maximum(d - self.hi, self.lo - d), np.maximum(half, 0.0))
+        return bound - SLACK * (1.0 + d)
+
+    def first_blocks(self, bounds: np.ndarray, k: int) -> np.ndarray:
+        """Mask of the blocks of the smallest bounds that together hold k rows."""
+        order = np.argsort(bounds, axis=1, kind="stable")
+        before = np.cumsum(self.n[order], axis=1) - self.n[order]
+        mask = np.zeros(bounds.shape, dtype=bool)
+        np.put_along_axis(mask, order, before < k, axis=1)
+        return mask
+
+
+class PivotIndex:
+    """Training rows by their nearest pivot, each pivot's rows cut into blocks of consecutive distance to it.
+
+    The pivots (at most MAX_PIVOTS rows of the smallest id hashes) and one row per block
+    (pivot, smallest and largest distance, rows) are on the driver; the rows are
+    checkpointed with their block. A pivot's rows are counted off by running totals, so a
+    pivot that holds most rows is ordered in ranges."""
+
+    def __init__(self, train: DataFrame, metric: str, block_rows: int):
+        self.metric, self.block_rows = metric, block_rows
+        wanted = min(MAX_PIVOTS, max(1, math.ceil(train.count() / max(1, block_rows // 2))))
+        sample = train.select("x").orderBy(F.xxhash64("tid"), "tid").limit(4 * wanted).collect()
+        points = np.unique(np.array([r["x"] for r in sample], dtype=float), axis=0) if sample else np.zeros((0, 0))
+        # spread over the sample's order, not its first values only
+        pivots = points[np.unique(np.linspace(0, max(0, len(points) - 1), wanted).astype(int))] if len(points) else points
+
+        def nearest(batches):
+            for batch in batches:
+                if len(batch):
+                    x = _matrix(batch["x"])
+                    at, dist = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+                    for part in _steps(x, pivots):
+                        d = distances(x[part], pivots, metric)
+                        at[part] = d.argmin(axis=1)
+                        dist[part] = d.min(axis=1)
+                    yield batch.assign(pivot=at, pd=dist, one=1)
+
+        placed = train.select("x", "y", "tid").mapInPandas(
+            nearest, "x array<double>, y double, tid long, pivot long, pd double, one long")
+        counted = running_totals(placed, ["pivot"], ["pd", "tid"], ["one"])
+        self.rows = cut_lineage(counted.select("x", "y", "tid", "pd", (
+            F.col("pivot") * CHUNKS + F.floor((F.col("one_cum") - 1) / block_rows)).cast("long").alias("block")))
+        blocks = bounded(self.rows.groupBy("block").agg(F.min("pd").alias("lo"), F.max("pd").alias("hi"), F.count("*").alias("n")),
+                         "blocks of training rows", MAX_BLOCKS)
+        blocks.sort()
+        self.blocks = Blocks(metric, pivots, *(np.array([r[c] for r in blocks], dtype=kind) for c, kind in (
+            ("block", np.int64), ("lo", float), ("hi", float), ("n", np.int64))))
+
+
+class PivotSearch:
+    """Exact k nearest rows in two rounds. Round one looks into the blocks with the smallest bounds until k rows
+    are seen; the k-th distance found is an upper bound. Round two looks only into the blocks whose lower bound does
+    not exceed it. Queries are dealt by their nearest pivot, so neighbours in space ask for the same blocks, and a block
+    is sent only to the query blocks that need it."""
+
+    def __init__(self, index: PivotIndex, queries: DataFrame, k: int):
+        self.index, self.k = index, k
+        self.qtype = queries.schema["qid"].dataType.simpleString()
+        pivots, metric = index.blocks.pivots, index.metric
+
+        def home(batches):
+            for batch in batches:
+                if len(batch):
+                    x = _matrix(batch["x"])
+                    at = np.zeros(len(x), dtype=np.int64)
+                    for part in _steps(x, pivots):
+                        at[part] = distances(x[part], pivots, metric).argmin(axis=1)
+                    yield batch.assign(home=at)
+
+        if not len(pivots):
+            self.queries = queries.withColumn("qb", F.lit(0).cast("long")).where("false")
+            return
+        placed = queries.select("qid", "x").mapInPandas(home, f"qid {self.qtype}, x array<double>, home long")
+        sizes = {r["home"]: r["count"] for r in placed.groupBy("home").count().collect()}  # one row per pivot at most
+        chunks = F.array(*[F.lit(max(1, math.ceil(sizes.get(p, 0) / index.block_rows))) for p in range(len(pivots))])
+        chunk = F.pmod(F.xxhash64("qid"), F.get(chunks, F.col("home").cast("int")))
+        self.queries = placed.select("qid", "x", (F.col("home") * CHUNKS + chunk).alias("qb"))
+
+    def _routed(self, queries: DataFrame, second: bool) -> DataFrame:
+        """(qid, x, limit, qb, block): the blocks each query looks into in a round."""
+        blocks, k = self.index.blocks, self.k
+
+        def route(batches):
+            for batch in batches:
+                if batch.empty:
+                    continue
+                x = _matrix(batch["x"])
+                widest = max(len(blocks.pivots) * x.shape[1], len(blocks.block))
+                for part in _steps(x, np.empty(widest)):
+                    bound = blocks.bounds(distances(x[part], blocks.pivots, blocks.metric))
+                    first = blocks.first_blocks(bound, k)
+                    need = ~first & (bound <= batch["limit"].to_numpy(dtype=float)[part][:, None]) if second else first
+                    row, column = np.nonzero(need)
+                    yield batch.iloc[part].iloc[row].assign(block=blocks.block[column])
+
+        return queries.select("qid", "x", "limit", "qb").mapInPandas(
+            route, f"qid {self.qtype}, x array<double>, limit double, qb long, block long")
+
+    def round_one(self) -> DataFrame:
+        return self._routed(self.queries.withColumn("limit", F.lit(float("inf"))), second=False)
+
+    def round_two(self, found: DataFrame) -> DataFrame:
+        limit = found.groupBy("qid").agg(F.when(F.count("*") < self.k, float("inf")).otherwise(F.max("dist")).alias("limit"))
+        return self._routed(self.queries.join(limit, "qid"), second=True)
+
+    def _looked_up(self, routed: DataFrame) -> DataFrame:
+        """The k best rows of each (query, block) asked for, not beyond the query's limit."""
+        k, metric = self.k, self.index.metric
+
+        def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+            cols = {"qid": [], "tid": [], "dist": [], "y": []}
+            if q.empty or r.empty:
+                return pd.DataFrame(cols)
+            points, rows = _matrix(q["x"]), _matrix(r["x"])
+            tids, ys, qids, limit = r["tid"].to_numpy(), r["y"].to_numpy(), q["qid"].to_numpy(), q["limit"].to_numpy(dtype=float)
+            kk = min(k, len(rows))
+            for part in _steps(points, rows):
+                d = distances(points[part], rows, metric)
+                near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+                kth = np.take_along_axis(d, near, axis=1).max(axis=1)
+                for i in np.flatnonzero((d <= kth[:, None]).sum(axis=1) > kk):  # equal distances: the smaller training id
+                    cand = np.flatnonzero(d[i] <= kth[i])
+                    near[i] = cand[np.lexsort((tids[cand], d[i][cand]))[:kk]]
+                dist = np.take_along_axis(d, near, axis=1)
+                row, column = np.nonzero(dist <= limit[part][:, None])
+                cols["qid"].append(qids[part][row])
+                cols["tid"].append(tids[near[row, column]])
+                cols["dist"].append(dist[row, column])
+                cols["y"].append(ys[near[row, column]])
+            return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+
+        pairs = routed.select(F.col("qb").alias("to_qb"), F.col("block").alias("to_block")).distinct()
+        sent = self.index.rows.join(pairs, F.col("block") == F.col("to_block")).select("x", "y", "tid", "to_qb", "to_block")
+        return (routed.groupBy("qb", "block").cogroup(sent.groupBy("to_qb", "to_block"))
+                .applyInPandas(local_topk, f"qid {self.qtype}, tid long, dist double, y double"))
+
+    def _best(self, found: DataFrame) -> DataFrame:
+        w = Window.partitionBy("qid").orderBy("dist", "tid")
+        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+
+    def first_found(self) -> DataFrame:
+        return self._best(self._looked_up(self.round_one()))
+
+    def neighbours(self) -> DataFrame:
+        """(qid, tid, dist, y, rank)."""
+        if not len(self.index.blocks.pivots):
+            return self.queries.sparkSession.createDataFrame([], f"qid {self.qtype}, tid long, dist double, y double, rank int")
+        if len(self.index.blocks.block) == 1:
+            return self.first_found()  # there is no other block to look into
+        found = cut_lineage(self.first_found())
+        more = self._looked_up(self.round_two(found))
+        return self._best(found.drop("rank").unionByName(more))
+
+
 class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCol):
     k = Param(Params._dummy(), "k", "number of neighbours", typeConverter=TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "uniform|distance", typeConverter=TypeConverters.toString)
@@ -61,7 +262,6 @@ class KNN(Estimator, _KNNParams):
                else F.monotonically_increasing_id())
         train = df.select(vector_to_array(F.col(self.getFeaturesCol())).alias("x"),
                           F.col(self.getLabelCol()).cast("double").alias("y"), tid.alias("tid"))
-        from ...session import cut_lineage
         train = cut_lineage(train)  # the model's training table; generated ids stay fixed on recomputation
         classes = [r[0] for r in train.select("y").distinct().orderBy("y").collect()]  # one row per class
         m = KNNModel(train, classes)
@@ -74,62 +274,24 @@ class KNNModel(Model, _KNNParams):
         self._defaults()
         self.train = train
         self.classes = classes or []
+        self._index: PivotIndex | None = None
 
     def neighbours(self, df: DataFrame, id_col: str) -> DataFrame:
-        """(id, rank, tid, dist, y) of the k nearest training rows per test row."""
-        k = self.getOrDefault(self.k)
-        metric = self.getOrDefault(self.metric)
-        block = self.getOrDefault(self.blockRows)
-        test = df.select(F.col(id_col).alias("qid"), vector_to_array(F.col(self.getFeaturesCol())).alias("x"))
-        n_test, n_train = test.count(), self.train.count()
-        bt, br = max(1, math.ceil(n_test / block)), max(1, math.ceil(n_train / block))
-        t_side = (test.withColumn("tb", F.pmod(F.xxhash64("qid"), F.lit(bt)))
-                  .withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1)))))
-        r_side = (self.train.withColumn("rb", F.pmod(F.xxhash64("tid"), F.lit(br)))
-                  .withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(bt - 1)))))
-        qtype = df.schema[id_col].dataType.simpleString()
-
-        def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            cols = {"qid": [], "tid": [], "dist": [], "y": []}
-            if q.empty or r.empty:
-                return pd.DataFrame(cols)
-            Q = np.stack(q["x"].to_numpy()).astype(np.float64)
-            R = np.stack(r["x"].to_numpy()).astype(np.float64)
-            tids, ys, qids = r["tid"].to_numpy(), r["y"].to_numpy(), q["qid"].to_numpy()
-            kk = min(k, len(R))
-            step = max(1, 2_000_000 // max(1, len(R) * R.shape[1]))  # differences of a step: 16 MB
-            for s in range(0, len(Q), step):
-                qq = Q[s:s + step]
-                if metric == "manhattan":
-                    d = np.abs(qq[:, None, :] - R[None, :, :]).sum(axis=2)
-                else:
-                    d = np.sqrt(np.maximum(((qq[:, None, :] - R[None, :, :]) ** 2).sum(axis=2), 0.0))
-                part = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                kth = np.take_along_axis(d, part, axis=1).max(axis=1)
-                ties = (d <= kth[:, None]).sum(axis=1) > kk  # rows whose k-th distance is shared
-                for i in np.nonzero(ties)[0]:  # exact tie-break on training id among equal distances
-                    cand = np.nonzero(d[i] <= kth[i])[0]
-                    part[i] = cand[np.lexsort((tids[cand], d[i][cand]))[:kk]]
-                dsel = np.take_along_axis(d, part, axis=1)
-                order = np.lexsort((tids[part], dsel), axis=-1)
-                sel = np.take_along_axis(part, order, axis=1)
-                cols["qid"].append(np.repeat(qids[s:s + step], kk))
-                cols["tid"].append(tids[sel].ravel())
-                cols["dist"].append(np.take_along_axis(d, sel, axis=1).ravel())
-                cols["y"].append(ys[sel].ravel())
-            return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+        """(qid, rank, tid, dist, y) of the k nearest training rows per test row."""
+        return self.search(df, id_col).neighbours()
 
-        cand = (t_side.groupBy("tb", "rb").cogroup(r_side.groupBy("tb", "rb"))
-                .applyInPandas(local_topk, f"qid {qtype}, tid long, dist double, y double"))
-        w = Window.partitionBy("qid").orderBy("dist", "tid")
-        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    def search(self, df: DataFrame, id_col: str) -> "PivotSearch":
+        metric = self.getOrDefault(self.metric)
+        if self._index is None or self._index.metric != metric:
+            self._index = PivotIndex(self.train, metric, self.getOrDefault(self.blockRows))
+        queries = df.select(F.col(id_col).alias("qid"), vector_to_array(F.col(self.getFeaturesCol())).alias("x"))
+        return PivotSearch(self._index, queries, self.getOrDefault(self.k))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.isSet(self.queryIdCol) and self.getOrDefault(self.queryIdCol) in df.columns:
             id_col, base = self.getOrDefault(self.queryIdCol), df   # the caller's unique row id
         else:
             id_col = "_knn_row"
-            from ...session import cut_lineage
             # generated ids must survive recomputation: freeze them once
             base = cut_lineage(df.withColumn(id_col, F.monotonically_increasing_id()))
         nb = self.neighbours(base, id_col)

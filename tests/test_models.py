@@ -77,3 +77,45 @@ def test_catalogue_and_training(spark, data):
     imp = M.feature_importance(ok["Rule-Based"], ["a", "b", "c"])
     assert imp.count() == 3
     assert M.decision_rules(ok["Rule-Based"], ["a", "b", "c"], 2).count() > 0
+
+
+def clustered(spark, n=3000, centres=12, dim=4, seed=3):
+    rng = np.random.default_rng(seed)
+    middle = rng.normal(size=(centres, dim)) * 50
+    x = middle[rng.integers(0, centres, n)] + rng.normal(size=(n, dim))
+    x[100:400] = x[7]   # repeated rows: equal distances, cut by the smaller id
+    y = rng.integers(0, 3, n).astype(float)
+    rows = [(i, v, c) for i, (v, c) in enumerate(zip(x.tolist(), y.tolist()))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, label double")
+    return x, df.select("id", array_to_vector("x").alias("features"), "label").cache()
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "manhattan"])
+def test_knn_skips_blocks_and_stays_exact(spark, metric):
+    """Most (query block, block) pairs are never compared, and the neighbours are those of brute force."""
+    x, df = clustered(spark)
+    train, test = df.where("id % 5 != 0"), df.where("id % 5 = 0")
+    model = KNN(k=7, metric=metric, blockRows=100, idCol="id").fit(train)
+    search = model.search(test, "id")
+    got = {}
+    for r in search.neighbours().orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append((r["tid"], r["rank"]))
+    ids = np.array([i for i in range(len(x)) if i % 5])
+    for q in range(0, len(x), 5):
+        d = np.abs(x[ids] - x[q]).sum(axis=1) if metric == "manhattan" else np.sqrt(((x[ids] - x[q]) ** 2).sum(axis=1))
+        assert [t for t, _ in got[q]] == ids[np.lexsort((ids, d))[:7]].tolist()
+        assert [rank for _, rank in got[q]] == list(range(1, 8))
+    first = search.round_one()
+    found = search.first_found()
+    pairs = first.unionByName(search.round_two(found)).select("qb", "block").distinct().count()
+    every = search.queries.select("qb").distinct().count() * len(search.index.blocks.block)
+    assert len(search.index.blocks.block) >= 24 and pairs < 0.3 * every, (pairs, every)
+
+
+def test_knn_with_few_rows(spark):
+    x, df = clustered(spark, n=420)
+    model = KNN(k=50, blockRows=10, idCol="id").fit(df.where("id < 20"))
+    got = model.neighbours(df.where("id >= 400"), "id").groupBy("qid").count().collect()
+    assert len(got) == 20 and {r["count"] for r in got} == {20}  # all rows there are
+    assert model.neighbours(df.where("false"), "id").collect() == []
+    assert KNN(k=5, idCol="id").fit(df.where("false")).neighbours(df, "id").collect() == []
