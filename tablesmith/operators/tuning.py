@@ -4,7 +4,8 @@
 Folds: inside each class, rows are ordered by md5(seed | position key) and
 dealt round-robin (position mod k) - exact, reproducible and computed with the
 bounded running totals, so no class is sorted in one task. Naive Bayes searches
-share two passes over the data (``fold_stats``); of the other models each (params, fold)
+share two passes over the data (``fold_stats``), k-NN searches one neighbour table per
+metric and fold (``fold_neighbours``); of the other models each (params, fold)
 fit is an ordinary distributed fit, and ``parallelism`` fits are submitted at once from
 driver threads (as ``CrossValidator(parallelism=...)`` does).
 The training table is materialised once in the shared checkpoint folder.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import bounded
 from ..session import cut_lineage
 from .evaluate import metrics_of_pairs, weighted_f1
+from .fold_neighbours import knn_counts
 from .fold_stats import naive_bayes_counts
 from .models import catalogue as M
 from .ranking import running_totals
@@ -91,24 +93,38 @@ def search(name: str, train: DataFrame, combos: list[dict], folds: int = 5, para
     data = cut_lineage(with_folds(train, folds, seed, key=key))
     shared = SHARED_SEARCH.get(name)
     if shared:
-        results = shared(data, combos, folds, with_train_scores)
+        results = shared(data, combos, folds, with_train_scores, key)
     else:
         results = _fit_every(name, data, combos, folds, parallelism, with_train_scores)
     return _result(name, train, combos, folds, results, t0)
 
 
-def _naive_bayes_search(data: DataFrame, combos: list[dict], folds: int, with_train: bool) -> list[tuple]:
-    """All combinations from one table of fold statistics and one scoring pass."""
+def _scores(counts: list[tuple], combos: list[dict], folds: int, with_train: bool) -> list[tuple]:
+    """(params, fold, test F1, train F1) from (combination, fold, test, class, predicted, rows) counts."""
     pairs: dict[tuple, list] = {}
-    for i, f, test, y, p, n in naive_bayes_counts(data, [float(c["var_smoothing"]) for c in combos], folds):
+    for i, f, test, y, p, n in counts:
         pairs.setdefault((i, f, test), []).append((y, p, n))
     return [(combos[i], f, metrics_of_pairs(pairs[i, f, True])["f1"],
-             metrics_of_pairs(pairs[i, f, False])["f1"] if with_train else None)
-            for i in range(len(combos)) for f in range(folds) if (i, f, True) in pairs and (i, f, False) in pairs]
+             metrics_of_pairs(pairs.get((i, f, False), []))["f1"] if with_train else None)
+            for i in range(len(combos)) for f in range(folds) if (i, f, True) in pairs]
+
+
+def _naive_bayes_search(data: DataFrame, combos: list[dict], folds: int, with_train: bool, key: list[str] | None) -> list[tuple]:
+    """All combinations from one table of fold statistics and one scoring pass."""
+    counts = naive_bayes_counts(data, [float(c["var_smoothing"]) for c in combos], folds)
+    return _scores(counts, combos, folds, with_train)
+
+
+def _knn_search(data: DataFrame, combos: list[dict], folds: int, with_train: bool, key: list[str] | None) -> list[tuple]:
+    """All combinations from one neighbour table per metric and fold. A key of one whole-number column is the id
+    that settles equal distances."""
+    whole = key and len(key) == 1 and dict(data.dtypes)[key[0]] in ("tinyint", "smallint", "int", "bigint")
+    full = [M.CATALOGUE["K-Nearest Neighbors"].defaults | c for c in combos]
+    return _scores(knn_counts(data, full, folds, with_train, key[0] if whole else None), combos, folds, with_train)
 
 
-#: searches in which the fits of all combinations share their passes over the data
-SHARED_SEARCH = {"Naive Bayes": _naive_bayes_search}
+#: searches in which all combinations share their passes over the data
+SHARED_SEARCH = {"Naive Bayes": _naive_bayes_search, "K-Nearest Neighbors": _knn_search}
 
 
 def _fit_every(name: str, data: DataFrame, combos: list[dict], folds: int, parallelism: int, with_train: bool) -> list[tuple]:

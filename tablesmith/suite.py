@@ -6,6 +6,8 @@ Every query reads whole test tables (or data Spark derives from them).
 
 from __future__ import annotations
 
+import json
+
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -1214,6 +1216,31 @@ def h02_fold_statistics(spark, sf):
     return H.tuning_table(H.grid_search("Naive Bayes", prep.train, key=LI_KEY).scores)
 
 
+_KNN_GRID = H.combinations(M.CATALOGUE["K-Nearest Neighbors"].grid)
+_H2_KNN_SQL = _EMB_SPLIT + f""",
+tr AS ({_folds_sql("(SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CAST(label AS DOUBLE) AS y FROM sp WHERE split = 'train')", ["vec_id"], "y")}),
+fo AS (SELECT unnest(range(5)) AS mf),
+di AS (SELECT q.vec_id AS q, q.y, q.fold, t.vec_id AS t, t.y AS ty, t.fold AS tf,
+         sqrt(list_sum(list_transform(list_zip(q.e, t.e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS euclidean,
+         list_sum(list_transform(list_zip(q.e, t.e), lambda z: abs(z[1] - z[2]))) AS manhattan FROM tr q, tr t),
+un AS (UNPIVOT di ON euclidean, manhattan INTO NAME metric VALUE dist),
+nb AS (SELECT metric, mf, q, y, fold, ty, dist, row_number() OVER (PARTITION BY metric, mf, q ORDER BY dist, t) AS rk
+       FROM un, fo WHERE tf <> mf QUALIFY rk <= 11),
+co(params, k, weights, metric) AS (VALUES {', '.join("('" + json.dumps(c, sort_keys=True) + f"', {c['n_neighbors']}, '{c['weights']}', '{c['metric']}')" for c in _KNN_GRID)}),
+vo AS (SELECT params, mf, q, y, fold, ty, sum(CASE WHEN weights = 'uniform' THEN 1.0 WHEN least_d = 0 THEN CASE WHEN dist = 0 THEN 1.0 ELSE 0.0 END
+         ELSE 1 / dist END) AS w
+       FROM (SELECT *, min(dist) OVER (PARTITION BY metric, mf, q) AS least_d FROM nb) JOIN co USING (metric) WHERE rk <= k GROUP BY ALL),
+be AS (SELECT params, mf, q, y, fold, arg_max(ty, (w, -ty)) AS p FROM vo GROUP BY ALL),
+cn AS (SELECT 'K-Nearest Neighbors' AS model, params, mf AS fold, fold = mf AS test, y, p, count(*) AS n FROM be GROUP BY ALL),""" + _cv_table_sql("cn")
+
+
+@register("h02_knn_grid", _H2_KNN_SQL)
+def h02_knn_grid(spark, sf):
+    """The 20-combination grid of k-NN, from one neighbour table per metric and fold."""
+    train = embeddings_split(spark, sf).where(F.col("split") == "train")
+    return H.tuning_table(H.grid_search("K-Nearest Neighbors", train, key=["vec_id"]).scores)
+
+
 @register("h02_grid_search_rules")
 def h02_grid_search_rules(spark, sf):
     """The 12-combination grid of the rule model."""

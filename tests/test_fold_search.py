@@ -61,3 +61,29 @@ def test_a_class_that_one_fold_holds_alone(spark):
     train = spark.createDataFrame(rows, ["id", "label", "features"])
     scores = H.grid_search("Naive Bayes", train, key=["id"]).scores
     assert scores.count() == 25 and scores.where("test_f1 IS NULL OR isnan(test_f1)").count() == 0
+
+
+def test_votes():
+    from tablesmith.operators.fold_neighbours import votes
+    classes = np.array([0.0, 1.0, 2.0])
+    found = np.array([[2, 1, 1, 0], [1, 0, -1, -1], [2, 0, 0, 0]])
+    dist = np.array([[1.0, 2.0, 4.0, 9.0], [3.0, 3.0, np.inf, np.inf], [0.0, 1.0, 1.0, 1.0]])
+    assert votes(classes, found, dist, 1, "uniform").tolist() == [2, 1, 2]
+    assert votes(classes, found, dist, 4, "uniform").tolist() == [1, 0, 0]   # a tie goes to the smaller class
+    assert votes(classes, found, dist, 4, "distance").tolist() == [2, 0, 2]  # 1 > 3/4; distance 0 counts alone
+
+
+def test_knn_search_equals_single_fits(spark):
+    from tablesmith.operators.models.knn import KNN
+    train = labelled(spark, 150)
+    grid = {"n_neighbors": [1, 4], "weights": ["uniform", "distance"], "metric": ["manhattan"]}
+    got = {(r["params"], r["fold"]): (r["test_f1"], r["train_f1"])
+           for r in H.grid_search("K-Nearest Neighbors", train, grid, key=["id"]).scores.collect()}
+    assert len(got) == 20
+    data = H.with_folds(train, 5, key=["id"]).cache()
+    for k, weights in ((1, "uniform"), (4, "distance")):
+        model = KNN(k=k, weights=weights, metric="manhattan", idCol="id", queryIdCol="id").fit(data.where("fold <> 2"))
+        want = tuple(weighted_f1(model.transform(data.where(c))) for c in ("fold = 2", "fold <> 2"))
+        assert np.allclose(got[f'{{"metric": "manhattan", "n_neighbors": {k}, "weights": "{weights}"}}', 2], want)
+    part = H.search("K-Nearest Neighbors", train, [{"n_neighbors": 4}], folds=2, with_train_scores=False)
+    assert part.scores.where("train_f1 IS NULL AND test_f1 > 0.2").count() == 2
