@@ -1,13 +1,18 @@
 """Long value-count table: one shuffle that serves distinct counts, top-k
 categories, modes and sample values for every column at once.
 
-Rows are ``(feature, ki, kd, ks, cnt)``: the value of ``feature`` sits in
+Rows are ``(feature, ki, kd, ks, kh, cnt)``: the value of ``feature`` sits in
 exactly one typed key column (``ki`` long for integral / boolean / date / zoned
 timestamp, ``kd`` double for floating, ``ks`` string for text, zone-less timestamps in
-ISO form and decimals as exact sortable digits),
-so values keep their native order and distinctness. Missing values are
-dropped. ``cnt`` is pre-aggregated map-side, so a value holding a third of all
-rows is one partial count per task, not a hot shuffle key.
+ISO form and decimals as exact sortable digits), so values keep their native order and
+distinctness. Of a text longer than ``WHOLE_TEXT`` characters ``ks`` holds the first
+``WHOLE_TEXT`` and ``kh`` a 128-bit digest of all of it: a shuffled row has a bounded size
+however long the texts are. Missing values are dropped. ``cnt`` is pre-aggregated
+map-side, so a value holding a third of all rows is one partial count per task, not
+a hot shuffle key.
+
+``top_k`` ranks in two steps: by count and first characters, which leaves the k
+best and what ties with them, then by the whole text, read again for these alone.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from pyspark.sql import types as T
 from ..functions.columns import as_double, col
 
 KEYS = ["ki", "kd", "ks"]
+WHOLE_TEXT = 64
 
 
 def _keys(df: DataFrame, name: str) -> tuple[Column, Column, Column] | None:
@@ -74,20 +80,32 @@ def profiled_columns(df: DataFrame, columns: list[str] | None = None) -> list[st
     return [c for c in cols if _keys(df, c) is not None]
 
 
-def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``(feature, ki, kd, ks, cnt)`` for every non-missing value of every column."""
+def _is_text(df: DataFrame, name: str) -> bool:
+    return isinstance(df.schema[name].dataType, (T.StringType, T.BinaryType))
+
+
+def _digest(text: Column) -> Column:
+    return F.when(F.char_length(text) > WHOLE_TEXT, F.unhex(F.md5(text)))
+
+
+def value_counts(df: DataFrame, columns: list[str] | None = None, whole: bool = False) -> DataFrame:
+    """``(feature, ki, kd, ks, kh, cnt)`` for every non-missing value of every column; with ``whole`` ks is the
+    whole text whatever its length."""
     cols = profiled_columns(df, columns)
     if not cols:
-        schema = "feature string, ki long, kd double, ks string, cnt long"
+        schema = "feature string, ki long, kd double, ks string, kh binary, cnt long"
         return df.sparkSession.createDataFrame([], schema)
     structs = []
     for c in cols:
         ki, kd, ks = _keys(df, c)
-        structs.append(F.struct(F.lit(c).alias("feature"), ki.alias("ki"), kd.alias("kd"), ks.alias("ks")))
+        kh = F.lit(None).cast("binary")
+        if _is_text(df, c) and not whole:
+            ks, kh = F.left(ks, F.lit(WHOLE_TEXT)), _digest(ks)
+        structs.append(F.struct(F.lit(c).alias("feature"), ki.alias("ki"), kd.alias("kd"), ks.alias("ks"), kh.alias("kh")))
     long = df.select(F.inline(F.array(*structs)))
     long = long.where(F.coalesce(F.col("ki").isNotNull(), F.lit(False))
                       | F.col("kd").isNotNull() | F.col("ks").isNotNull())
-    return long.groupBy("feature", *KEYS).agg(F.count(F.lit(1)).alias("cnt"))
+    return long.groupBy("feature", *KEYS, "kh").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def value_text(df: DataFrame, name: str) -> Column:
@@ -123,10 +141,26 @@ def distinct_counts(vc: DataFrame) -> DataFrame:
     return vc.groupBy("feature").agg(F.count(F.lit(1)).alias("distinct"))
 
 
-def top_k(vc: DataFrame, k: int, by_count: bool = True) -> DataFrame:
-    """Rows with ``rank`` 1..k per feature: by count desc then value asc
-    (``by_count``), or smallest values first. ``row_number() <= k`` is
-    planned as a per-partition group limit below the shuffle."""
+def _with_whole_texts(df: DataFrame, vc: DataFrame, columns: list[str]) -> DataFrame:
+    """``ks`` becomes the whole text where the row has only its beginning; the texts come from a second read of
+    the text columns, of which only those with a digest among the rows of ``vc`` are kept."""
+    texts = [c for c in columns if _is_text(df, c)]
+    if not texts:
+        return vc
+    long = df.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("_f"), _digest(_keys(df, c)[2]).alias("_h"), _keys(df, c)[2].alias("_text")) for c in texts])))
+    wanted = vc.where("kh IS NOT NULL").select(F.col("feature").alias("_f"), F.col("kh").alias("_h"))
+    found = long.where("_h IS NOT NULL").join(wanted, ["_f", "_h"], "left_semi").groupBy("_f", "_h").agg(F.min("_text").alias("_text"))
+    same = (F.col("feature") == F.col("_f")) & (F.col("kh") == F.col("_h"))
+    return vc.join(found, same, "left").withColumn("ks", F.coalesce("_text", "ks")).drop("_f", "_h", "_text")
+
+
+def top_k(df: DataFrame, vc: DataFrame, k: int, columns: list[str], by_count: bool = True) -> DataFrame:
+    """Rows with ``rank`` 1..k per feature and their ``value`` as text: by count desc then value asc
+    (``by_count``), or smallest values first. The rank conditions are planned as
+    per-partition group limits below the shuffle."""
     order = ([F.col("cnt").desc()] if by_count else []) + [F.col(k_).asc_nulls_last() for k_ in KEYS]
     w = Window.partitionBy("feature").orderBy(*order)
-    return vc.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = vc.withColumn("rank", F.rank().over(w)).where(F.col("rank") <= k).drop("rank")
+    best = _with_whole_texts(df, near, columns).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return with_display_value(df, best, columns)

@@ -88,11 +88,11 @@ def column_info(df: DataFrame) -> DataFrame:
             (F.col(f"_lo{i}") if num else null_d).alias("min"),
             (F.col(f"_hi{i}") if num else null_d).alias("max")))
     base = _long(agg, rows)
-    vc = fq.with_display_value(df, fq.value_counts(df, cols), cols)
+    vc = fq.value_counts(df, cols)
     dist = fq.distinct_counts(vc)
     quoted = F.when(F.col("feature").isin(categorical_columns(df)),
                     F.concat(F.lit("'"), F.col("value"), F.lit("'"))).otherwise(F.col("value"))
-    samples = (fq.top_k(vc.withColumn("shown", quoted), 3, by_count=False)
+    samples = (fq.top_k(df, vc, 3, cols, by_count=False).withColumn("shown", quoted)
                .groupBy("feature")
                .agg(F.array_sort(F.collect_list(F.struct("rank", "shown"))).alias("_s")))
     samples = samples.select("feature", F.substring(
@@ -140,8 +140,7 @@ def categorical_summary(df: DataFrame, k: int = 10, columns: list[str] | None =
     if not cols:
         return _empty(df.sparkSession, "feature string, rank int, value string, count long, pct double")
     n = df.count()
-    vc = fq.with_display_value(df, fq.value_counts(df, cols), cols)
-    return (fq.top_k(vc, k)
+    return (fq.top_k(df, fq.value_counts(df, cols), k, cols)
             .select("feature", F.col("rank").cast("int").alias("rank"), "value",
                     F.col("cnt").cast("long").alias("count"), pct(F.col("cnt"), F.lit(n)).alias("pct"))
             .orderBy("feature", "rank"))
@@ -161,9 +160,8 @@ def top_categories(df: DataFrame, column: str, k: int = 10) -> DataFrame:
 
 
 def _top_any(df: DataFrame, column: str, k: int) -> DataFrame:
-    vc = fq.with_display_value(df, fq.value_counts(df, [column]), [column])
     n = df.count()
-    return (fq.top_k(vc, k)
+    return (fq.top_k(df, fq.value_counts(df, [column]), k, [column])
             .select("feature", F.col("rank").cast("int").alias("rank"), "value",
                     F.col("cnt").cast("long").alias("count"), pct(F.col("cnt"), F.lit(n)).alias("pct"))
             .orderBy("rank"))

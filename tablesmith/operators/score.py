@@ -72,5 +72,5 @@ def feature_categories(df: DataFrame, features: list[str]) -> DataFrame:
     cats = [f.name for f in df.schema.fields if f.name in features and f.dataType.typeName() == "string"]
     if not cats:
         return df.sparkSession.createDataFrame([], "feature string, value string, count long")
-    vc = fq.value_counts(df, cats)
+    vc = fq.value_counts(df, cats, whole=True)
     return vc.select("feature", F.col("ks").alias("value"), F.col("cnt").cast("long").alias("count"))

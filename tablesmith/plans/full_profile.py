@@ -89,8 +89,7 @@ def full_profile(df: DataFrame, z_threshold: float = 3.0, **qkw) -> Profile:
     # ---- pass 4
     cat_top = None
     if cats:
-        vc = fq.with_display_value(df, fq.value_counts(df, cats), cats)
-        cat_top = fq.top_k(vc, 1).select("feature", F.col("value").alias("top_value"),
+        cat_top = fq.top_k(df, fq.value_counts(df, cats), 1, cats).select("feature", F.col("value").alias("top_value"),
                                          F.col("cnt").cast("long").alias("top_count"),
                                          F.round(F.col("cnt") * 100.0 / F.lit(n), 2).alias("top_pct"))
     # ---- assemble (all bounded by columns or column pairs)
