@@ -87,6 +87,22 @@ def p02_column_info(spark, sf):
     return P.column_info(orders_with_gaps(spark, sf))
 
 
+def _info_sql(table: str, cols: list[tuple[str, str]]) -> str:
+    return f"WITH g AS (SELECT * FROM {table})\n" + _union([_p2_part(c, t) for c, t in cols])
+
+
+@register("p02_column_info_documents", _info_sql("documents", [
+    ("doc_id", "bigint"), ("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "bigint")]))
+def p02_column_info_documents(spark, sf):
+    """Long texts: they are counted by digest, three of them are fetched."""
+    return P.column_info(read_table(spark, sf, "documents"))
+
+
+@register("p02_column_info_pages", _info_sql("pages", [("page_id", "bigint"), ("url", "string"), ("html", "string")]))
+def p02_column_info_pages(spark, sf):
+    return P.column_info(read_table(spark, sf, "pages"))
+
+
 # ----------------------------------------------------------------- P3
 _p3 = _union([f"""SELECT '{c}' AS feature, CAST(count({c}) AS BIGINT) AS count, round(avg({c}), 2) AS mean,
   round(stddev_samp({c}), 2) AS std, round(CAST(min({c}) AS DOUBLE), 2) AS min,
@@ -116,6 +132,12 @@ def p04_categorical_summary(spark, sf):
                                                                          "o_orderpriority"), 10)
 
 
+@register("p04_categorical_summary_documents", _topk_sql("documents", ["text", "lang", "source"], 10))
+def p04_categorical_summary_documents(spark, sf):
+    """The most frequent whole texts, equal counts by text."""
+    return P.categorical_summary(read_table(spark, sf, "documents"), 10)
+
+
 @register("p07_categorical_distribution",
           "SELECT feature, value AS top_value, count AS top_count, pct AS top_pct FROM ("
           + _topk_sql("lineitem", ["l_returnflag", "l_linestatus"], 1) + ")")

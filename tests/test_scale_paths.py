@@ -46,11 +46,11 @@ def test_split_paths(grouped, stratify):
 
 
 def test_split_moves_no_rows(spark):
-    """Only the rows of one hash prefix per class are ranked; the rest is labelled where it is read."""
+    """Every row is labelled where it is read."""
     li = read_table(spark, SF, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
     sp = T.train_test_split(li, "l_returnflag", 0.2, 42, True, ["l_orderkey", "l_linenumber", "l_partkey"])
     plan = sp._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1  # of the ranked rows
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 0
 
 
 def test_folds_spearman_roc_paths(spark):
@@ -119,3 +119,50 @@ def test_failed_evaluation_is_a_row(spark):
 def test_fold_column_keeps_null_classes(spark):
     df = spark.createDataFrame([(i, None if i % 3 == 0 else float(i % 2)) for i in range(30)], "k int, label double")
     assert H.with_folds(df, key=["k"]).count() == 30
+
+
+def test_long_texts_by_digest(spark):
+    """Texts that differ behind the shared beginning, repeats, ties by count, and a short one."""
+    start = "x" * (FQ.WHOLE_TEXT + 5)
+    texts = [start + "b"] * 3 + [start + "a"] * 3 + [start + "c"] * 2 + ["short"] * 2 + [start] + [None]
+    df = spark.createDataFrame([(t, i % 2) for i, t in enumerate(texts)], "t string, k int")
+    vc = FQ.value_counts(df)
+    assert {r.feature: r.distinct for r in FQ.distinct_counts(vc).collect()} == {"t": 5, "k": 2}
+    assert max(len(r.ks or "") for r in vc.collect()) == FQ.WHOLE_TEXT
+    got = [(r["value"], r["count"]) for r in P.categorical_summary(df, 4, ["t"]).orderBy("rank").collect()]
+    assert got == [(start + "a", 3), (start + "b", 3), ("short", 2), (start + "c", 2)]
+    info = {r.feature: r for r in P.column_info(df).collect()}
+    assert info["t"].distinct_count == 5 and info["t"].sample_values == f"['short', '{start}"[:50]
+
+
+def test_shuffled_bytes_of_long_texts_are_bounded(spark):
+    """The exchange of the counts carries the beginning and the digest, never a text."""
+    docs = read_table(spark, SF, "documents").select("text")
+    plan = FQ.value_counts(docs)._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("Exchange hashpartitioning")[1]
+    assert "left(" in below.lower() or "substring" in below.lower() or "md5" in below.lower()
+    widest = FQ.value_counts(docs).select(F.max(F.octet_length("ks") + F.coalesce(F.octet_length("kh"), F.lit(0)))).first()[0]
+    assert widest <= 4 * FQ.WHOLE_TEXT + 16
+
+
+@pytest.mark.parametrize("repeats", [1, 7])
+def test_split_quotas_are_exact_with_repeated_keys(spark, repeats):
+    rows = [(i // repeats, ["a", "b", None][i % 3 % 2 + (i % 5 == 0)]) for i in range(420)]
+    df = spark.createDataFrame(rows, "k long, y string")
+    for limit in (10 ** 6, 5):
+        out = T.train_test_split(df, "y", 0.2, key=["k"], max_task_rows=limit, hash_digits=1)
+        n = {(r["y"], r["split"]): r["count"] for r in out.groupBy("y", "split").count().collect()}
+        assert sum(n.values()) == 420 and sum(v for (_, s), v in n.items() if s == "test") == 84
+        for y in ("a", "b", None):
+            total = n[y, "test"] + n[y, "train"]
+            assert abs(n[y, "test"] - 0.2 * total) < 1
+    # a hash on both sides only where equal keys stand on the cut
+    both = out.groupBy("y", "k").agg(F.countDistinct("split").alias("d")).where("d = 2").count()
+    assert both <= 3 and (repeats > 1 or both == 0)
+
+
+def test_split_is_one_labelling_pass(spark):
+    li = read_table(spark, SF, "lineitem")
+    plan = T.train_test_split(li, "l_returnflag", 0.2, 42, True, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+                               )._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Window" not in plan
