@@ -3,10 +3,11 @@ high-correlation pairs (P13).
 
 Pearson is one aggregate pass of plain sums of centred values (column sums,
 squares and cross products; for a pair with missing values the sums run over
-the rows where both are present - pairwise-complete, as pandas). Spearman replaces each value by its average rank (ties share the
-mean of their positions), computed from the value-count table with bounded
-running totals, then applies Pearson to the ranks; for a pair where a column
-has missing values, ranks are recomputed over that pair's complete rows.
+the rows where both are present - pairwise-complete, as pandas). Spearman replaces
+each value by its average rank (ties share the mean of their positions), computed
+from the value-count table with bounded running totals, then applies Pearson to the
+ranks; the pairs in which a column has missing values are ranked over their own complete
+rows, all pairs in one pass.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import as_double, is_missing, numeric_columns
+from ..session import cut_lineage
 from .ranking import DEFAULT_MAX_TASK_ROWS, running_totals
 
 SCHEMA = "feature_1 string, feature_2 string, idx_1 int, idx_2 int, r double"
@@ -130,6 +132,38 @@ def _with_ranks(df: DataFrame, cols: list[str], max_task_rows: int) -> DataFrame
     return out.select([F.col(f"_r{i}").alias(c) for i, c in enumerate(cols)])
 
 
+def _pairwise_spearman(df: DataFrame, cols: list[str], pairs: list[tuple[int, int]], max_task_rows: int) -> dict:
+    """r of each pair over the rows in which both columns have a value, for all pairs in one go: the distinct value
+    pairs are counted in one long table, both sides of all pairs are ranked in one pass (grouped by pair and
+    side), and the ranks come back by two joins on (pair, value)."""
+    if not pairs:
+        return {}
+    v = [as_double(df, c) for c in cols]
+    cells = [F.struct(F.lit(i).alias("pair"), v[a].alias("a"), v[b].alias("b")) for i, (a, b) in enumerate(pairs)]
+    points = cut_lineage(df.select(F.inline(F.array(*cells))).where("a IS NOT NULL AND b IS NOT NULL").groupBy(
+        "pair", "a", "b").agg(F.count(F.lit(1)).alias("n")))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(c).alias("value")) for s, c in enumerate("ab")])
+    counts = points.select("pair", "n", F.inline(sides)).groupBy("pair", "side", "value").agg(F.sum("n").alias("n"))
+    cum = running_totals(counts, ["pair", "side"], ["value"], ["n"], max_task_rows)
+    ranks = cum.select("pair", "side", "value", (F.col("n_cum") - F.col("n") + (F.col("n") + 1) / 2.0).alias("rank"))
+    rows = points
+    for s, c in enumerate("ab"):
+        mine = ranks.where(F.col("side") == s).select("pair", F.col("value").alias(c), F.col("rank").alias("r" + c))
+        rows = rows.join(mine, ["pair", c])
+    # the mean of the average ranks of n rows is (n + 1) / 2
+    n = {x["pair"]: x["n"] for x in points.groupBy("pair").agg(F.sum("n").alias("n")).collect()}  # one row per pair
+    mean = F.array(*[F.lit((n.get(i, 0) + 1) / 2.0) for i in range(len(pairs))])[F.col("pair")]
+    da, db = F.col("ra") - mean, F.col("rb") - mean
+    sums = rows.groupBy("pair").agg(F.sum(F.col("n") * da * da).alias("qa"), F.sum(F.col("n") * db * db).alias("qb"),
+                                    F.sum(F.col("n") * da * db).alias("p")).collect()
+    out = dict.fromkeys(pairs)
+    for x in sums:
+        if x["qa"] > 0 and x["qb"] > 0:
+            a, b = pairs[x["pair"]]
+            out[a, b] = 1.0 if a == b else x["p"] / math.sqrt(x["qa"] * x["qb"])
+    return out
+
+
 def spearman(df: DataFrame, columns: list[str] | None = None,
              max_task_rows: int = DEFAULT_MAX_TASK_ROWS) -> DataFrame:
     """Pearson of average ranks, pairwise-complete like pandas."""
@@ -149,14 +183,7 @@ def spearman(df: DataFrame, columns: list[str] | None = None,
         pr = _pearson_pairs(ranked, sub, _all_pairs(len(sub)), means=[mean_rank] * len(sub),
                             gaps=[False] * len(sub))
         r.update({(full[a], full[b]): v for (a, b), v in pr.items()})
-    for a, b in _all_pairs(len(cols)):
-        if (a, b) in r:
-            continue
-        both = df.where(~is_missing(df, cols[a]) & ~is_missing(df, cols[b]))
-        names = [cols[a]] if a == b else [cols[a], cols[b]]
-        ranked = _with_ranks(both, names, max_task_rows)
-        pr = _pearson_pairs(ranked, names, [(0, 0)] if a == b else [(0, 1)])
-        r[(a, b)] = list(pr.values())[0]
+    r.update(_pairwise_spearman(df, cols, [p for p in _all_pairs(len(cols)) if p not in r], max_task_rows))
     return _matrix(df.sparkSession, cols, r)
 
 

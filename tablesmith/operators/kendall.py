@@ -10,7 +10,7 @@ n_d is a weighted inversion count. The distinct points (x, y, weight) are
 numbered in (x, y) order (bounded running totals) and cut into blocks of at
 most ``max_task_rows``; in that order a pair is discordant exactly when the
 earlier point has the larger y, because equal x come in ascending y. Inside a
-block one task counts inversions with a Fenwick tree; between blocks a
+block one task counts inversions with numpy, a bit of the place at a time; between blocks a
 merge-sort style decomposition runs log2(blocks) levels of running totals.
 No row is paired with another and no task holds more than a block.
 """
@@ -31,26 +31,31 @@ DEFAULT_MAX_TASK_ROWS = 200_000
 BIG = "decimal(38,0)"
 
 
+def _inversions(y: np.ndarray, w: np.ndarray) -> int:
+    """Sum of w_p * w_q over places p < q with y_p > y_q. The places are taken in order of y; bit by bit, from the
+    highest, they are dealt into halves of halves, and in each group a place of the left half counts the
+    weight of the right half's places that stand before it, which have the smaller y."""
+    n = len(y)
+    place = np.lexsort((np.arange(n), y))  # equal y: the earlier place first, so it counts nothing
+    whole = int(w.sum(dtype=object)) ** 2 < 1 << 62
+    weight = w.astype(np.int64 if whole else object)[place]
+    total = 0
+    for bit in range(max(0, (n - 1).bit_length()) - 1, -1, -1):
+        group = place >> (bit + 1)
+        right = (place >> bit) & 1
+        before = np.cumsum(weight * right)
+        starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+        base = np.repeat(np.r_[before[:1] * 0, before[starts[1:] - 1]], np.diff(np.r_[starts, n]))
+        total += int(((before - base) * weight * (1 - right)).sum())
+        order = np.argsort(place >> bit, kind="stable")
+        place, weight = place[order], weight[order]
+    return total
+
+
 def _weighted_inversions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Sum of w_p * w_q over p before q (in (x, y) order) with y_p > y_q."""
+    """The inversions of a block of points, in (x, y) order."""
     pdf = pdf.sort_values(["x", "y"], kind="mergesort")
-    ys = pdf["y"].to_numpy()
-    ws = [int(w) for w in pdf["w"].to_numpy()]
-    _, rank = np.unique(ys, return_inverse=True)
-    size = int(rank.max()) + 1 if len(rank) else 0
-    tree = [0] * (size + 1)  # Fenwick tree of weights by y rank (Python ints: exact)
-    seen = total = 0
-    for r, w in zip(rank.tolist(), ws):
-        i, upto = r + 1, 0
-        while i > 0:
-            upto += tree[i]
-            i -= i & -i
-        total += w * (seen - upto)  # earlier points with a larger y
-        i = r + 1
-        while i <= size:
-            tree[i] += w
-            i += i & -i
-        seen += w
+    total = _inversions(pdf["y"].to_numpy(), pdf["w"].to_numpy())
     return pd.DataFrame({"block": [int(pdf["block"].iloc[0])], "inv": [str(total)]})
 
 
@@ -61,7 +66,7 @@ def discordant_pairs(points: DataFrame, max_task_rows: int = DEFAULT_MAX_TASK_RO
     Points are numbered in (x, y) order and cut into blocks of at most
     ``max_task_rows``. In that order a pair is discordant exactly when the
     earlier point has the larger y (equal x come in ascending y), so n_d is an
-    inversion count: inside each block one task counts it (Fenwick tree);
+    inversion count: inside each block one task counts it (``_inversions``);
     between blocks a merge-sort decomposition is used - at level l, within
     each group of 2^(l+1) consecutive blocks, right-half points count the
     left-half weight with a larger y through bounded running totals over

@@ -308,6 +308,31 @@ def p10_pearson(spark, sf):
     return C.pearson(lineitem_with_net(spark, sf), CORR_COLS)
 
 
+GAPS_NUM = {"o_totalprice": "o_orderkey % 7 = 0", "o_custkey": "o_orderkey % 5 = 1", "o_shippriority": "o_orderkey % 4 = 2"}
+
+
+def _spearman_gaps_sql() -> str:
+    """Average ranks of each pair over its own complete rows, then corr."""
+    cols = ["o_orderkey", *GAPS_NUM]
+    gaps = ", ".join(f"CASE WHEN {g} THEN NULL ELSE {'o_custkey % 97' if c == 'o_shippriority' else c} END AS {c}" for c, g in GAPS_NUM.items())
+    parts = []
+    for i, a in enumerate(cols):
+        for j, b in enumerate(cols):
+            lo, hi = (a, b) if i <= j else (b, a)
+            rank = [f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS r{k}" for k, c in enumerate((lo, hi))]
+            parts.append(f"SELECT '{a}' AS feature_1, '{b}' AS feature_2, CAST({i} AS INTEGER) AS idx_1, CAST({j} AS INTEGER) AS idx_2, "
+                         f"round(corr(r0, r1), 3) AS r FROM (SELECT {', '.join(rank)} FROM s WHERE {lo} IS NOT NULL AND {hi} IS NOT NULL)")
+    return f"WITH s AS (SELECT o_orderkey, {gaps} FROM orders)\n" + _union(parts)
+
+
+@register("p11_spearman_gaps", _spearman_gaps_sql())
+def p11_spearman_gaps(spark, sf):
+    """Three columns with gaps in different rows: every pair is ranked over its own complete rows."""
+    o = read_table(spark, sf, "orders").withColumn("o_shippriority", F.col("o_custkey") % 97)
+    gaps = {c: F.when(F.expr(g), None).otherwise(F.col(c)).alias(c) for c, g in GAPS_NUM.items()}
+    return C.spearman(o.select("o_orderkey", *gaps.values()), ["o_orderkey", *GAPS_NUM])
+
+
 @register("p11_spearman", _corr_sql(LINEITEM_WITH_NET_SQL, CORR_COLS, True))
 def p11_spearman(spark, sf):
     return C.spearman(lineitem_with_net(spark, sf), CORR_COLS)

@@ -119,3 +119,21 @@ def test_knn_with_few_rows(spark):
     assert len(got) == 20 and {r["count"] for r in got} == {20}  # all rows there are
     assert model.neighbours(df.where("false"), "id").collect() == []
     assert KNN(k=5, idCol="id").fit(df.where("false")).neighbours(df, "id").collect() == []
+
+
+def test_svm_probabilities_hold_on_unseen_rows(spark):
+    """A flexible SVM on noisy labels: its margins on its own rows would promise more than it keeps."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(900, 2))
+    y = ((x[:, 0] + rng.normal(scale=1.0, size=900)) > 0).astype(float)
+    df = spark.createDataFrame([(i, v, c) for i, (v, c) in enumerate(zip(x.tolist(), y.tolist()))], "id long, x array<double>, label double")
+    df = df.select("id", array_to_vector("x").alias("features"), "label").cache()
+    model = M.train_one("Support Vector Machine", df.where("id % 3 = 0"), {"C": 10.0, "gamma": "auto", "max_iter": 60, "components": 50}).model
+    out = model.transform(df.where("id % 3 <> 0")).select("label", "prediction", vector_to_array("probability").alias("p")).collect()
+    right = np.mean([r.label == r.prediction for r in out])
+    promised = np.mean([max(r.p) for r in out])
+    assert right > 0.6 and abs(promised - right) < 0.1, (promised, right)
+    high = [r for r in out if max(r.p) > 0.75]
+    assert np.mean([r.label == np.argmax(r.p) for r in high]) > 0.65
+    lone = df.where("id < 40").unionByName(df.where("id = 40").withColumn("label", F.lit(2.0)))  # one row of a class
+    assert M.train_one("Support Vector Machine", lone, {"max_iter": 5, "components": 20}).model.transform(lone).count() == 41

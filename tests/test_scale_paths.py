@@ -166,3 +166,35 @@ def test_split_is_one_labelling_pass(spark):
     plan = T.train_test_split(li, "l_returnflag", 0.2, 42, True, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
                                )._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan and "Window" not in plan
+
+
+def test_inversions():
+    import numpy as np
+
+    from tablesmith.operators.kendall import _inversions
+    rng = np.random.default_rng(0)
+    for n in (1, 2, 3, 17, 64, 100):
+        y, w = rng.integers(0, max(2, n // 2), n), rng.integers(1, 9, n)
+        for scale in (1, 10 ** 10):  # small weights in 64 bits, large ones as Python numbers
+            v = w * scale
+            assert _inversions(y, v) == sum(int(v[i]) * int(v[j]) for i in range(n) for j in range(i + 1, n) if y[i] > y[j])
+
+
+def test_spearman_with_gaps_has_a_fixed_number_of_jobs(spark):
+    def jobs(columns):
+        rows = [tuple(None if (i + c) % 5 == 0 else (i * (c + 3)) % 11 + 0.5 for c in range(columns)) for i in range(60)]
+        df = spark.createDataFrame(rows, ", ".join(f"c{c} double" for c in range(columns)))
+        spark.sparkContext.setJobGroup(f"spearman-{columns}", "")
+        try:
+            got = C.spearman(df)
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"spearman-{columns}")), got, rows
+        finally:
+            spark.sparkContext._jsc.clearJobGroup()
+    (few, *_), (many, got, rows) = jobs(3), jobs(6)
+    assert many <= few + 2
+    import pandas as pd
+    want = pd.DataFrame(rows).corr(method="spearman")
+    for r in got.collect():
+        assert abs(r["r"] - want.iloc[r["idx_1"], r["idx_2"]]) < 6e-4
+    flat = spark.createDataFrame([(1.0, 2.0), (1.0, None), (None, 3.0), (1.0, 5.0)], "a double, b double")
+    assert {(r["idx_1"], r["idx_2"]): r["r"] for r in C.spearman(flat).collect()} == {(0, 0): None, (0, 1): None, (1, 0): None, (1, 1): 1.0}
