@@ -1248,16 +1248,16 @@ def _folds_sql(rows: str, key: list[str], label: str) -> str:
 _NB_GRID = M.CATALOGUE["Naive Bayes"].grid["var_smoothing"]
 _H2_NB_SQL = _NB_SPLIT + f""",
 yl AS (SELECT *, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM sp),
-tr AS ({_folds_sql("yl WHERE split = 'train'", LI_KEY, "y")}),
+tr AS (SELECT *, row_number() OVER () AS rid FROM ({_folds_sql("yl WHERE split = 'train'", LI_KEY, "y")})),
 fo AS (SELECT unnest(range(5)) AS mf),
 st AS (SELECT mf, y AS c, count(*) AS n, {', '.join(f'avg({c}) AS m_{c}, var_pop({c}) AS v_{c}' for c in _f)}
        FROM tr, fo WHERE fold <> mf GROUP BY mf, y),
 gl AS (SELECT mf, count(*) AS n_all, greatest({', '.join(f'var_pop({c})' for c in _f)}) AS top FROM tr, fo WHERE fold <> mf GROUP BY mf),
 sm(vs, params) AS (VALUES {', '.join(f"({v!r}::DOUBLE, '" + chr(123) + f'"var_smoothing": {v!r}' + chr(125) + "')" for v in _NB_GRID)}),
 mo AS (SELECT mf, c, params, ln(n * 1.0 / n_all) AS pr, {', '.join(f'm_{c}, v_{c} + vs * top AS s_{c}' for c in _f)} FROM st JOIN gl USING (mf), sm),
-sc AS (SELECT params, mf, fold, y, c, l_orderkey, l_linenumber, l_partkey, l_suppkey,
+sc AS (SELECT params, mf, fold, y, c, rid,
          pr - 0.5 * ({' + '.join(f'ln(2 * pi() * s_{c}) + ({c} - m_{c}) * ({c} - m_{c}) / s_{c}' for c in _f)}) AS jll FROM tr, mo),
-be AS (SELECT params, mf, fold, y, arg_max(c, (jll, -c)) AS p FROM sc GROUP BY params, mf, fold, y, l_orderkey, l_linenumber, l_partkey, l_suppkey),
+be AS (SELECT params, mf, fold, y, arg_max(c, (jll, -c)) AS p FROM sc GROUP BY params, mf, fold, y, rid),
 cn AS (SELECT 'Naive Bayes' AS model, params, mf AS fold, fold = mf AS test, y, p, count(*) AS n FROM be GROUP BY ALL),""" + _cv_table_sql("cn")
 
 
