@@ -361,37 +361,30 @@ def histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
             .orderBy("bin"))
 
 
+DENSITY_ORDER = 10          # moments of a sub-bin
+DENSITY_STEP = 0.25         # width of a sub-bin in bandwidths
+
+
 def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float = 0.0,
                   bins: int = 30) -> DataFrame:
     """Gaussian KDE with Scott's bandwidth (std * n^-1/5) on ``gridsize``
-    points over [min - cut*h, max + cut*h]. Each task adds its rows' kernel
-    values at the grid points with numpy (Arrow batches, ``mapInPandas``) and
-    emits ``gridsize`` partial sums; a small ``groupBy(point)`` adds them up.
-    ``count_scaled`` is the density scaled to the histogram (n * bin width)."""
-    import numpy as np
-    import pandas as pd
+    points over [min - cut*h, max + cut*h].
+    ``count_scaled`` is the density scaled to the histogram (n * bin width).
 
+    A row only adds the powers of its offset to the moments of one sub-bin, so its cost does not depend on the grid
+    and the rows are summed before the shuffle. The kernel is then expanded around the centres of the sub-bins
+    (``_density_sums``): with offsets of at most h/8 and ten moments, the density is off by less than 1e-12 of
+    a kernel's peak. Missing values count nothing; no value, no spread or an infinite value gives an empty curve."""
     v = as_double(df, column)
     m = df.agg(F.count(v).alias("n"), F.stddev_samp(v).alias("s"), F.min(v).alias("lo"),
                F.max(v).alias("hi")).first()
     n, s, lo, hi = m["n"], m["s"], m["lo"], m["hi"]
-    if not n or s is None or s == 0:
+    if not n or not s or not math.isfinite(s):
         return _empty(df.sparkSession, "point int, x double, density double, count_scaled double")
     h = s * n ** (-0.2)
     a, b = lo - cut * h, hi + cut * h
-    xs = np.array([a + (b - a) * i / (gridsize - 1) for i in range(gridsize)])
-
-    def partial_sums(batches):
-        acc = np.zeros(gridsize)
-        for pdf in batches:
-            vals = pdf["x"].dropna().to_numpy(dtype=np.float64)
-            for start in range(0, len(vals), 8192):
-                chunk = vals[start:start + 8192]
-                acc += np.exp(-0.5 * ((xs[None, :] - chunk[:, None]) / h) ** 2).sum(axis=0)
-        yield pd.DataFrame({"point": np.arange(gridsize, dtype=np.int64), "k": acc})
-
-    sums = (df.select(v.alias("x")).mapInPandas(partial_sums, "point long, k double")
-            .groupBy("point").agg(F.sum("k").alias("k")))
+    xs = [a + (b - a) * i / max(1, gridsize - 1) for i in range(gridsize)]
+    sums = _density_sums(df.select(v.alias("x")).where(F.col("x").isNotNull()), lo, h, xs)
     grid = df.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(xs)], "point long, x double")
     norm = 1.0 / (n * h * math.sqrt(2 * math.pi))
     width = (hi - lo) / bins
@@ -401,6 +394,41 @@ def density_curve(df: DataFrame, column: str, gridsize: int = 200, cut: float =
                       F.round(F.col("density") * F.lit(n * width), 4).alias("count_scaled")).orderBy("point")
 
 
+def _density_sums(values: DataFrame, lo: float, h: float, xs: list[float]) -> DataFrame:
+    """(point, k): sum of exp(-((xs[point] - x) / h)^2 / 2) over the rows of ``values`` (x).
+
+    With t = (xs[point] - centre) / h and u = (x - centre) / h, a row's kernel is the Taylor series
+    sum of He_j(t) exp(-t^2 / 2) u^j / j!, so a sub-bin needs only its sums of u^j."""
+    import numpy as np
+    import pandas as pd
+
+    at = (F.col("x") - F.lit(lo)) / F.lit(h * DENSITY_STEP)
+    binned = values.select(F.floor(at).alias("bin"), ((at - F.floor(at) - 0.5) * DENSITY_STEP).alias("u"))
+    power, moments = F.lit(1.0), []
+    for j in range(DENSITY_ORDER):
+        moments.append(F.sum(power).alias(f"m{j}"))
+        power = power * F.col("u")
+    sub_bins = binned.groupBy("bin").agg(*moments)
+    points = np.array(xs)
+
+    def partial_sums(batches):
+        acc = np.zeros(len(points))
+        for pdf in batches:
+            for start in range(0, len(pdf), 4096):
+                part = pdf.iloc[start:start + 4096]
+                centre = lo + (part["bin"].to_numpy(dtype=np.float64) + 0.5) * (h * DENSITY_STEP)
+                t = (points[None, :] - centre[:, None]) / h
+                before, now, series = np.zeros_like(t), np.ones_like(t), np.zeros_like(t)
+                for j in range(DENSITY_ORDER):
+                    series += now * (part[f"m{j}"].to_numpy()[:, None] / math.factorial(j))
+                    before, now = now, t * now - j * before
+                acc += (series * np.exp(-0.5 * t * t)).sum(axis=0)
+        yield pd.DataFrame({"point": np.arange(len(points), dtype=np.int64), "k": acc})
+
+    return (sub_bins.mapInPandas(partial_sums, "point long, k double")
+            .groupBy("point").agg(F.sum("k").alias("k")))
+
+
 # --------------------------------------------------------------------- P18 / P19 / P20
 def class_distribution(df: DataFrame, target: str) -> DataFrame:
     """Class (as text), count, % of rows (2 dp); count desc, class asc."""
