@@ -708,6 +708,15 @@ def t10_label_encode(spark, sf):
     return li.select(*LI_KEY, "l_returnflag", lm.encode("l_returnflag").alias("label"))
 
 
+@register("t10_label_table", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
+  CAST(dense_rank() OVER (ORDER BY l_partkey) - 1 AS DOUBLE) AS label, l_partkey AS decoded FROM lineitem""")
+def t10_label_table(spark, sf):
+    """A class per part: encoded and decoded through the joined map."""
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY)
+    lt = T.LabelTable.fit(li, "l_partkey")
+    return lt.decode(lt.encode(li, "l_partkey", "label"), "label", "decoded")
+
+
 @register("t11_stratified_split", "WITH " + _split_sql("lineitem", "l_returnflag", LI_KEY) + "\nSELECT * FROM sp")
 def t11_stratified_split(spark, sf):
     li = read_table(spark, sf, "lineitem").select(*LI_KEY, "l_returnflag")
@@ -1101,6 +1110,16 @@ def m02_knn(spark, sf):
     return pred.join(txt, "vec_id")
 
 
+@register("m00_weights_many_classes", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(n * 1.0 / (k * c), 9) AS weight
+FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem),
+  (SELECT count(DISTINCT l_orderkey) AS k FROM lineitem)""")
+def m00_weights_many_classes(spark, sf):
+    """A class per order, weighted from the joined table of counts."""
+    li = read_table(spark, sf, "lineitem").select(*LI_KEY)
+    return M.balanced_weights_joined(li, "l_orderkey").withColumn("weight", F.round("weight", 9))
+
+
 @register("m00_balanced_weights", _NB_SPLIT + """
 SELECT l_returnflag AS class, round(count(*) OVER () * 1.0 / (3 * count(*) OVER (PARTITION BY l_returnflag)), 9) AS weight,
   l_orderkey, l_linenumber, l_partkey, l_suppkey FROM sp WHERE split = 'train'""")

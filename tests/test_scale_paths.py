@@ -198,3 +198,34 @@ def test_spearman_with_gaps_has_a_fixed_number_of_jobs(spark):
         assert abs(r["r"] - want.iloc[r["idx_1"], r["idx_2"]]) < 6e-4
     flat = spark.createDataFrame([(1.0, 2.0), (1.0, None), (None, 3.0), (1.0, 5.0)], "a double, b double")
     assert {(r["idx_1"], r["idx_2"]): r["r"] for r in C.spearman(flat).collect()} == {(0, 0): None, (0, 1): None, (1, 0): None, (1, 1): 1.0}
+
+
+def test_label_table_of_many_classes(spark):
+    """100,000 classes, one of them a third of the rows: encoded, decoded, weighted; ranges as in one task."""
+    from tablesmith.operators.models.catalogue import balanced_weights, balanced_weights_joined
+    df = spark.range(150_000).select(F.when(F.col("id") < 50_000, 0).otherwise(F.col("id") * 3).alias("a.y"), F.col("id").alias("label"))
+    lt = T.LabelTable.fit(df, "a.y", max_task_rows=30_000)
+    assert lt.count() == 100_001
+    both = lt.decode(lt.encode(df, "a.y", "n"), "n", "back")
+    assert both.columns == ["a.y", "label", "n", "back"]
+    bad = both.where((F.col("back") != F.col("`a.y`")) | F.col("back").isNull() | (F.col("n") != F.when(
+        F.col("label") < 50_000, 0.0).otherwise(F.col("label") - 49_999.0)))
+    assert bad.count() == 0 and both.count() == 150_000
+    w = balanced_weights_joined(df, "a.y").groupBy("weight").count().collect()
+    assert {(round(r["weight"], 9), r["count"]) for r in w} == {
+        (round(150_000 / 100_001 / 50_000, 9), 50_000), (round(150_000 / 100_001, 9), 100_000)}
+    few = spark.createDataFrame([("b", 1), ("a", 2), ("b", 3)], "label string, id int")
+    assert rows_of(balanced_weights(few).select("id", "weight")) == rows_of(balanced_weights_joined(few).select("id", "weight"))
+
+
+def test_label_table_edges(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "y string")
+    lt = T.LabelTable.fit(df, "y")
+    assert rows_of(lt.encode(df, "y", "y2")) == rows_of(spark.createDataFrame(
+        [("b", 1.0), (None, None), ("a", 0.0), ("b", 1.0)], "y string, y2 double"))
+    new = spark.createDataFrame([("z",), ("a",)], "y string")
+    assert sorted(lt.encode(new, "y").select("label").collect(), key=repr) == [(0.0,), (None,)]
+    assert lt.decode(spark.createDataFrame([(1.0,), (7.0,), (None,)], "label double"), "label").where("class = 'b'").count() == 1
+    ints = T.LabelTable.fit(spark.createDataFrame([(10,), (9,), (100,)], "y int"), "y")
+    assert sorted(map(tuple, ints.table.collect())) == [(9, 0.0), (10, 1.0), (100, 2.0)]
+    assert T.LabelTable.fit(df.where("false"), "y").count() == 0
