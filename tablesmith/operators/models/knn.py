@@ -127,6 +127,43 @@ class PivotIndex:
             ("block", np.int64), ("lo", float), ("hi", float), ("n", np.int64))))
 
 
+def looked_up(routed: DataFrame, rows: DataFrame, k: int, metric: str, qtype: str) -> DataFrame:
+    """The k best rows of each (query, block) of ``routed`` (qid, x, limit, qb, block), not beyond the query's limit;
+    ``rows`` (x, y, tid, block) are sent to the query blocks that ask for their block."""
+    def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        cols = {"qid": [], "tid": [], "dist": [], "y": []}
+        if q.empty or r.empty:
+            return pd.DataFrame(cols)
+        points, near_rows = _matrix(q["x"]), _matrix(r["x"])
+        tids, ys, qids, limit = r["tid"].to_numpy(), r["y"].to_numpy(), q["qid"].to_numpy(), q["limit"].to_numpy(dtype=float)
+        kk = min(k, len(near_rows))
+        for part in _steps(points, near_rows):
+            d = distances(points[part], near_rows, metric)
+            near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
+            kth = np.take_along_axis(d, near, axis=1).max(axis=1)
+            for i in np.flatnonzero((d <= kth[:, None]).sum(axis=1) > kk):  # equal distances: the smaller training id
+                cand = np.flatnonzero(d[i] <= kth[i])
+                near[i] = cand[np.lexsort((tids[cand], d[i][cand]))[:kk]]
+            dist = np.take_along_axis(d, near, axis=1)
+            row, column = np.nonzero(dist <= limit[part][:, None])
+            cols["qid"].append(qids[part][row])
+            cols["tid"].append(tids[near[row, column]])
+            cols["dist"].append(dist[row, column])
+            cols["y"].append(ys[near[row, column]])
+        return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
+
+    pairs = routed.select(F.col("qb").alias("to_qb"), F.col("block").alias("to_block")).distinct()
+    sent = rows.join(pairs, F.col("block") == F.col("to_block")).select("x", "y", "tid", "to_qb", "to_block")
+    return (routed.groupBy("qb", "block").cogroup(sent.groupBy("to_qb", "to_block"))
+            .applyInPandas(local_topk, f"qid {qtype}, tid long, dist double, y double"))
+
+
+def best(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query, with their rank."""
+    w = Window.partitionBy("qid").orderBy("dist", "tid")
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 class PivotSearch:
     """Exact k nearest rows in two rounds. Round one looks into the blocks with the smallest bounds until k rows
     are seen; the k-th distance found is an upper bound. Round two looks only into the blocks whose lower bound does
@@ -184,39 +221,10 @@ class PivotSearch:
         return self._routed(self.queries.join(limit, "qid"), second=True)
 
     def _looked_up(self, routed: DataFrame) -> DataFrame:
-        """The k best rows of each (query, block) asked for, not beyond the query's limit."""
-        k, metric = self.k, self.index.metric
-
-        def local_topk(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            cols = {"qid": [], "tid": [], "dist": [], "y": []}
-            if q.empty or r.empty:
-                return pd.DataFrame(cols)
-            points, rows = _matrix(q["x"]), _matrix(r["x"])
-            tids, ys, qids, limit = r["tid"].to_numpy(), r["y"].to_numpy(), q["qid"].to_numpy(), q["limit"].to_numpy(dtype=float)
-            kk = min(k, len(rows))
-            for part in _steps(points, rows):
-                d = distances(points[part], rows, metric)
-                near = np.argpartition(d, kk - 1, axis=1)[:, :kk]
-                kth = np.take_along_axis(d, near, axis=1).max(axis=1)
-                for i in np.flatnonzero((d <= kth[:, None]).sum(axis=1) > kk):  # equal distances: the smaller training id
-                    cand = np.flatnonzero(d[i] <= kth[i])
-                    near[i] = cand[np.lexsort((tids[cand], d[i][cand]))[:kk]]
-                dist = np.take_along_axis(d, near, axis=1)
-                row, column = np.nonzero(dist <= limit[part][:, None])
-                cols["qid"].append(qids[part][row])
-                cols["tid"].append(tids[near[row, column]])
-                cols["dist"].append(dist[row, column])
-                cols["y"].append(ys[near[row, column]])
-            return pd.DataFrame({c: np.concatenate(v) for c, v in cols.items()})
-
-        pairs = routed.select(F.col("qb").alias("to_qb"), F.col("block").alias("to_block")).distinct()
-        sent = self.index.rows.join(pairs, F.col("block") == F.col("to_block")).select("x", "y", "tid", "to_qb", "to_block")
-        return (routed.groupBy("qb", "block").cogroup(sent.groupBy("to_qb", "to_block"))
-                .applyInPandas(local_topk, f"qid {self.qtype}, tid long, dist double, y double"))
+        return looked_up(routed, self.index.rows, self.k, self.index.metric, self.qtype)
 
     def _best(self, found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("qid").orderBy("dist", "tid")
-        return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= self.k)
+        return best(found, self.k)
 
     def first_found(self) -> DataFrame:
         return self._best(self._looked_up(self.round_one()))
@@ -237,13 +245,15 @@ class _KNNParams(HasFeaturesCol, HasLabelCol, HasPredictionCol, HasProbabilityCo
     weights = Param(Params._dummy(), "weights", "uniform|distance", typeConverter=TypeConverters.toString)
     metric = Param(Params._dummy(), "metric", "euclidean|manhattan", typeConverter=TypeConverters.toString)
     blockRows = Param(Params._dummy(), "blockRows", "rows per block", typeConverter=TypeConverters.toInt)
+    approxRecall = Param(Params._dummy(), "approxRecall", "0: exact; else the share of the true neighbours that the "
+                         "approximate search (euclidean) is tuned to find", typeConverter=TypeConverters.toFloat)
     idCol = Param(Params._dummy(), "idCol", "unique long id of training rows (tie-break); generated if unset",
                   typeConverter=TypeConverters.toString)
     queryIdCol = Param(Params._dummy(), "queryIdCol", "unique id of rows to score; generated (and checkpointed) "
                        "if unset or absent", typeConverter=TypeConverters.toString)
 
     def _defaults(self):
-        self._setDefault(k=5, weights="uniform", metric="euclidean", blockRows=DEFAULT_BLOCK_ROWS,
+        self._setDefault(k=5, weights="uniform", metric="euclidean", blockRows=DEFAULT_BLOCK_ROWS, approxRecall=0.0,
                          featuresCol="features", labelCol="label", predictionCol="prediction",
                          probabilityCol="probability")
 
@@ -252,7 +262,7 @@ class KNN(Estimator, _KNNParams):
     @keyword_only
     def __init__(self, k=5, weights="uniform", metric="euclidean", blockRows=DEFAULT_BLOCK_ROWS,
                  featuresCol="features", labelCol="label", predictionCol="prediction", probabilityCol="probability",
-                 idCol=None, queryIdCol=None):
+                 idCol=None, queryIdCol=None, approxRecall=0.0):
         super().__init__()
         self._defaults()
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
@@ -275,17 +285,29 @@ class KNNModel(Model, _KNNParams):
         self.train = train
         self.classes = classes or []
         self._index: PivotIndex | None = None
+        self._buckets = None
 
     def neighbours(self, df: DataFrame, id_col: str) -> DataFrame:
         """(qid, rank, tid, dist, y) of the k nearest training rows per test row."""
-        return self.search(df, id_col).neighbours()
-
-    def search(self, df: DataFrame, id_col: str) -> "PivotSearch":
+        recall = self.getOrDefault(self.approxRecall)
+        if not recall:
+            return self.search(df, id_col).neighbours()
+        if self.getOrDefault(self.metric) != "euclidean":
+            raise ValueError("the approximate search is for the euclidean metric")
+        if self._buckets is None or self._buckets.target != recall:
+            from .knn_lsh import BucketIndex
+            self._buckets = BucketIndex(self.train, recall, self.getOrDefault(self.k), self.getOrDefault(self.blockRows))
+        return self._buckets.neighbours(self._queries(df, id_col), self.getOrDefault(self.k),
+                                        lambda rows: self.search(rows, "qid", ready=True).neighbours())
+
+    def _queries(self, df: DataFrame, id_col: str) -> DataFrame:
+        return df.select(F.col(id_col).alias("qid"), vector_to_array(F.col(self.getFeaturesCol())).alias("x"))
+
+    def search(self, df: DataFrame, id_col: str, ready: bool = False) -> "PivotSearch":
         metric = self.getOrDefault(self.metric)
         if self._index is None or self._index.metric != metric:
             self._index = PivotIndex(self.train, metric, self.getOrDefault(self.blockRows))
-        queries = df.select(F.col(id_col).alias("qid"), vector_to_array(F.col(self.getFeaturesCol())).alias("x"))
-        return PivotSearch(self._index, queries, self.getOrDefault(self.k))
+        return PivotSearch(self._index, df if ready else self._queries(df, id_col), self.getOrDefault(self.k))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         if self.isSet(self.queryIdCol) and self.getOrDefault(self.queryIdCol) in df.columns:

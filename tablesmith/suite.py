@@ -1110,6 +1110,27 @@ def m02_knn(spark, sf):
     return pred.join(txt, "vec_id")
 
 
+@register("m02_knn_lsh", _EMB_SPLIT + """
+SELECT count(*) FILTER (split = 'test') AS queries, 5 * count(*) FILTER (split = 'test') AS neighbours,
+  TRUE AS recall_90, CAST(0 AS BIGINT) AS too_near, CAST(0 AS BIGINT) AS wrong_distance FROM sp""")
+def m02_knn_lsh(spark, sf):
+    """The approximate search against the exact one: neighbours found, whether they hold 0.9 of the true ones, and how
+    many are nearer than the true one of their rank or have another distance than the exact search gives them."""
+    sp = embeddings_split(spark, sf)
+    train, test = sp.where(F.col("split") == "train"), sp.where(F.col("split") == "test")
+    model = KNN(k=5, idCol="vec_id").fit(train)
+    exact = model.neighbours(test, "vec_id").select("qid", "tid", "rank", F.col("dist").alias("true_dist"))
+    found = model.copy({model.approxRecall: 0.95}).neighbours(test, "vec_id")
+    by_rank = found.join(exact.select("qid", "rank", "true_dist"), ["qid", "rank"], "left")
+    same = exact.select("qid", "tid", F.col("true_dist").alias("same_dist"))
+    slack = F.lit(1e-9)
+    return by_rank.join(same, ["qid", "tid"], "left").agg(
+        F.count_distinct("qid").alias("queries"), F.count(F.lit(1)).alias("neighbours"),
+        (F.count("same_dist") >= 0.9 * F.count(F.lit(1))).alias("recall_90"),
+        F.count(F.when(F.col("dist") < F.col("true_dist") - slack, 1)).alias("too_near"),
+        F.count(F.when(F.abs(F.col("dist") - F.col("same_dist")) > slack, 1)).alias("wrong_distance"))
+
+
 @register("m00_weights_many_classes", """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(n * 1.0 / (k * c), 9) AS weight
 FROM (SELECT *, count(*) OVER () AS n, count(*) OVER (PARTITION BY l_orderkey) AS c FROM lineitem),
