@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 
@@ -88,9 +89,9 @@ def test_whole_share_is_exact(spark, monkeypatch):
         assert [r for r, _, _ in sorted(rows)] == list(range(1, 21))
 
 
-def test_recall(spark, monkeypatch):
-    monkeypatch.setattr(ann, "MIN_CANDIDATES", 100)
-    x, df = vectors(spark, 3000, 32)
+@pytest.mark.parametrize("n", [300, 3000])
+def test_recall(spark, n):
+    x, df = vectors(spark, n, 32)
     hit = total = 0
     got = {}
     for r in ann.search(df, every=20).collect():
@@ -104,10 +105,54 @@ def test_recall(spark, monkeypatch):
 def test_walk_goes_by_falling_sum():
     rng = np.random.default_rng(1)
     a, b = rng.normal(size=6), rng.normal(size=5)
-    order = ann.walk(a, b, np.ones(30, int), 30)
+    order, last = ann.walk(a, b, np.ones(30, int), 30)
     sums = [a[c // 5] + b[c % 5] for c in order]
     assert len(set(order)) == 30 and sums == sorted(sums, reverse=True)
-    assert len(ann.walk(a, b, np.full(30, 10), 35)) == 4
+    assert last == sums[-1]
+    cells, last = ann.walk(a, b, np.full(30, 10), 35)
+    assert cells == order[:4] and last == sums[3]
+    empty = np.ones(30, int)
+    empty[order[:3]] = 0
+    assert ann.walk(a, b, empty, 5)[0] == order[3:8]
+
+
+def test_walk_length_meets_the_recall():
+    """The walk of the length found holds the cells of that share of the true neighbours, one shorter does not."""
+    rng = np.random.default_rng(4)
+    a, b, held = rng.normal(size=(5, 6)), rng.normal(size=(5, 7)), rng.integers(0, 9, 42)
+    true = pd.DataFrame({"q": np.repeat(np.arange(5), 8), "cell": rng.choice(np.flatnonzero(held), 40)})
+
+    def met(wanted):
+        walked = [set(ann.walk(a[q], b[q], held, wanted)[0]) for q in range(5)]
+        return np.mean([c in walked[q] for q, c in zip(true["q"], true["cell"], strict=True)])
+
+    n = ann.walk_length(a, b, held, true, 0.9)
+    assert met(n) >= 0.9 > met(n - 1)
+
+
+def test_equal_ids_and_other_lengths_are_kept(spark):
+    """Rows that share an id are all candidates and each a query; vectors of another length have their own index."""
+    df = spark.createDataFrame([(20, [1.0, 0.0]), (21, [2.0, 2.0]), (21, [9.0, 9.0]), (21, [9.0, 9.0]), (40, [0.0, 1.0]),
+                                (40, [3.0, 0.0]), (60, [1.0, 1.0, 1.0]), (61, [1.0, 2.0, 3.0]), (80, [5.0])],
+                               "vec_id long, embedding array<float>")
+    got = {}
+    for r in ann.search(df, every=20).orderBy("rank").collect():
+        got.setdefault((r["query_id"], r["rank"]), []).append((r["vec_id"], r["score"]))
+    assert {q: got[20, q] for q in range(1, 5)} == {1: [(21, 9.0)], 2: [(40, 3.0)], 3: [(21, 2.0)], 4: [(40, 0.0)]}
+    assert sorted(got[40, 1]) == [(21, 9.0), (21, 27.0)] and sorted(got[40, 4]) == [(40, 0.0), (40, 0.0)]
+    assert got[60, 1] == [(61, 6.0)] and (60, 2) not in got and (80, 1) not in got
+
+
+def test_copies_do_not_end_the_walk(spark):
+    """A third of the rows are one vector: the others' neighbours are still found."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x[500:1000] = x[500]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    hit = total = 0
+    for q, rows in pd.DataFrame(map(tuple, ann.search(df, every=20).collect()), columns=list("qrvs")).groupby("q"):
+        hit, total = hit + len({i for i, _ in brute_force(x, q, 20)} & set(rows["v"])), total + 20
+    assert total == 1500 and hit / total >= 0.9
 
 
 def test_large_cells_are_split():
