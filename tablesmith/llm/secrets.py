@@ -7,13 +7,16 @@ version) pairs that the ledger does not hold, so copies and unchanged texts are
 never scanned twice, and a new rule version scans every blob for that rule only.
 ``findings`` joins the ledger back to all paths.
 
-DataFrame expressions only. The blobs are made distinct with a map-side pass, so
+DataFrame expressions only. A scan first compares hashes with the ledger; texts move only
+if a bitmap of the unseen blobs (``FILTER_BITS`` bits, whatever the number of blobs) may hold
+them, and an exact join takes out the few others. The blobs are made distinct with a map-side pass, so
 a text that a third of the rows share is sent once per task; the join back has
 the paths on its left side, where adaptive execution splits a hot blob.
 
 Defined results: a null text is the empty blob; a null id stays and gets the
 findings of its text; repeated rows each get them; an empty table writes an empty
-ledger; all other columns are ignored. Offsets are code points, ends exclusive.
+ledger; all other columns are ignored. Of scans that ran at the same time and entered a
+pair twice, the spans count once. Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablesmith.llm.common import matches, scratch, text_or_empty
+from tablesmith.llm.common import matches, scratch, stored, text_or_empty
 
 
 @dataclass(frozen=True)
@@ -54,6 +57,7 @@ RULES = (
 )
 BASE = ("assign", "access", "hex")
 SPANS = "array<struct<rule:string,start:int,end:int>>"
+FILTER_BITS = 1 << 26  # 8 MB, in rows of 4 KB
 LEDGER = f"blob string, rules array<string>, spans {SPANS}"
 
 
@@ -79,18 +83,41 @@ def read_ledger(spark, ledger: str) -> DataFrame | None:
         raise
 
 
+def _number(blob: str = "blob") -> Column:
+    """1 to FILTER_BITS: the bit of a blob."""
+    return F.pmod(F.xxhash64(blob), F.lit(FILTER_BITS)) + 1
+
+
+def maybe_in(texts: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Rows of ``texts`` whose blob may be one of ``blobs``: all that are, and of the others about one in
+    FILTER_BITS / (number of blobs). The broadcast bitmap has at most FILTER_BITS bits."""
+    n = _number()
+    bitmap = blobs.groupBy(F.bitmap_bucket_number(n).alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(n)).alias("_bits"))
+    at = F.bitmap_bit_position(_number())
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = texts.join(F.broadcast(bitmap), F.bitmap_bucket_number(n) == F.col("_bucket"))
+    return rows.where((F.floor(byte / F.pow(F.lit(2), at % 8)).cast("int") % 2) == 1).select(*texts.columns)
+
+
+def unseen(docs: DataFrame, seen: DataFrame, wanted: Column) -> DataFrame:
+    """(blob, rules): the blobs of ``docs`` with the wanted rules that the ledger does not hold for them. Hashes only."""
+    blobs = docs.select(blob_id().alias("blob")).distinct()
+    seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
+    return blobs.join(seen, "blob", "left").select("blob", F.array_except(
+        wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("rules")).where(F.size("rules") > 0)
+
+
 def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> None:
     """Scan what the ledger does not hold yet and append it to the ledger."""
-    blobs = docs.select(blob_id().alias("blob"), text_or_empty().alias("text")).dropDuplicates(["blob"])
+    texts = docs.select(blob_id().alias("blob"), text_or_empty().alias("text"))
     wanted = F.array(*[F.lit(r.key) for r in rules])
     seen = read_ledger(docs.sparkSession, ledger)
     if seen is None:
-        todo = blobs.withColumn("rules", wanted)
+        todo = texts.dropDuplicates(["blob"]).withColumn("rules", wanted)
     else:
-        seen = seen.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_set("rules"))).alias("seen"))
-        todo = blobs.join(seen, "blob", "left").withColumn(
-            "rules", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>")))).where(
-            F.size("rules") > 0)
+        missing = stored(unseen(docs, seen, wanted), "unseen-blobs")
+        todo = maybe_in(texts, missing).dropDuplicates(["blob"]).join(missing, "blob")
     found = [F.when(F.array_contains("rules", r.key), _spans(F.col("text"), r)).otherwise(F.array().cast(SPANS))
              for r in rules]
     todo.select("blob", "rules", F.flatten(F.array(*found)).cast(SPANS).alias("spans")).write.mode("append").parquet(
@@ -103,7 +130,7 @@ def findings(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     order = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.lit(i))])
     current = F.filter("spans", lambda s: s["rule"].isin([r.key for r in rules]))
     found = read_ledger(docs.sparkSession, ledger).select("blob", current.alias("spans")).where(
-        F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+        F.size("spans") > 0).groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"))
     ordered = F.sort_array(F.transform("spans", lambda s: F.struct(
         s["start"].alias("start"), F.element_at(order, s["rule"]).alias("ord"), s["end"].alias("end"),
         F.substring_index(s["rule"], "@", 1).alias("kind"))))

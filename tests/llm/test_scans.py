@@ -56,6 +56,33 @@ def test_ledger_scans_only_unseen_pairs(spark, edge):
         map(repr, secrets.findings(edge, whole).collect()))
 
 
+def test_only_unseen_texts_move(spark, monkeypatch):
+    """The bitmap lets all unseen blobs through and hardly any other; a small one only lets more through."""
+    df = spark.range(5000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    texts = df.select(secrets.blob_id().alias("blob"), "text")
+    blobs = texts.where("text LIKE '%7'").select("blob")
+    for bits, most in ((1 << 26, 501), (1 << 15, 700), (8, 5000)):
+        monkeypatch.setattr(secrets, "FILTER_BITS", bits)
+        kept = {r["text"] for r in secrets.maybe_in(texts, blobs).collect()}
+        assert {f"text {i}" for i in range(7, 5000, 10)} <= kept and len(kept) <= most
+    assert secrets.maybe_in(texts, blobs.where("false")).collect() == []
+
+
+def test_later_scans_add_what_is_new(spark):
+    """A second version of some documents: only the new texts get entries; double entries do not double spans."""
+    ledger = tempfile.mkdtemp(prefix="ts-ledger-", dir="/tmp") + "/l"
+    old = spark.createDataFrame([(i, f"token = abcdefghijkl{i % 7}") for i in range(40)] + [(99, None)], "doc_id long, text string")
+    new = old.unionByName(spark.createDataFrame([(100, "secret: ABCDEFGHIJKLMN"), (101, "secret: ABCDEFGHIJKLMN")], old.schema))
+    secrets.scan(old, ledger)
+    assert secrets.read_ledger(spark, ledger).count() == 8
+    secrets.scan(new, ledger)
+    assert secrets.read_ledger(spark, ledger).count() == 9
+    want = sorted(map(repr, secrets.findings(new, ledger).collect()))
+    secrets.read_ledger(spark, ledger).write.parquet(ledger + "-twice")
+    secrets.read_ledger(spark, ledger).write.mode("append").parquet(ledger + "-twice")
+    assert sorted(map(repr, secrets.findings(new, ledger + "-twice").collect())) == want and len(want) == 43
+
+
 def test_added_rules(spark):
     text = "-----BEGIN RSA PRIVATE KEY----- ghp_" + "a1B2" * 10 + " eyJhbGciOiJI.eyJzdWIiOiIx.c2lnbmF0dXJl"
     ledger = tempfile.mkdtemp(prefix="ts-ledger-", dir="/tmp") + "/l"
