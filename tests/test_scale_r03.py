@@ -123,3 +123,29 @@ def test_large_svm_fits_one_class_at_a_time(spark, monkeypatch):
     alone = M.train_one("Support Vector Machine", train, params).model.transform(train)
     assert taken == [3, 1]
     assert [r.prediction for r in together.orderBy("id").collect()] == [r.prediction for r in alone.orderBy("id").collect()]
+
+
+def test_spearman_shuffles_rows_only_for_columns_of_many_values(spark, monkeypatch):
+    import pandas as pd
+
+    from tablesmith.operators import correlation as C
+    rng = np.random.default_rng(5)
+    rows = [(float(i), float(rng.integers(0, 40)), float(rng.integers(0, 7)), float(rng.integers(0, 60))) for i in range(500)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    seen, pearson_pairs = [], C._pearson_pairs
+
+    def keep(ranked, *args, **kwargs):
+        seen.append(ranked._jdf.queryExecution().executedPlan().toString())
+        return pearson_pairs(ranked, *args, **kwargs)
+    monkeypatch.setattr(C, "_pearson_pairs", keep)
+    want = pd.DataFrame(rows).corr(method="spearman")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for values, most, joins in ((2_000_000, 2_000_000, 0), (300, 2_000_000, 1), (0, 2_000_000, 4), (2_000_000, 30, 3)):
+            monkeypatch.setattr(C, "BROADCAST_VALUES", values, raising=False)
+            for r in C.spearman(df, max_task_rows=most).collect():
+                assert abs(r["r"] - want.iloc[r["idx_1"], r["idx_2"]]) < 6e-4
+            assert seen.pop().count("SortMergeJoin") == joins
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
