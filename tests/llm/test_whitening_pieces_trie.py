@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import re
 
 import numpy as np
 import public_tokenizers
@@ -206,3 +207,27 @@ def test_a_conversation_beyond_the_bound_is_an_error(spark, monkeypatch):
     df = spark.createDataFrame([(1, t, "a", "b") for t in range(4)], TURNS)
     with pytest.raises(Exception, match="more than 3 turns"):
         turntrie.prefix_trie(df).collect()
+
+
+def test_tokens_and_joined_values_are_plain(own):
+    """The pattern never goes back over a repeat, and joined values come from one call for all ids."""
+    assert "++" in own.tokens.pattern and "*+" in own.tokens.pattern
+    plain = re.compile(own.tokens.pattern.replace("++", "+").replace("*+", "*").replace("?+", "?"))
+    rng = np.random.default_rng(8)
+    signs = list("abeginstrdABC ..,,''\"-▁▁\n\t12é日😀ｆ|#")
+    for size in (0, 1, 2, *rng.integers(1, 80, 200).tolist()):
+        text = "".join(rng.choice(signs, size))
+        assert own.tokens.findall(text) == plain.findall(text) and "".join(plain.findall(text)) == text
+        ids = own.encode(text)
+        assert own.joined(ids)[0] == ",".join(map(str, ids)).encode()
+        assert own.raw(ids) == b"".join(own.out[i] for i in ids)
+
+
+def test_store_counts_what_a_word_takes(own):
+    from sys import getsizeof
+    got = pieces.PieceCodec(public_tokenizers.path(VOCABULARY))
+    words = [f"{pieces.MARK}{a}{b}{c}ing" for a in "bcdfglmnprst" for b in ("ea", "ou", "ai", "ie", "oo") for c in "bdgklmnprtvz"]
+    for w in words:
+        got.word(w)
+    takes = sum(getsizeof(w) + getsizeof(ids) for w, ids in got.words.items()) + getsizeof(got.words)
+    assert 0.9 * takes < got.held < 1.35 * takes
