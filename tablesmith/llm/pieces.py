@@ -10,7 +10,9 @@ that are no piece become the byte pieces of their UTF-8 bytes.
 No merge can join two neighbour characters that stand side by side in no piece. So a
 text may be cut there and the agenda run part by part, with the same result: first by a
 pattern made from the vocabulary (before word marks, signs and characters of no longer
-piece), then, in words not met before, at all such places. A worker keeps the ids of
+piece), then, in long words not met before, at all such places. The short words of a slice
+of a batch that were not met before share one agenda, an array with a row a word: in every
+round each row merges its own best pair. A worker keeps the ids of
 the words and parts it has seen in a store bounded in bytes (``STORE_BYTES``; when its younger half is
 full, it becomes the older half).
 
@@ -30,9 +32,9 @@ import gc
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
-from itertools import chain
-from operator import itemgetter
+import sys
+from array import array
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -45,10 +47,22 @@ from tablesmith.llm.common import small_batches
 MARK = "▁"
 STORE_BYTES = 640 << 20
 SHORT = 24
-_NO_PIECE = float("inf")
+ROWS = 8192
+KEPT = 180  # bytes of a word besides its text and ids; as measured, 210 bytes a word of the documents in all
+_NO_PIECE = np.iinfo(np.int32).max
 BATCH_CHARS = 1 << 20
 
 
+class _Words(dict):
+    """Ids of words; a word that is not among them is asked for."""
+
+    def __init__(self, ask):
+        self.ask = ask
+
+    def __missing__(self, word: str) -> bytes | bytearray:
+        return self.ask(word)
+
+
 class PieceCodec:
     """Encoder and decoder of one merge-type model with its word store."""
 
@@ -72,12 +86,14 @@ class PieceCodec:
                 self.out.append(piece.replace(MARK, " ").encode())
         self.inside = {p[i:i + 2] for p in self.ids for i in range(len(p) - 1)}
         self.tokens = self._token_pattern()
-        self.digits = [b"%d" % i for i in range(len(self.out))]
+        self.digits = np.array([b"%d," % i for i in range(len(self.out))], "S8").view(np.uint64)
         self.is_byte = set(self.byte_ids)
         self.starts = {i for p, i in self.ids.items() if p.startswith(MARK)}
-        self.words: dict[str, tuple] = {}  # the younger half of the store
-        self.older: dict[str, tuple] = {}
+        self._number_symbols()
+        self.words = _Words(self.ask)  # the younger half of the store: packed 32-bit ids
+        self.older: dict[str, bytes] = {}
         self.store_bytes, self.held = store_bytes, 0
+        self.open: dict[str, bytearray] = {}  # short words without ids yet
 
     def _token_pattern(self) -> re.Pattern | None:
         """Tokens that no piece crosses: word marks, signs and letters up to the next mark, to a sign that follows no
@@ -91,17 +107,92 @@ class PieceCodec:
         def one_of(chars, prefix=""):
             return f"[{prefix}{''.join(map(re.escape, sorted(chars)))}]" if chars else "(?!)"
 
-        # a repeat shares no character with what follows it, so none is ever given back
+        # a repeat shares no character with what follows it, so none is ever given back; most words fit the first choice
         letter, sign, tail = one_of(letters), one_of(known - letters), f"(?:{one_of(tied)}{one_of(known)}*+)?+"
-        return re.compile(f"{MARK}*+{sign}*+{letter}++{tail}|{MARK}++{sign}*+|{sign}++|{one_of(known | {MARK}, '^')}")
+        return re.compile(f"{MARK}?+{letter}++{tail}|{MARK}*+{sign}*+{letter}++{tail}|{MARK}++{sign}*+|{sign}++|{one_of(known | {MARK}, '^')}")
+
+    def _number_symbols(self) -> None:
+        """Pieces, then other characters by code point, then the end of a row; and all pairs that make a piece."""
+        names = list(self.cost)
+        number = {p: i for i, p in enumerate(names)}
+        self.end = len(names) + sys.maxunicode + 1
+        self.symbol_of = np.arange(len(names), self.end, dtype=np.int32)  # of a code point
+        for c in number:
+            if len(c) == 1:
+                self.symbol_of[ord(c)] = number[c]
+        for c in {c for p in names for c in p} - number.keys():
+            number[c] = int(self.symbol_of[ord(c)])
+        pairs = sorted((number[p[:k]] * (self.end + 1) + number[p[k:]], number[p]) for p in names
+                       for k in range(1, len(p)) if p[:k] in number and p[k:] in number)
+        self.pairs = np.array([k for k, _ in pairs] + [np.iinfo(np.int64).max])
+        self.made = np.array([p for _, p in pairs] + [-1], dtype=np.int32)
+        self.rank = np.append(np.unique(list(self.cost.values()), return_inverse=True)[1], _NO_PIECE).astype(np.int32)
+        self.id_of = np.array([self.ids[p] for p in names], dtype=np.int32)
+
+    def _made_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The piece that each pair of symbols makes; -1: none."""
+        key = left * np.int64(self.end + 1) + right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.made[at], np.int32(-1))
+
+    def agendas(self, words: Sequence[str]) -> list[bytes | None]:
+        """Packed ids of short texts, a row each: in every round each row merges its best pair, the leftmost of equals.
+        None for a text of which a symbol is left that is no piece."""
+        n, width = len(words), max(map(len, words))
+        size = np.fromiter(map(len, words), np.int64, n)
+        code = np.array(words, f"U{width}").view(np.uint32).reshape(n, width)
+        symbol = np.full((n, width + 2), self.end, np.int32)  # an end on both sides, which joins nothing
+        np.copyto(symbol[:, 1:-1], self.symbol_of[code], where=np.arange(width) < size[:, None])
+        done, row = symbol.copy(), np.arange(n)
+        made = self._made_of(symbol[:, :-1], symbol[:, 1:])
+        while True:
+            best = self.rank[made].argmin(1)
+            new = made[np.arange(len(row)), best]
+            live = new >= 0
+            if not live.all():
+                done[row[~live], :symbol.shape[1]] = symbol[~live]
+                done[row[~live], symbol.shape[1]:] = self.end
+                row, best, new, symbol, made = row[live], best[live], new[live], symbol[live], made[live]
+                if not len(row):
+                    break
+            at, column = np.arange(len(row)), np.arange(symbol.shape[1] - 1)
+            symbol = np.where(column > best[:, None], symbol[:, 1:], symbol[:, :-1])
+            symbol[at, best] = new
+            made = np.where(column[:-1] >= best[:, None], made[:, 1:], made[:, :-1])
+            made[at, best - 1] = self._made_of(symbol[at, best - 1], new)
+            made[at, best] = self._made_of(new, symbol[at, best + 1])
+        used = done != self.end
+        flat, sizes = done[used], used.sum(1)
+        ends = sizes.cumsum()
+        whole = np.logical_and.reduceat(flat < len(self.id_of), ends - sizes).tolist()
+        packed, at = self.id_of[np.minimum(flat, len(self.id_of) - 1)].tobytes(), (4 * ends).tolist()
+        return [packed[a:b] if ok else None for a, b, ok in zip([0, *at], at, whole)]
+
+    def ask(self, word: str) -> bytes | bytearray:
+        """Ids of a word that the younger store lacks; those of a short new word come with ``settle``."""
+        ids = self.stored(word)
+        if ids is None:
+            ids = self.open.setdefault(word, bytearray()) if len(word) <= SHORT else self.word(word)
+        return ids
+
+    def settle(self) -> None:
+        """Fill in and store the ids of the words asked for, by one agenda for many of them."""
+        opened, self.open = self.open, {}
+        asked = sorted(opened, key=len)
+        for i in range(0, len(asked), ROWS):
+            words = asked[i:i + ROWS]
+            for word, ids in zip(words, self.agendas(words), strict=True):
+                if ids is None:
+                    ids = self.word(word)
+                else:
+                    self.keep(word, ids)
+                opened[word] += ids
 
     def agenda(self, text: str) -> list[int]:
         """Ids of a normalised text by merging its best pair until none is left. An entry of the agenda is
         (cost, place of the left symbol, length of the pair); a pair whose symbols have changed is longer by now."""
         get, n = self.cost.get, len(text)
         symbol = list(text)
-        if n <= SHORT:
-            return self._ids(self._short_agenda(symbol))
         right = list(range(1, n + 1))
         left = list(range(-1, n - 1))
         agenda = [(c, i, 2) for i in range(n - 1) if (c := get(text[i:i + 2])) is not None]
@@ -127,20 +218,6 @@ class PieceCodec:
                     push(agenda, (c, before, len(both)))
         return self._ids([s for s in symbol if s is not None])
 
-    def _short_agenda(self, symbol: list[str]) -> list[str]:
-        """The same for a few symbols: the agenda is the list of the pairs' costs by place, its best entry the smallest."""
-        get, none = self.cost.get, _NO_PIECE
-        agenda = [get(a + b, none) for a, b in zip(symbol, symbol[1:])]
-        while agenda and (best := min(agenda)) < none:
-            a = agenda.index(best)
-            merged = symbol[a] = symbol[a] + symbol.pop(a + 1)
-            del agenda[a]
-            if a < len(agenda):
-                agenda[a] = get(merged + symbol[a + 1], none)
-            if a:
-                agenda[a - 1] = get(symbol[a - 1] + merged, none)
-        return symbol
-
     def _ids(self, symbols: list[str]) -> list[int]:
         out: list[int] = []
         for s in symbols:
@@ -156,21 +233,21 @@ class PieceCodec:
         at = [i for i in range(1, len(word)) if word[i - 1:i + 1] not in self.inside]
         return [word[a:b] for a, b in zip([0, *at], [*at, len(word)], strict=True)]
 
-    def stored(self, word: str) -> tuple | None:
-        """Ids of a word of the store."""
+    def stored(self, word: str) -> bytes | None:
+        """Packed ids of a word of the store."""
         got = self.words.get(word)
         if got is None and (got := self.older.get(word)) is not None:
             self.keep(word, got)
         return got
 
-    def keep(self, word: str, ids: tuple) -> None:
-        self.held += 190 + 2 * len(word) + 8 * len(ids)  # as measured, 242 bytes a word of the documents
+    def keep(self, word: str, ids: bytes) -> None:
+        self.held += KEPT + 2 * len(word) + len(ids)
         if self.held > self.store_bytes // 2:
-            self.older, self.words, self.held = self.words, {}, 0
+            self.older, self.words, self.held = self.words, _Words(self.ask), 0
         self.words[word] = ids
 
-    def word(self, word: str) -> tuple:
-        """Ids of a word that the younger store lacks; its parts come from the store or off the agenda."""
+    def word(self, word: str) -> bytes:
+        """Packed ids of a word that the younger store lacks; its parts come from the store or off the agenda."""
         ids = self.stored(word)
         if ids is None:
             parts = [word] if word.isascii() and word.isalpha() or word[1:].isalpha() and word[1:].isascii() else self.cuts(word)
@@ -178,37 +255,40 @@ class PieceCodec:
             for part in parts:
                 got = self.stored(part) if len(parts) > 1 else None
                 if got is None:
-                    got = tuple(self.agenda(part))
+                    got = array("i", self.agenda(part)).tobytes()
                     self.keep(part, got)
                 found.append(got)
-            ids = found[0] if len(found) == 1 else tuple(chain.from_iterable(found))
+            ids = b"".join(found)
             if len(parts) > 1:
                 self.keep(word, ids)
         return ids
 
     def raw(self, ids) -> bytes:
         """Decoded UTF-8 of ids whose byte pieces form whole characters, the leading space of a text included."""
-        return b"".join(_taken(self.out, ids))
+        out = self.out
+        return b"".join([out[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text."""
-        if not text:
-            return []
-        normal = self.library.normalize(text)
-        get, word = self.words.get, self.word
-        out: list[int] = []
-        for w in self.tokens.findall(normal) if self.tokens else [normal]:
-            ids = get(w)
-            if ids is None:
-                ids = word(w)
-                get = self.words.get  # the halves of the store may have changed
-            out += ids
-        return out
-
-    def joined(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return array("i", next(self.encode_all([text]))).tolist()
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Packed ids of whole texts."""
+        found = []
+        for text in texts:
+            normal = self.library.normalize(text) if text else ""
+            words = self.tokens.findall(normal) if self.tokens else [normal] if normal else []
+            found.append([])
+            for i in range(0, len(words), ROWS):  # the halves of the store may change in between
+                found[-1] += map(self.words.__getitem__, words[i:i + ROWS])
+        self.settle()
+        return map(b"".join, found)
+
+    def joined(self, ids: list[int], packed: bytes | None = None) -> tuple[bytes, bytes]:
         """Decimal ids joined by commas, and the decoded text in UTF-8, of what ``encode`` returns."""
+        digits = self.digits[np.frombuffer(array("i", ids) if packed is None else packed, np.int32)]
         back = self.raw(ids)
-        return b",".join(_taken(self.digits, ids)), back[1:] if back.startswith(b" ") else back
+        return digits.tobytes().translate(None, b"\0")[:-1], back[1:] if back.startswith(b" ") else back
 
     def decode(self, ids) -> str:
         """Text of any ids: runs of byte pieces are read as UTF-8, a byte that fits nowhere gives U+FFFD."""
@@ -226,11 +306,6 @@ class PieceCodec:
         return "".join(text)
 
 
-def _taken(values: list[bytes], ids) -> tuple | list:
-    """The values of all ids in order."""
-    return itemgetter(*ids)(values) if len(ids) > 1 else [values[i] for i in ids]
-
-
 def _utf8(raw: bytes) -> str:
     """UTF-8 read character by character; each byte that starts none is U+FFFD."""
     out, at = [], 0
@@ -288,15 +363,15 @@ def encode(docs: DataFrame, vocabulary: str, keep: list[str], with_ids: bool = T
             texts = batch["_text"].tolist()
             for part in _slices(texts):
                 n, a, b, same, all_ids = [], [], [], [], []
-                known = own.library.encode(texts[part], num_threads=1)
+                known = own.library.encode(texts[part], out_type="numpy", num_threads=1)
                 gc.disable()  # the store holds no cycles, and a pass of the collector walks all of it
-                for text, ids_known in zip(texts[part], known, strict=True):
-                    ids = own.encode(text)
-                    digits, back = own.joined(ids)
+                for packed, ids_known in zip(own.encode_all(texts[part]), known, strict=True):
+                    ids = array("i", packed).tolist()
+                    digits, back = own.joined(ids, packed)
                     n.append(len(ids))
                     a.append(hashlib.sha256(digits).hexdigest())
                     b.append(hashlib.sha256(back).hexdigest())
-                    same.append(ids == ids_known and back == own.library.decode(ids_known).encode())
+                    same.append(packed == ids_known.tobytes() and back == own.library.decode(ids, out_type=bytes))
                     if with_ids:
                         all_ids.append(np.array(ids, dtype=np.int32))
                 gc.enable()

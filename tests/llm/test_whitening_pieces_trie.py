@@ -231,3 +231,31 @@ def test_store_counts_what_a_word_takes(own):
         got.word(w)
     takes = sum(getsizeof(w) + getsizeof(ids) for w, ids in got.words.items()) + getsizeof(got.words)
     assert 0.9 * takes < got.held < 1.35 * takes
+
+
+def test_short_words_share_one_agenda(own):
+    rng = np.random.default_rng(9)
+    signs = list("abeginstrdABC..,,''\"-▁▁\n\t12éßaaeé日😀ｆ|#")
+    words = ["".join(rng.choice(signs, rng.integers(1, pieces.SHORT + 1))) for _ in range(3000)] + ["a\0", "\0", "▁", "日"]
+    got = own.agendas(words)
+    for word, packed in zip(words, got, strict=True):
+        want = own.agenda(word)
+        if packed is None:
+            assert own.byte_ids[0] <= min(want) <= own.byte_ids[255]
+        else:
+            assert np.frombuffer(packed, np.int32).tolist() == want
+    fresh = pieces.PieceCodec(public_tokenizers.path(VOCABULARY))
+    calls, plain = [], fresh.agenda
+    fresh.agenda = lambda text: calls.append(text) or plain(text)
+    texts = ["some words of a first text, with some new words", "", "new words in another text"] * 3
+    assert [np.frombuffer(p, np.int32).tolist() for p in fresh.encode_all(texts)] == fresh.library.encode(texts)
+    assert calls == [] and not fresh.open  # no word had an agenda of its own
+
+
+def test_equal_scores_take_the_leftmost_pair():
+    got = pieces.PieceCodec(public_tokenizers.path(VOCABULARY))
+    got.cost = {c: 0.0 for c in "abc"} | {p: 1.0 for p in ("ab", "bc", "abc", "bcab")}
+    got.ids = {p: i for i, p in enumerate(got.cost)}
+    got._number_symbols()
+    words = ["abc", "bcab", "abcab", "cabcabc", "b", "bcabab"]
+    assert [np.frombuffer(p, np.int32).tolist() for p in got.agendas(words)] == [got.agenda(w) for w in words]
